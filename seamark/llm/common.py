@@ -67,3 +67,33 @@ def slices(batch, rows: int = 512):
     """Arrow batches in slices, so that one task holds few texts at a time."""
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
+
+
+def runs(batches, key: str):
+    """Arrow batches that hold the rows of each key whole; rows arrive sorted by key."""
+    import numpy as np
+
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy(zero_copy_only=False)
+        last = int(np.searchsorted(keys, keys[-1]))
+        if last == 0 and held and held[-1].column(key)[0].as_py() == keys[0]:
+            held.append(batch)
+            continue
+        if last == 0:
+            if held:
+                yield _one(held)
+            held = [batch]
+            continue
+        yield _one([*held, batch.slice(0, last)])
+        held = [batch.slice(last)]
+    if held:
+        yield _one(held)
+
+
+def _one(batches):
+    import pyarrow as pa
+
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]

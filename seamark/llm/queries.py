@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamark.llm import byte_bpe, quality, substring_dedup, token_store
+from seamark.llm import byte_bpe, iblt, lm_score, mixing, pii, quality, simhash, substring_dedup, token_store, url_filter
 from seamark.llm.common import read, scratch_path
 
-BYTE_BPE, WORD_BPE = "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
+BYTE_BPE, WORD_BPE, PIECES = "byte_bpe_50k.tiktoken", "word_bpe_49k.json", "piece_bpe_32k.model"
+#: Wanted shares of tokens.
+WEIGHTS = {"clean": 0.9, "poor": 0.08, "toxic": 0.02}
+
+
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tok
+
+    return lm_score.score(read(spark, sf_dir, "documents"), tok.path(PIECES))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,16 +42,38 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.checksums(spark, path)
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.compare_with_next(read(spark, sf_dir, "documents")).drop("edited_text")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = quality.judge(read(spark, sf_dir, "documents"), keep=["doc_id"])
     return got.select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), WEIGHTS, keep=["doc_id"])
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages"), keep=["page_id"])
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(read(spark, sf_dir, "documents"), keep=["doc_id", "text"])
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = simhash.cluster(read(spark, sf_dir, "documents"), keep=["doc_id"])
+    return got.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_substring_dedup": op2_substring_dedup,
-    "op3_byte_bpe": op3_byte_bpe,
-    "op4_token_store": op4_token_store,
-    "op6_quality_rules": op6_quality_rules,
-}
+    f.__name__: f
+    for f in (
+        op1_lm_score, op2_substring_dedup, op3_byte_bpe, op4_token_store, op5_fingerprints,
+        op6_quality_rules, op7_mixing, op8_url_filter, op9_pii, op10_simhash,
+    )
+}
 
 ORACLE: dict[str, str] = {}
