@@ -27,6 +27,7 @@ from seamark.llm.common import materialise, parts_for, runs, slices
 from seamark.llm.components import components
 
 BITS, HALF, RADIUS = 64, 23, 3
+CODE_BITS = 2 * HALF
 #: Generator of the binary Golay code (fixed value): x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 _GOLAY = 0b110001110101
 #: Pairs compared at once; anchors with more are compared by looking up what lies around each fingerprint.
@@ -110,12 +111,14 @@ def anchors(fps: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return i, a[i, j] << HALF | b[i, k], ea[i, j] + eb[i, k] == 0
 
 
-def _send(batches, t: int):
+def _send(batches, t: int, tagged: bool):
     for batch in batches:
         fps = batch.column("fp").to_numpy().view(np.uint64)
         for at in range(0, len(fps), 1000):
             part = fps[at : at + 1000]
             i, anchor, home = anchors(part, t)
+            if tagged:
+                anchor |= (part[i] >> np.uint64(CODE_BITS) << np.uint64(CODE_BITS)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part[i].view(np.int64)), pa.array(home)], names=["anchor", "fp", "home"])
 
 
@@ -202,11 +205,14 @@ def _compare(batches, t: int):
         yield done()
 
 
-def links(distinct: DataFrame, t: int = 2) -> DataFrame:
-    """A forest (u, v) that spans the same components as all pairs of fingerprints (column fp, distinct) within t bits."""
+def links(distinct: DataFrame, t: int = 2, tagged: bool = False) -> DataFrame:
+    """A forest (u, v) that spans the same components as all pairs of fingerprints (column fp, distinct) within t bits.
+
+    tagged: only the low 46 bits are a fingerprint, and those above tell sets apart between which there are no links.
+    """
     count = distinct.count()
     parts = parts_for(count * 61, 400_000, least=4)
-    sent = distinct.select("fp").mapInArrow(lambda it: _send(it, t), "anchor bigint, fp bigint, home boolean")
+    sent = distinct.select("fp").mapInArrow(lambda it: _send(it, t, tagged), "anchor bigint, fp bigint, home boolean")
     return sent.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(lambda it: _compare(it, t), "u bigint, v bigint")
 
 
