@@ -37,7 +37,7 @@ PATTERNS = {
     "secret": r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\p{N}]|\.[0-9])",
-    "phone": r"(?<![\p{L}\p{N}])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,5}\)|[0-9]{1,5})(?:[ .\-]?[0-9]{2,5}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})(?![\p{L}\p{N}])",
+    "phone": r"(?<![\p{L}\p{N}])(?:\+1[ .\-]?(?:\([0-9]{3}\)|[0-9]{3})[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}|\+(?!1[ .\-(])[0-9]{1,3}[ \-]?(?:\([0-9]{1,5}\)|[0-9]{1,5})(?:[ \-]?[0-9]{2,5}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})(?![\p{L}\p{N}]|[.\-][0-9])",
     "card": r"(?<![\p{L}\p{N}])(?:[2-6][0-9]{3}[ \-]?[0-9]{4}[ \-]?[0-9]{4}[ \-]?[0-9]{4}|3[47][0-9]{2}[ \-]?[0-9]{6}[ \-]?[0-9]{5})(?![\p{L}\p{N}])",
     "id": r"(?<![\p{L}\p{N}\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}\-])",
 }
