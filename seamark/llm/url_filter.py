@@ -51,12 +51,14 @@ def domains(host: Column) -> Column:
 
 @dataclass(frozen=True)
 class Level:
+    #: Each level hashes in its own way, else a key that passes one by chance would pass all.
+    depth: int
     bits: int
     hashes: int
     words: tuple[int, ...]
 
     def positions(self, key: Column) -> list[Column]:
-        return [F.pmod(F.xxhash64(key, F.lit(self.bits), F.lit(j)), F.lit(self.bits)) for j in range(self.hashes)]
+        return [F.pmod(F.xxhash64(key, F.lit(self.depth), F.lit(j)), F.lit(self.bits)) for j in range(self.hashes)]
 
     def passes(self, key: Column) -> Column:
         """Whether all the key's bits are set; one parsed constant holds them."""
@@ -68,17 +70,17 @@ class Level:
         return ok
 
 
-def level(keys: DataFrame, n: int, rate: float) -> Level:
+def level(keys: DataFrame, n: int, rate: float, depth: int = 0) -> Level:
     """A Bloom filter for n keys (column key): some bits a key, so as bounded as the list is."""
     bits = max(64, 64 * math.ceil(n * math.log2(1 / rate) / math.log(2) / 64))
     hashes = max(1, round(math.log2(1 / rate)))
-    empty = Level(bits, hashes, ())
+    empty = Level(depth, bits, hashes, ())
     at = F.explode(F.array(*empty.positions(F.col("key"))))
     rows = keys.select(at.alias("p")).groupBy(F.floor(F.col("p") / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("p", F.lit(64)).cast("int"))).alias("bits")).collect()
     words = [0] * (bits // 64)
     for r in rows:
         words[r.w] = r.bits
-    return Level(bits, hashes, tuple(words))
+    return Level(depth, bits, hashes, tuple(words))
 
 
 @dataclass(frozen=True)
@@ -111,7 +113,7 @@ def build(universe: DataFrame, listed: DataFrame, most_levels: int = 64) -> Casc
         if not n:
             break
         share = min(0.5, max(1e-4, n * math.sqrt(0.5) / m)) if not levels and m else 0.5
-        levels.append(level(keys, n, share))
+        levels.append(level(keys, n, share, len(levels)))
         passed = materialise(others.where(levels[-1].passes(F.col("key"))), "passed")
         sides[1 - side], sizes[1 - side] = passed, passed.count()
     if sizes[len(levels) % 2]:
