@@ -1,0 +1,413 @@
+"""The corpus operators against brute force, and their edge cases: nulls, empty and long texts, repeats, empty tables, clashing names."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+pytest.importorskip("seamark.llm")
+import public_tokenizers as tok  # noqa: E402
+import xxhash  # noqa: E402
+
+from seamark.llm import byte_bpe, components, iblt, lm_score, mixing, near_copies, pii, quality, simhash, substring_dedup, token_store, url_filter  # noqa: E402
+from seamark.llm.common import scratch_path  # noqa: E402
+
+WORD = r"[^\x20\x09-\x0D]+"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_tokens int, kept string, fp string, host string"
+
+
+def _texts():
+    rng = random.Random(5)
+    voc = ["the", "of", "and", "sea", "fish", "net", "deep", "Été", "ß", "日本", "tide,", "x1", "idiot"]
+    base = [" ".join(rng.choice(voc) + str(rng.randrange(60)) for _ in range(130)) for _ in range(8)]
+    near = base[0].split()
+    near[64] = "changed"
+    long = " ".join(rng.choice(voc) for _ in range(6000))
+    passage = " ".join(base[3].split()[10:70])
+    return [
+        *base, base[1], " ".join(near), passage + " " + base[4], base[5] + "\n" + passage, "", None, "one", "two words", "  \t ", long, "w" * 5000,
+        base[6] + " mail anna.b@mail5.example.com +1 (743) 555-3824 10.20.30.40", "Mrs Anna Smith wrote. 10.20.30.40 again, anna.b@mail5.example.com!", "a\n\nb\nb\nb", "### $$$ %%% &&& " * 30, "\x00nul \x1c sep \u2003 em",
+    ]
+
+
+def _rows():
+    rows = [(k, t, "en" if k % 3 else None, f"s{k % 2}", 7, "k", "f", "h") for k, t in enumerate(_texts())]
+    return [*rows, rows[2], (None, rows[0][1], "en", None, 1, None, None, None), (None, None, None, None, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(_rows(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def _multiset(rows):
+    return collections.Counter(tuple(r) for r in rows)
+
+
+def test_lattice_sums_all_segmentations():
+    weights = np.log(np.array([[0.2], [0.5], [0.3], [0.3], [0.2], [0.1], [0.1], [0.3]]))
+    lattice = lm_score.Lattice([b"", b"a", b"ab"], [b"a", b"b", b"ba", b"aba"], weights)
+    going, opening = {b"a": 0.3, b"b": 0.2, b"ba": 0.1, b"aba": 0.1}, {b"": 0.2, b"a": 0.5, b"ab": 0.3}
+
+    def rest(w):
+        return (0.3 if not w else 0.0) + sum(p * rest(w[len(k) :]) for k, p in going.items() if w.startswith(k))
+
+    for w in (b"a", b"abab", b"ababa", b"bbb", b"abaab"):
+        want = sum(p * rest(w[len(k) :]) for k, p in opening.items() if w.startswith(k))
+        assert math.exp(lm_score.log_probabilities(lattice, [w])[0, 0]) == pytest.approx(want)
+
+
+def test_op1_scores(docs, none):
+    got = lm_score.score(docs, tok.path("piece_bpe_32k.model"))
+    out = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
+    tokens = lambda t: [*re.findall(WORD.encode(), (t or "").encode().lower()), b" "]
+    rows = _rows()
+    c = collections.Counter(w for r in rows if not out(r[0]) for w in tokens(r[1]))
+    n, types = sum(c.values()), len(c)
+    want = collections.Counter((r[0], out(r[0]), len(tokens(r[1])), sum(c[w] > 0 for w in tokens(r[1])), n, round(sum(math.log10((c[w] + 1) / (n + types + 1)) for w in tokens(r[1])), 4)) for r in rows)
+    have = got.collect()
+    assert collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in have) == want
+    assert all(math.isfinite(r.score) and r.score < 0 for r in have)
+    assert lm_score.score(none, tok.path("piece_bpe_32k.model")).count() == 0
+
+
+def test_op2_removes_windows_that_start_earlier(docs, none):
+    rows = _rows()
+    place = lambda d, s: (-(1 << 63) if d is None else d, s)
+    words = [(r[1] or "").encode().split() for r in rows]
+    first = {}
+    for r, w in zip(rows, words):
+        for s in range(len(w) - 19):
+            key = tuple(w[s : s + 20])
+            first[key] = min(first.get(key, place(r[0], s)), place(r[0], s))
+    want = collections.Counter()
+    for r, w in zip(rows, words):
+        gone = [False] * len(w)
+        for s in range(len(w) - 19):
+            if first[tuple(w[s : s + 20])] < place(r[0], s):
+                gone[s : s + 20] = [True] * 20
+        want[r[0], len(w), sum(gone), b" ".join(x for x, g in zip(w, gone) if not g).decode()] += 1
+    got = substring_dedup.remove_repeats(docs, keep=["doc_id"]).collect()
+    assert _multiset(got) == want
+    assert substring_dedup.remove_repeats(none).count() == 0
+    assert substring_dedup.remove_repeats(docs).columns[-3:] == ["n_words", "n_removed", "kept_text"]
+
+
+def test_op2_a_saturated_sketch_loses_nothing(docs):
+    small, large = (substring_dedup.remove_repeats(docs, max_log_cells=k, keep=["doc_id"]) for k in (20, 28))
+    assert _multiset(small.collect()) == _multiset(large.collect())
+
+
+@pytest.fixture(scope="module")
+def codec():
+    with open(tok.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        return byte_bpe.Codec(f.read(), tok.PATTERN)
+
+
+def _reference():
+    import base64
+
+    import tiktoken
+
+    with open(tok.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f.read().splitlines())}
+    return tiktoken.Encoding("own", pat_str=tok.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_op3_round_trip(docs, none):
+    path, enc = tok.path("byte_bpe_50k.tiktoken"), _reference()
+    got = byte_bpe.decode(byte_bpe.encode(docs, path, tok.PATTERN), path, tok.PATTERN)
+    want = collections.Counter((r[0], tuple(enc.encode_ordinary(r[1] or "")), (r[1] or "").encode()) for r in _rows())
+    assert collections.Counter((r.doc_id, tuple(np.frombuffer(bytes(r.ids), "<u4").tolist()), bytes(r.decoded)) for r in got.collect()) == want
+    assert byte_bpe.encode(none, path, tok.PATTERN).count() == 0
+
+
+def test_op3_appends_and_edits_are_exact(codec):
+    enc, rng, v = _reference(), random.Random(1), codec.vocabulary
+    letters = ["a", "the", " ", "  ", "\n", "'ll", "é", "日", "12", "!!", "\u0301", "ing", "\x85"]
+    for _ in range(300):
+        s = "".join(rng.choice(letters) for _ in range(rng.randrange(40)))
+        text = byte_bpe.IncrementalText(codec, s)
+        i = rng.randrange(len(s) + 1)
+        j, new = min(len(s), i + rng.randrange(5)), "".join(rng.choice(letters) for _ in range(rng.randrange(4)))
+        text.edit(i, j, new)
+        text.append("end")
+        assert np.frombuffer(text.ids(), "<u4").tolist() == enc.encode_ordinary(s[:i] + new + s[j:] + "end")
+        data = b"".join(v.tokens[rng.randrange(50_000)] for _ in range(rng.randrange(1, 30)))
+        prefix = byte_bpe.PrefixTokens(v, data[: len(data) // 2])
+        prefix.append(data[len(data) // 2 :])
+        assert prefix.tokens() == enc._encode_single_piece(data)
+        a = rng.randrange(len(data) + 1)
+        b = min(len(data), a + 3)
+        prefix.splice(a, b, b"xy")
+        assert prefix.last == byte_bpe.PrefixTokens(v, data[:a] + b"xy" + data[b:]).last
+
+
+def test_op3_edit_of_a_long_piece_is_local(codec):
+    rng = random.Random(2)
+    data = bytes(rng.choice(b"abcdefgh") for _ in range(50_000))
+    prefix = byte_bpe.PrefixTokens(codec.vocabulary, data)
+    assert prefix.splice(25_000, 25_001, b"zz") < 2_000
+
+
+def test_op4_store(spark, docs, none):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tok.path("word_bpe_49k.json"))
+    path = scratch_path(spark, "store")
+    token_store.write(docs, path, tok.path("word_bpe_49k.json"))
+    sums, whole = token_store.checksums(spark, path).collect(), token_store.rebuild(spark, path).collect()
+    ids = lambda text: t.encode(text or "", add_special_tokens=False).ids + [1]
+    want = collections.Counter((r[0], tuple(ids(r[1]))) for r in _rows())
+    assert collections.Counter((r.doc_id, tuple(np.frombuffer(bytes(r.ids), "<u4").tolist())) for r in whole) == want
+    crc = {r.start: zlib.crc32(bytes(r.ids)) for r in whole}
+    assert all(crc[r.start] == r.ids_crc32 for r in sums) and len(sums) == len(_rows())
+    at = 0
+    for r in sorted(sums, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    order = [r.doc_id for r in sorted(sums, key=lambda r: r.start)]
+    assert order == sorted(order, key=lambda d: (d is not None, d or 0))
+    empty = scratch_path(spark, "store")
+    token_store.write(none, empty, tok.path("word_bpe_49k.json"))
+    assert token_store.checksums(spark, empty).count() == 0
+
+
+def test_op4_chunks_of_shared_passages_are_shared_and_damage_is_found(spark):
+    rng = np.random.default_rng(1)
+    body = rng.integers(0, 49_000, 20_000)
+    ends = lambda x: {tuple(x[a:b]) for a, b in zip([0, *token_store.cut(x)], token_store.cut(x))}
+    a, b = ends(body), ends(np.concatenate([rng.integers(0, 49_000, 137), body]))
+    assert len(a & b) > 0.9 * len(a)
+    parts = [rng.bytes(4 * int(n)) for n in rng.integers(1, 900, 40)]
+    got = token_store.crc32_joined(np.array([zlib.crc32(p) for p in parts], np.uint32), np.array([len(p) for p in parts]), np.repeat([0, 1], 20), 2)
+    assert got.tolist() == [zlib.crc32(b"".join(parts[:20])), zlib.crc32(b"".join(parts[20:]))]
+    with pytest.raises(ValueError):
+        list(token_store._checked([__import__("pyarrow").RecordBatch.from_pydict({"digest": [b"0" * 16], "data": [b"abcd"], "n": [2]})], False))
+
+
+def test_op5_fingerprints(docs, none, spark):
+    rows = [r for r in _rows() if r[0] is not None and r[0] != 2]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    got = {r.doc_id: r for r in iblt.compare_with_next(df).collect()}
+    rows.sort()
+    for k, r in enumerate(rows):
+        text, following = r[1] or "", rows[k - 1][1] or ""
+        half = len(text) // 2
+        other, have = text[: len(text) - half] + following[:half], got[r[0]]
+        assert have.n_chars == len(text) and have.edited_sha256 == hashlib.sha256(other.encode()).hexdigest()
+        sets = [set(iblt.paragraphs(x).tolist()) for x in (text, other, following)]
+        like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+        assert have.near_edited == pytest.approx(like(sets[0], sets[1])) and have.near_next == pytest.approx(like(sets[0], sets[2]))
+    assert got[1].fingerprint == got[8].fingerprint
+    assert iblt.compare_with_next(docs).count() == len(_rows())
+    assert iblt.compare_with_next(none).count() == 0
+    one = iblt.compare_with_next(spark.createDataFrame([(5, "a b")], "doc_id bigint, text string")).first()
+    assert one.near_next == 1.0
+
+
+@pytest.mark.parametrize("n", [0, 1, 40, 3000])
+def test_op5_peeling_recovers_the_difference(n):
+    rng = np.random.default_rng(n)
+    shared, a, b = (np.unique(rng.integers(0, 1 << 63, k, dtype=np.uint64)) for k in (500, n, n // 2))
+    only_a, only_b, _ = iblt.difference(np.union1d(shared, a), np.union1d(shared, b))
+    assert set(only_a) == set(a) and set(only_b) == set(b)
+
+
+def test_op6_counts_and_rules(docs, none):
+    got = quality.judge(docs, keep=["doc_id", "kept"]).collect()
+    want = collections.Counter()
+    for r in _rows():
+        text = r[1] or ""
+        words = re.findall(WORD, text)
+        grams = collections.Counter(tuple(words[k : k + 3]) for k in range(len(words) - 2))
+        cover = [False] * len(words)
+        for k in range(len(words) - 2):
+            if grams[tuple(words[k : k + 3])] > 1:
+                cover[k : k + 3] = [True] * 3
+        lines = [x for x in text.split("\n") if re.search(WORD, x)]
+        n, rep = len(words), sum(cover)
+        want[r[0], n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), rep, n < 50 or 100 * rep > 50 * n] += 1
+    assert collections.Counter((r.doc_id, *(r[c] for c in quality.COUNTS), r.base_failed) for r in got) == want
+    assert not any(r.kept for r in got if r.base_failed) and any(r.kept for r in got)
+    assert quality.judge(none).count() == 0
+
+
+def test_op6_thresholds_do_not_depend_on_the_partitions(spark):
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choice(["a", "bc", "#", "Q"]) + str(rng.randrange(400)) for _ in range(80)), "en", "s") for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    a, b = (quality.judge(df.repartition(k), keep=["doc_id"]).select("doc_id", "kept", "limits") for k in (2, 7))
+    assert {(r[0], r[1], tuple(sorted(r[2].items()))) for r in a.collect()} == {(r[0], r[1], tuple(sorted(r[2].items()))) for r in b.collect()}
+
+
+def test_op7_targets_are_met(spark):
+    rng = random.Random(4)
+    rows, labels = [], []
+    for k in range(600):
+        kind = k % 10
+        words = [rng.choice("sea tide fish net boat".split()) + str(rng.randrange(30)) for _ in range(rng.randrange(60, 200))]
+        if kind == 0:
+            words[::9] = ["idiot"] * len(words[::9])
+        if kind in (1, 2):
+            words = ["buy!!"] * 80
+        rows.append((k, " ".join(words), "x"))
+        labels.append((k, 0 if kind in (1, 2) else 1, int(kind == 0)))
+    docs = spark.createDataFrame([*rows, (None, None, None), (None, "", "y")], "doc_id long, text string, rate string")
+    got = mixing.mix(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), {"clean": 0.8, "poor": 0.15, "toxic": 0.05}, keep=["doc_id", "rate"])
+    out = got.toPandas()
+    assert len(out) == 602 and (out.rate >= 0).all() and list(out.columns).count("rate") == 1
+    mass = [(out.n_tokens * out[f"p_{d}"] * out.rate).sum() for d in mixing.DOMAINS]
+    total = out.n_tokens.sum()
+    assert mass == pytest.approx([0.8 * total, 0.15 * total, 0.05 * total], rel=5e-3)
+    truth = {k: 2 if t else 1 - q for k, q, t in labels}
+    best = out.dropna(subset=["doc_id"])
+    assert (best[[f"p_{d}" for d in mixing.DOMAINS]].values.argmax(1) == [truth[int(i)] for i in best.doc_id]).mean() > 0.95
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert mixing.mix(empty, spark.createDataFrame([], "doc_id long, quality int, toxic int"), {"clean": 1.0}, keep=["doc_id"]).count() == 0
+
+
+def test_op8_urls(spark):
+    urls = ["https://A.Example.ORG/es/x?q#f", "http://b.example.org/en/12", "x://example.com/fr/1", "http://q.com/de/", "http://spam-farm.example.org/en/7", "http://www.casino-win.example.net/zz", "http://other.example.net", None, "nonsense", "a://b://c/d", "http://example.net?x"]
+    got = url_filter.judge(spark.createDataFrame([(k, u, "z") for k, u in enumerate([*urls, urls[0]])], "page_id long, url string, host string")).orderBy("page_id").collect()
+    assert [(r.host, r.path, r.rule, r.verdict) for r in got] == [
+        ("a.example.org", "/es/x", "example.org/es/", "block"), ("b.example.org", "/en/12", "example.org/en/1", "block"), ("example.com", "/fr/1", "com/fr/", "allow"), ("q.com", "/de/", "com/de/", "block"),
+        ("spam-farm.example.org", "/en/7", "org/", "allow"), ("www.casino-win.example.net", "/zz", None, "block"), ("other.example.net", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"),
+        ("b:", "//c/d", None, "allow"), ("example.net", "", None, "allow"), ("a.example.org", "/es/x", "example.org/es/", "block"),
+    ]
+    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_op8_cascade_is_exact(spark):
+    universe = spark.range(20_000).select(F.concat(F.lit("host"), "id", F.lit(".example")).alias("key"))
+    listed = universe.where("key LIKE '%77.example'")
+    cascade = url_filter.build(universe, listed)
+    assert len(cascade.levels) > 1
+    got = {r.key for r in universe.where(cascade.listed(F.col("key"))).collect()}
+    assert got == {r.key for r in listed.collect()}
+
+
+def test_op9_surrogates(docs, none):
+    got = {r.doc_id: r for r in pii.replace(docs).where("doc_id IS NOT NULL").collect()}
+    texts = dict(enumerate(_texts()))
+    a, b = 19, 20
+    for k, t in texts.items():
+        if k not in (a, b):
+            assert got[k].text == t
+    for secret in ("anna.b@", "555-3824", "10.20.30.40", "Anna Smith"):
+        assert secret not in got[a].text + got[b].text
+    find = lambda p, k: re.search(p, got[k].text).group(0)
+    assert find(r"\d+\.\d+\.\d+\.\d+", a) == find(r"\d+\.\d+\.\d+\.\d+", b)
+    assert find(r"\S+@\S+\.com", a) == find(r"\S+@\S+\.com", b) and re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", got[a].text)
+    name = re.match(r"Mrs (\w+) (\w+) wrote", got[b].text)
+    assert name and name[1] in pii.GIVEN["f"]["latin"]
+    assert (got[a].n_email, got[a].n_phone, got[a].n_ip, got[b].n_name) == (1, 1, 1, 1)
+    assert pii.replace(docs).count() == len(_rows()) and pii.replace(none).count() == 0
+
+
+def test_op9_small_spaces_stay_distinct(spark):
+    df = spark.createDataFrame([(k, f"write to {chr(97 + k % 26)}{k // 26}@x.org now") for k in range(260)], "doc_id long, text string")
+    out = [r.text for r in pii.replace(df).collect()]
+    assert len(set(out)) == 260
+
+
+def test_op10_components(docs, none):
+    rows = _rows()
+    prints = []
+    for r in rows:
+        w = re.findall(WORD.encode(), (r[1] or "").encode().lower())
+        sh = [b" ".join(w[k : k + 3]) for k in range(len(w) - 2)] if len(w) > 2 else [b" ".join(w)] if w else []
+        c = [sum(xxhash.xxh64_intdigest(s, 42) >> b & 1 for s in sh) for b in range(64)]
+        prints.append(sum(1 << b for b in range(64) if 2 * c[b] > len(sh)))
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if bin(prints[i] ^ prints[j]).count("1") <= 2:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    least = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            least[find(i)] = min(least.get(find(i), r[0]), r[0])
+    want = collections.Counter((r[0], f"{prints[i]:016x}", least.get(find(i))) for i, r in enumerate(rows))
+    got = simhash.cluster(docs, ["doc_id", "fp"]).select("doc_id", simhash.hex16(F.col("fp")), "component_id").collect()
+    assert _multiset(got) == want
+    assert simhash.cluster(none, ["doc_id"]).count() == 0
+
+
+def test_op10_anchors_miss_no_pair(spark):
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    more = base.copy()
+    for k in range(len(more)):
+        for b in rng.choice(64, rng.integers(1, 4), replace=False):
+            more[k] ^= np.uint64(1) << np.uint64(b)
+    fps = np.unique(np.concatenate([base, more]))
+    pairs = [(int(x), int(y)) for i, x in enumerate(fps) for y in fps[:i] if 0 < int(x ^ y).bit_count() <= 2]
+    df = spark.createDataFrame([(int(x.astype(np.int64)),) for x in fps], "fp long")
+    root = {r.node: r.root for r in components.components(simhash.links(df)).collect()}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    assert pairs and all(root.get(signed(x), signed(x)) == root.get(signed(y), signed(y)) for x, y in pairs)
+
+
+def test_op10_dense_anchor_is_looked_up(monkeypatch):
+    rng = np.random.default_rng(3)
+    fps = np.unique(np.uint64(1 << 50) ^ (np.uint64(1) << rng.integers(0, 16, 400).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 16, 400).astype(np.uint64)))
+    want = {(int(x), int(y)) for x in fps for y in fps if 0 < int(x ^ y).bit_count() <= 2}
+    got = {(int(a), int(b)) for u, v in simhash._links_of_one(fps, fps, 2) for a, b in zip(u, v)}
+    assert got == want
+
+
+def test_components_of_paths_and_stars(spark):
+    edges = [(k, k + 1) for k in range(60)] + [(1000, k) for k in range(200, 230)] + [(5000, 5000)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert all(got[k] == 0 for k in range(1, 61)) and all(got[k] == 200 for k in [*range(201, 230), 1000]) and 5000 not in got
+    assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_near_copies(spark, docs, none):
+    got = sorted(r.doc_id if r.doc_id is not None else -1 for r in near_copies.drop_near_copies(docs).collect())
+    texts = _texts()
+    gone = {8, 9, 13, 16, 19}  # a copy, near copies, and texts without words beside the first
+    assert got == [k for k in range(len(texts)) if k not in gone]
+    assert near_copies.drop_near_copies(none).count() == 0 and near_copies.drop_near_copies(docs).columns == docs.columns
+
+
+def test_near_copies_of_a_large_group(spark):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(9000)}" for _ in range(300)]
+    rows = []
+    for k in range(150):
+        words = list(base)
+        words[rng.randrange(300)] = f"z{k}"
+        rows.append((k, " ".join(words)))
+    rows += [(1000 + k, " ".join(f"v{rng.randrange(9000)}" for _ in range(300))) for k in range(20)]
+    left = {r.doc_id for r in near_copies.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == {0, *range(1000, 1020)}
+
+
+def test_pipeline_stages(spark, sf_dir):
+    pytest.importorskip("corpus_pipeline")
+    import corpus_pipeline
+
+    source = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert {"doc_id", "ids", "n_tokens"} <= set(out.columns)
+    ids = out.select("doc_id").distinct()
+    assert 0 < ids.count() < source.count() and ids.join(source, "doc_id", "left_anti").isEmpty()
