@@ -18,12 +18,14 @@ def spread_static(covariates: DataFrame, years: list[int]) -> DataFrame:
 def nearest_in_year(query: DataFrame, covariates: DataFrame, values: list[str], key: str = "q") -> DataFrame:
     """query (key, year, lat, lon) with values of the nearest covariate row of its year (ties: smallest id); distance in degrees.
 
-    An equi-join on the year with a partial minimum, so that pairs are folded before they are shuffled.
+    Joined by year and cell, so a query meets the sites around it and not its whole year; years
+    without sites drop out.
     """
-    right = covariates.select("year", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col("id").alias("_id"), *values)
-    d2 = squared_distance(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))
-    best = query.join(right, "year").groupBy(key, "year").agg(F.min(F.struct(d2.alias("d2"), F.col("_id").alias("id"), *values)).alias("b"))
-    return best.select(key, "year", F.col("b.id").alias("cov_id"), *(F.col(f"b.{v}").alias(v) for v in values))
+    from seamark.operators.spatial import nearest_bucketed
+
+    place = [F.col("lat").alias("e_km"), F.col("lon").alias("n_km")]
+    found = nearest_bucketed(query.select(key, "year", *place), covariates.select("year", *place, "id"), "id", by=("year",)).where("id IS NOT NULL")
+    return found.select(key, "year", F.col("id").alias("cov_id")).join(covariates.select(F.col("id").alias("cov_id"), "year", *values), ["cov_id", "year"]).select(key, "year", "cov_id", *values)
 
 
 def replace_rows(old: DataFrame, new: DataFrame, on: tuple[str, ...] = ("lat", "lon", "year")) -> DataFrame:

@@ -27,11 +27,12 @@ def nearest(query: DataFrame, sites: DataFrame, site_id: str, limit: int = BROAD
     return query.join(F.broadcast(packed)).withColumn("_best", best).withColumn(site_id, F.col("_best.id")).withColumn("d2", F.col("_best.d2")).drop("_sites", "_best")
 
 
-def nearest_bucketed(query: DataFrame, sites: DataFrame, site_id: str, width: float | None = None) -> DataFrame:
+def nearest_bucketed(query: DataFrame, sites: DataFrame, site_id: str, width: float | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """As nearest, by an equi-join on cells: each query looks into the 3 by 3 cells around it, in growing cells until all are settled.
 
     A query is settled once its best site is no farther than a cell is wide.  Widths
-    double, so few rounds are needed and the last holds few queries.
+    double, so few rounds are needed and the last holds few queries.  by: columns that a
+    query and its site must share; queries without such a site get nulls.
     """
     keyed = query.withColumn("_q", F.monotonically_increasing_id())
     from seamark.operators.lineage import written
@@ -42,14 +43,14 @@ def nearest_bucketed(query: DataFrame, sites: DataFrame, site_id: str, width: fl
         return query.withColumn(site_id, F.lit(None).cast(sites.schema[site_id].dataType)).withColumn("d2", F.lit(None).cast("double"))
     span = max(float(box[1] - box[0]), float(box[3] - box[2]), 1e-9)
     width = width or 2 * span / max(1.0, box[4] ** 0.5)
-    plain = sites.select(F.col(site_id), F.col("e_km").alias("_e"), F.col("n_km").alias("_n"))
-    points = keyed.select("_q", "e_km", "n_km")
+    plain = sites.select(*by, F.col(site_id), F.col("e_km").alias("_e"), F.col("n_km").alias("_n"))
+    points = keyed.select("_q", *by, "e_km", "n_km")
     reach = max(span, *(abs(float(x)) for x in points.agg(F.min("e_km"), F.max("e_km"), F.min("n_km"), F.max("n_km")).first() if x is not None), *(abs(float(x)) for x in box[:4]))
     parts, todo = [], points
     while True:
         cell = lambda c, w=width: F.floor(c / w)
         around = F.explode(F.array(*(F.struct((cell(F.col("e_km")) + i).alias("i"), (cell(F.col("n_km")) + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("_c")
-        near = todo.select("_q", "e_km", "n_km", around).select("_q", "e_km", "n_km", "_c.i", "_c.j").join(plain.withColumn("i", cell(F.col("_e"))).withColumn("j", cell(F.col("_n"))), ["i", "j"])
+        near = todo.select("_q", *by, "e_km", "n_km", around).select("_q", *by, "e_km", "n_km", "_c.i", "_c.j").join(plain.withColumn("i", cell(F.col("_e"))).withColumn("j", cell(F.col("_n"))), [*by, "i", "j"])
         best = near.groupBy("_q").agg(F.min(F.struct(squared_distance(F.col("e_km"), F.col("n_km"), F.col("_e"), F.col("_n")).alias("d2"), F.col(site_id).alias("id"))).alias("best"))
         settled = written(best.where(F.col("best.d2") <= width * width)) if width < 4 * reach else written(best)
         parts.append(settled)
