@@ -136,24 +136,90 @@ def difference(a: np.ndarray, b: np.ndarray, cells: int = CELLS) -> tuple[np.nda
         cells *= 2
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Shared paragraphs over all; 1 for two documents without any.
+def _peel_many(digests: np.ndarray, pair: np.ndarray, sign: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Peels the differences of many pairs of documents at once, each in cells of its own.
 
-    Cells that differ give a first estimate of the difference, so that the sketches
-    that are tried start near the right size.
+    sign is 1 for digests of a pair's first document, -1 for its second's; cells are
+    multiples of HASHES.  Returns, for each pair, whether it peeled, how many digests only the
+    first and only the second has, and the sum of squares of the counts before peeling.
     """
-    if not len(a) and not len(b):
-        return 1.0
-    first = Sketch.of(a, CELLS) - Sketch.of(b, CELLS)
-    got = first.peel()
-    if got is None:
-        # the variance of the counts of differing digests tells roughly how many there are
-        guess = float((first.count.astype(float) ** 2).sum()) / HASHES
-        only_a, only_b, _ = difference(a, b, max(2 * CELLS, HASHES * int(0.6 * guess)))
-    else:
-        only_a, only_b = got
-    both = (len(a) + len(b) - len(only_a) - len(only_b)) / 2
-    return both / (both + len(only_a) + len(only_b))
+    third, begin = cells // HASHES, np.cumsum(cells) - cells
+    n, pairs = int(cells.sum()), len(cells)
+    owner = np.repeat(np.arange(pairs), cells)
+
+    def places(d, p):
+        return [begin[p] + j * third[p] + (_mix(d, j + 1) % third[p].astype(np.uint64)).astype(np.int64) for j in range(HASHES)]
+
+    count, keys, checks = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+
+    def add(d, p, s):
+        negative = s < 0
+        with np.errstate(over="ignore"):
+            d_signed, c = np.where(negative, np.uint64(0) - d, d), _mix(d, 9)
+            c = np.where(negative, np.uint64(0) - c, c)
+            at = places(d, p)
+            for x in at:
+                np.add.at(count, x, s)
+                np.add.at(keys, x, d_signed)
+                np.add.at(checks, x, c)
+        return np.concatenate(at)
+
+    add(digests, pair, sign)
+    squares = np.bincount(owner, weights=count.astype(float) ** 2, minlength=pairs)
+    first, second = np.zeros(pairs, np.int64), np.zeros(pairs, np.int64)
+    look = np.arange(n)
+    while len(look):
+        c, k, x = count[look], keys[look], checks[look]
+        with np.errstate(over="ignore"):
+            negative = c < 0
+            k, x = np.where(negative, np.uint64(0) - k, k), np.where(negative, np.uint64(0) - x, x)
+            pure = (np.abs(c) == 1) & (_mix(k, 9) == x)
+            k, c, at = k[pure], c[pure], look[pure]
+            p = owner[at]
+            _, once = np.unique(k ^ (p.astype(np.uint64) * _M1), return_index=True)
+        k, c, p, at = k[once], c[once], p[once], at[once]
+        own = np.zeros(len(k), bool)
+        for place in places(k, p):
+            own |= place == at  # a digest can only stand in its own cells
+        k, c, p = k[own], c[own], p[own]
+        first += np.bincount(p[c > 0], minlength=pairs)
+        second += np.bincount(p[c < 0], minlength=pairs)
+        look = np.unique(add(k, p, -c)) if len(k) else look[:0]
+    left = np.bincount(owner, weights=(count != 0) | (keys != 0) | (checks != 0), minlength=pairs)
+    return left == 0, first, second, squares
+
+
+def likeness_many(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Shared paragraphs over all, for pairs of sets of digests; 1 for two documents without any.
+
+    All pairs are peeled together.  What gets stuck is tried again: first in as many cells as
+    the spread of the counts asks for, then in twice as many each time.
+    """
+    out = np.ones(len(pairs))
+    todo = np.array([k for k, (a, b) in enumerate(pairs) if len(a) or len(b)], np.int64)
+    cells = np.full(len(pairs), CELLS, np.int64)
+    first = True
+    while len(todo):
+        sets = [x for k in todo for x in pairs[k]]
+        sizes = np.array([len(x) for x in sets], np.int64)
+        digests = np.concatenate(sets)
+        pair, sign = np.repeat(np.arange(len(todo)), sizes.reshape(-1, 2).sum(axis=1)), np.repeat(np.tile([1, -1], len(todo)), sizes)
+        done, only_a, only_b, squares = _peel_many(digests, pair, sign, cells[todo])
+        total = sizes.reshape(-1, 2).sum(axis=1)
+        both = (total - only_a - only_b) / 2
+        out[todo[done]] = (both / (both + only_a + only_b))[done]
+        stuck = ~done
+        # what the counts vary beyond the surplus that the sizes tell of grows with the difference
+        surplus = np.abs(sizes[::2] - sizes[1::2])
+        guess = np.clip((squares - 9.0 * surplus**2 / cells[todo]) / HASHES, surplus, total)
+        grown = np.maximum(cells[todo] * 2, np.ceil(1.8 * guess).astype(np.int64) if first else 0)
+        cells[todo] = grown - grown % HASHES
+        todo, first = todo[stuck], False
+    return out
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    return float(likeness_many([(a, b)])[0])
 
 
 def edited(text: str, following: str) -> str:
@@ -169,25 +235,24 @@ def _compare(batches):
     """Rows of a bucket from the largest id down; each is compared with the next one, a guest row ends its bucket."""
     before = None  # (bucket, doc_id, text, paragraphs)
 
-    def row(doc, text, digests):
-        other = edited(doc[2], text)
-        changed = paragraphs(other)
-        return (
-            doc[1], len(doc[2]), hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(), Sketch.of(doc[3], CELLS).text(), Sketch.of(changed, CELLS).text(),
-            likeness(doc[3], changed), likeness(doc[3], digests), other,
-        )
-
     for batch in batches:
         for begin in range(0, batch.num_rows, 256):
-            part, out = batch.slice(begin, 256), []
+            part, out, pairs = batch.slice(begin, 256), [], []
             for bucket, guest, doc_id, text in zip(*(part.column(k).to_pylist() for k in range(4))):
                 text = text or ""
                 digests = paragraphs(text)
                 if before is not None and before[0] == bucket:
-                    out.append(row(before, text, digests))
+                    other = edited(before[2], text)
+                    changed = paragraphs(other)
+                    pairs += [(before[3], changed), (before[3], digests)]
+                    prints = Sketch.of(before[3], CELLS).text(), Sketch.of(changed, CELLS).text()
+                    out.append((before[1], len(before[2]), hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(), *prints, other))
                 before = None if guest else (bucket, doc_id, text, digests)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), _KINDS)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edited_text"])
+                near = likeness_many(pairs).reshape(-1, 2)
+                columns = list(zip(*out))
+                columns[5:5] = [near[:, 0], near[:, 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, _KINDS)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edited_text"])
 
 
 def compare_with_next(docs: DataFrame) -> DataFrame:
