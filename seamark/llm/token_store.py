@@ -19,7 +19,12 @@ Layout under the store's path:
 from __future__ import annotations
 
 import hashlib
+import re
+import sys
+import unicodedata
 import zlib
+from array import array
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +34,9 @@ from pyspark.sql import functions as F
 from seamark.llm.common import parts_for, slices, text_bytes
 
 DIGEST = 16
+
+if sys.byteorder != "little" or array("I").itemsize != 4:
+    raise ImportError("ids are kept as little-endian unsigned 32-bit integers, which this machine's arrays are not")
 #: A chunk ends where the rolling hash of the last WINDOW ids has MASK_BITS low zeros, between LEAST and MOST ids.
 WINDOW, MASK_BITS, LEAST, MOST = 16, 8, 64, 2048
 _R = np.uint64(0x9E3779B97F4A7C15)
@@ -108,45 +116,72 @@ def crc32_joined(crcs: np.ndarray, lengths: np.ndarray, owner: np.ndarray, owner
     return out
 
 
-class _Words(dict):
-    """Ids of words between ASCII separators, which the tokenizer always parts; emptied when full."""
-
-    def __init__(self, tokenizer, most: int):
-        self.tokenizer, self.most = tokenizer, most
-
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > self.most:
-            self.clear()
-            new = list(words)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self[w] = np.array(e.ids, "<u4").tobytes()
-
-
 class WordTokenizer:
     """A tokenizers file; texts are encoded by word where that is the same, else whole."""
 
-    def __init__(self, data: bytes, kept: int = 600_000):
+    def __init__(self, data: bytes, kept: int = 500_000):
         import os
-        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_buffer(data)
-        self.words = _Words(self.whole, kept)
+        #: Ids of words, and of letters and marks alone; either is emptied before a batch once it is full.
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.kept = kept
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         #: White space on which Python and the library could differ; texts that hold any are encoded whole.
         self.odd = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]").search
+        #: Letters and then marks: the library parts them, and lowers case first, so many words share their letters' ids.
+        self.split = re.compile(r"([^\W\d_]+)([.,!?;:#*$%&|]*)").fullmatch
+        self.folds = self._same("Ab,") and self._same("\u00c9l!!")
+
+    def _same(self, word: str) -> bool:
+        """Whether this file's tokenizer does part and lower words in that way."""
+        letters, marks = self.split(word).groups()
+        ids = lambda x: self.whole.encode(x, add_special_tokens=False).ids
+        return ids(word) == ids(letters.lower()) + ids(marks)
+
+    def _learn(self, new: list[str]) -> None:
+        """Words that the cache lacks, by their letters and marks where that is the same."""
+        first, second = [], []
+        for w in new:
+            if w.isalpha():
+                a, b = w, ""
+            elif w[-1] in ".," and w[:-1].isalpha():
+                a, b = w[:-1], w[-1]
+            else:
+                m = self.split(w)
+                a, b = m.groups() if m else (None, "")
+            if a is None or not self.folds:
+                a, b = w, ""
+            elif a.isascii():
+                a = a.lower()
+            elif unicodedata.is_normalized("NFC", a) and len(a.lower()) == len(a) and "\u03a3" not in a:
+                a = a.lower()
+            else:
+                a, b = w, ""
+            first.append(a)
+            second.append(b)
+        parts = self.parts
+        parts[""] = b""
+        missing = list({*first, *second}.difference(parts))
+        if missing:
+            parts.update(zip(missing, [array("I", e.ids).tobytes() for e in self.whole.encode_batch_fast(missing, add_special_tokens=False)]))
+        self.words.update(zip(new, map(add, map(parts.__getitem__, first), map(parts.__getitem__, second))))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         split = [None if self.odd(t) or any(s in t for s in self.special) else t.split() for t in texts]
-        new: set[str] = set()
+        for kept in (self.words, self.parts):
+            if len(kept) >= self.kept:
+                kept.clear()
+        seen: set[str] = set()
         for words in split:
             if words:
-                new.update(words)
-        self.words.learn(new)
+                seen.update(words)
+        self._learn(list(seen.difference(self.words)))
         get = self.words.__getitem__
         for k, (text, words) in enumerate(zip(texts, split)):
             out[k] = b"".join(map(get, words)) if words is not None else np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -172,7 +207,7 @@ def _encode(batches, shared, end_id: int, kind: str):
     run, seen = _tokenizer(shared.value), set()
     tail = np.array([end_id], "<u4").tobytes()
     for batch in batches:
-        for part in slices(batch, 256):
+        for part in slices(batch, 512):
             out = []
             encoded = run.encode([t or "" for t in part.column("text").to_pylist()])
             for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoded):
