@@ -63,6 +63,21 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def release() -> None:
+    """Give freed memory back to the system; called where a task ends, as workers are kept for further tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own counsel
+        pass
+
+
 def slices(batch, rows: int = 512):
     """Arrow batches in slices, so that one task holds few texts at a time."""
     for at in range(0, batch.num_rows, rows):

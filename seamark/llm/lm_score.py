@@ -33,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seamark.llm.common import materialise, parts_for, slices, text_bytes
+from seamark.llm.common import materialise, parts_for, release, slices, text_bytes
 
 #: A word is looked up rather than joined if it makes up more than 1 / HEAVY of all tokens.
 HEAVY = 50_000
 #: Distinct words that a task counts before it sends them on.
-HELD = 400_000
+HELD = 200_000
 _R = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _MARK = "▁".encode()
@@ -233,6 +233,7 @@ def _count(batches, langs: list[str | None]):
                 if len(every) > HELD:
                     yield from done()
     yield from done()
+    release()
 
 
 def _expect(batches, shared):
@@ -247,6 +248,7 @@ def _expect(batches, shared):
                 lattice.expected(letters, known[at].astype(float), into)
     at, k = np.nonzero(into)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(k, pa.int64()), pa.array(np.rint(into[at, k] * _SCALE).astype(np.int64))], names=["at", "k", "n"])
+    release()
 
 
 def _kept(c: np.ndarray, discount: float, tokens: float) -> np.ndarray:
@@ -278,6 +280,7 @@ def _score_words(batches, shared, discount: float, totals: list[tuple[int, int,
                 [part.column("word"), pa.array(np.log10(c.sum(axis=0) + 1)), pa.array((c.sum(axis=0) > 0).astype(np.int64)), *(pa.array(x / math.log(10)) for x in lm)],
                 names=["word", "lb", "known", *(f"lm{k}" for k in range(len(per)))],
             )
+    release()
 
 
 def _sent(classes: int) -> str:
@@ -314,6 +317,7 @@ def _look_up(batches, shared, end: list[float]):
             for k in range(0, len(words), 50_000):
                 w = words[k : k + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(owners[k : k + 50_000], pa.int64()), *(pa.nulls(len(w), t) for t in kinds[2:])], names=names)
+    release()
 
 
 def score(docs: DataFrame, model_path: str, rounds: int = 1) -> DataFrame:
