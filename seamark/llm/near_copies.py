@@ -22,8 +22,8 @@ from seamark.llm.simhash import CODE_BITS, links
 SEEDS, SHINGLE, SIMILARITY = 5, 5, 0.8
 #: Up to so many shingles are compared exactly; of more, one in 2, 4, ... so that half as many remain at least.
 EXACT = 256
-#: Groups of candidates are compared pair by pair up to SMALL, by LEADERS of theirs beyond, in shares of SHARE texts.
-SMALL, LEADERS, SHARE = 64, 32, 5_000
+#: Groups of candidates are compared in shares of SHARE texts.
+SHARE = 5_000
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -64,44 +64,53 @@ def _signatures(batches):
             )
 
 
-def alike(a: tuple[int, int, np.ndarray], b: tuple[int, int, np.ndarray]) -> float:
-    """Jaccard similarity of (shingles, step, sorted hashes); estimated where a step is over 1."""
-    if min(a[0], b[0]) < SIMILARITY * max(a[0], b[0]):
-        return 0.0  # sizes alone rule it out
-    step = max(a[1], b[1])
-    x, y = (s[2] if s[1] == step else s[2][s[2] % np.uint32(step) == 0] for s in (a, b))
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / max(1, len(x) + len(y) - both)
-
-
-def _group(ids: list[int], sets: list[tuple[int, int, np.ndarray]]) -> list[int]:
-    """The leader (position of the first of its group) of each text."""
-    n = len(ids)
-    root = list(range(n))
-
-    def find(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    def join(i, j):
-        if find(i) != find(j) and alike(sets[i], sets[j]) >= SIMILARITY:
-            a, b = sorted((find(i), find(j)))
-            root[b] = a
-
-    if n <= SMALL:
-        for i in range(n):
-            for j in range(i):
-                join(i, j)
-    else:
-        # texts near the middle of the group link most: those that hold most of the shingles that many share
-        values, times = np.unique(np.concatenate([s[2] for s in sets]), return_counts=True)
-        weight = [float(times[np.searchsorted(values, s[2])].mean()) if len(s[2]) else 0.0 for s in sets]
-        for i in sorted(range(n), key=lambda i: -weight[i])[:LEADERS]:
-            for j in range(n):
-                join(i, j)
-    return [find(i) for i in range(n)]
+def _group(sets: list[tuple[int, int, np.ndarray]]) -> list[int]:
+    """The position of the first text that verified links lead to, for each text; every pair is settled.
+
+    Two sets with a Jaccard similarity of t share one of the first n - ceil(t n) + 1 of either
+    under any common order, here rarest first; pairs that share none, or that links
+    already join, need no comparison.
+    """
+    count = len(sets)
+    root = np.arange(count)
+    for step in np.unique([s[1] for s in sets]):
+        # pairs whose coarser sample has this step
+        here = np.flatnonzero([s[1] <= step for s in sets])
+        held = [s[2] if s[1] == step else s[2][s[2] % np.uint32(step) == 0] for s in (sets[i] for i in here)]
+        _join(root, here, held, np.array([sets[i][1] == step for i in here]), np.array([sets[i][0] for i in here]))
+    return root.tolist()
+
+
+def _join(root: np.ndarray, here: np.ndarray, held: list[np.ndarray], new: np.ndarray, whole: np.ndarray) -> None:
+    """Joins in root all pairs of held (texts at positions here) that are alike and have one of new; whole has their sizes."""
+    n = np.array([len(x) for x in held])
+    _, code, times = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+    owner, begin = np.repeat(np.arange(len(held)), n), np.concatenate([[0], np.cumsum(n)])
+    code = code[np.lexsort((code, times[code], owner))]
+    prefix = n - np.ceil(SIMILARITY * n - 1e-9).astype(np.int64) + 1
+    first = (np.arange(len(code)) - begin[owner] < prefix[owner]) & (times[code] > 1)
+    token, holder = code[first], owner[first]
+    own = np.searchsorted(holder, np.arange(len(held) + 1))
+    by = np.argsort(token, kind="stable")
+    holders, lists = holder[by], np.searchsorted(token[by], np.arange(len(times) + 1))
+    mark = np.zeros(len(times), bool)
+    for j in range(len(held)):
+        mine = token[own[j] : own[j + 1]]
+        size = lists[mine + 1] - lists[mine]
+        at = np.repeat(lists[mine] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        met = np.zeros(len(held), bool)
+        met[holders[at]] = True
+        met[j:] = False
+        met &= (np.minimum(whole, whole[j]) >= SIMILARITY * np.maximum(whole, whole[j]) - 1e-9) & (new | new[j])
+        near, chunk = np.flatnonzero(met), 4
+        mark[code[begin[j] : begin[j + 1]]] = True
+        while len(near := near[root[here[near]] != root[here[j]]]):
+            some, near, chunk = near[:chunk], near[chunk:], min(256, chunk * 4)
+            both = np.array([np.count_nonzero(mark[code[begin[i] : begin[i + 1]]]) for i in some])
+            for i in some[both >= SIMILARITY * (n[some] + n[j] - both) - 1e-9]:
+                x, y = sorted((root[here[i]], root[here[j]]))
+                root[root == y] = x
+        mark[code[begin[j] : begin[j + 1]]] = False
 
 
 def _decide(batches):
@@ -113,7 +122,7 @@ def _decide(batches):
         sets = [(a, b, np.frombuffer(s, "<u4")) for a, b, s in zip(n, step, batch.column("sketch").to_pylist())]
         out = []
         for a, b in zip(cuts, [*cuts[1:], len(parts)]):
-            out += [(rid[a + i], rid[a + k]) for i, k in enumerate(_group(rid[a:b], sets[a:b])) if k != i]
+            out += [(rid[a + i], rid[a + k]) for i, k in enumerate(_group(sets[a:b])) if k != i]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["rid", "leader"])
 

@@ -402,6 +402,42 @@ def test_near_copies_of_a_large_group(spark):
     assert left == {0, *range(1000, 1020)}
 
 
+def _versions(rng, words, count, tag):
+    """Texts that each differ from the base in one word of their own."""
+    out = []
+    for k in range(count):
+        own = list(words)
+        own[rng.randrange(len(own))] = f"{tag}{k}"
+        out.append(" ".join(own))
+    return out
+
+
+def _jaccard_roots(texts):
+    shingles = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(shingles[i] & shingles[j])
+            if root[i] != root[j] and 5 * both >= 4 * (len(shingles[i]) + len(shingles[j]) - both):
+                x, y = sorted((root[i], root[j]))
+                root = [x if r == y else r for r in root]
+    return root
+
+
+def _sets(texts):
+    return [(n, step, np.frombuffer(kept, "<u4")) for n, step, kept, _ in map(near_copies.signature, texts)]
+
+
+def test_near_copies_of_several_families():
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(9000)}" for _ in range(200)]
+    chain = [" ".join([*(f"n{k}" for k in range(4 * step)), *words[4 * step :]]) for step in range(45)]
+    texts = [*_versions(rng, words, 100, "a"), *_versions(rng, [f"v{rng.randrange(9000)}" for _ in range(200)], 90, "b"), *chain]
+    rng.shuffle(texts)
+    want = _jaccard_roots(texts)
+    assert near_copies._group(_sets(texts)) == want and len(set(want)) == 2
+
+
 def test_pipeline_stages(spark, sf_dir):
     pytest.importorskip("corpus_pipeline")
     import corpus_pipeline
