@@ -22,8 +22,8 @@ from seamark.llm.simhash import CODE_BITS, links
 SEEDS, SHINGLE, SIMILARITY = 5, 5, 0.8
 #: Up to so many shingles are compared exactly; of more, one in 2, 4, ... so that half as many remain at least.
 EXACT = 256
-#: Groups of candidates are compared in shares of SHARE texts.
-SHARE = 5_000
+#: Larger groups of candidates are dealt into shares of SHARE texts, about PIVOTS of which go to every share.
+SHARE, PIVOTS = 2_000, 32
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -64,15 +64,17 @@ def _signatures(batches):
             )
 
 
-def _group(sets: list[tuple[int, int, np.ndarray]]) -> list[int]:
-    """The position of the first text that verified links lead to, for each text; every pair is settled.
+def _group(sets: list[tuple[int, int, np.ndarray]], known: list[int]) -> list[int]:
+    """The position of the first text that links lead to, for each text; every pair is settled.
+
+    Texts with the same value of known are joined from the start.
 
     Two sets with a Jaccard similarity of t share one of the first n - ceil(t n) + 1 of either
     under any common order, here rarest first; pairs that share none, or that links
     already join, need no comparison.
     """
-    count = len(sets)
-    root = np.arange(count)
+    _, first, which = np.unique(known, return_index=True, return_inverse=True)
+    root = first[which]
     for step in np.unique([s[1] for s in sets]):
         # pairs whose coarser sample has this step
         here = np.flatnonzero([s[1] <= step for s in sets])
@@ -114,23 +116,55 @@ def _join(root: np.ndarray, here: np.ndarray, held: list[np.ndarray], new: np.nd
 
 
 def _decide(batches):
-    """(rid, leader) for texts of a candidate group, least id first."""
+    """(u, v) that span the same components as known links and all pairs of near copies within a part."""
     for batch in runs(batches, "part"):
         parts = batch.column("part").to_numpy()
         cuts = np.flatnonzero(np.diff(parts, prepend=parts[0] - 1))
-        rid, n, step = (batch.column(c).to_pylist() for c in ("rid", "n", "step"))
+        rid, known, n, step = (batch.column(c).to_pylist() for c in ("rid", "known", "n", "step"))
         sets = [(a, b, np.frombuffer(s, "<u4")) for a, b, s in zip(n, step, batch.column("sketch").to_pylist())]
         out = []
         for a, b in zip(cuts, [*cuts[1:], len(parts)]):
-            out += [(rid[a + i], rid[a + k]) for i, k in enumerate(_group(sets[a:b])) if k != i]
+            out += [(rid[a + i], rid[a + k]) for i, k in enumerate(_group(sets[a:b], known[a:b])) if k != i]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["rid", "leader"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["u", "v"])
+
+
+def _compared(rows: DataFrame, parts: Column) -> DataFrame:
+    """rows: rid, known, n, step, sketch; each goes to all of its parts, and those of a part are compared."""
+    dealt = rows.select(F.explode(parts).alias("part"), "rid", "known", "n", "step", "sketch")
+    return dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_decide, "u bigint, v bigint")
+
 
+def _each(count: Column, part) -> Column:
+    return F.transform(F.sequence(F.lit(0).cast("bigint"), count - 1), part)
 
-def _leaders(candidates: DataFrame) -> DataFrame:
-    """candidates: part, doc_id, rid, n, step, sketch; a part's texts are compared."""
-    ordered = candidates.repartition("part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_last(), "rid")
-    return ordered.select("part", "rid", "n", "step", "sketch").mapInArrow(_decide, "rid bigint, leader bigint")
+
+def verified(candidates: DataFrame) -> DataFrame:
+    """(u, v) that span the same components as all pairs of near copies within a group.
+
+    candidates: root (the group), rid, n, step, sketch.  Groups are compared in shares,
+    and some texts in all of them.  Where this leaves a group in several components, its
+    largest one meets all other texts, and they each other, share by share: every
+    pair that links do not join is compared, and no task holds over two shares.
+    """
+    part, draw = F.xxhash64, F.xxhash64("rid")
+    sizes = candidates.groupBy("root").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
+    sized = materialise(candidates.join(sizes, "root"), "candidates")
+    pivot = (F.col("shares") > 1) & (F.pmod(F.xxhash64("rid", F.lit(1)), F.col("shares") * SHARE) < PIVOTS)
+    own = F.array(part("root", F.pmod(draw, F.col("shares"))))
+    first = materialise(_compared(sized.withColumn("known", F.col("rid")), F.when(pivot, _each(F.col("shares"), lambda q: part("root", q))).otherwise(own)), "verified")
+    large = sized.where("shares > 1")
+    if large.isEmpty():
+        return first
+    joined = components(first).select(F.col("node").alias("rid"), F.col("root").alias("known"))
+    placed = materialise(large.join(joined, "rid", "left").withColumn("known", F.coalesce("known", "rid")), "placed")
+    most = placed.groupBy("root", "known").count().groupBy("root").agg(F.max(F.struct("count", "known")).alias("m"), F.sum("count").alias("all")).where("all > m.count")
+    open_ = placed.join(most.select("root", F.col("m.known").alias("main"), F.ceil(F.col("m.count") / SHARE).alias("mains"), F.ceil((F.col("all") - F.col("m.count")) / SHARE).alias("rests")), "root")
+    main, rest = F.pmod(draw, F.col("mains")), F.pmod(draw, F.col("rests"))
+    among = _each(F.col("rests"), lambda q: part("root", F.lit(0), F.least(q, rest), F.greatest(q, rest)))
+    across = _each(F.col("mains"), lambda q: part("root", F.lit(1), q, rest))
+    to_rest = _each(F.col("rests"), lambda q: part("root", F.lit(1), main, q))
+    return first.union(_compared(open_, F.when(F.col("known") == F.col("main"), to_rest).otherwise(F.concat(among, across))))
 
 
 def _row_key(key: Column, doc_id: Column) -> Column:
@@ -149,7 +183,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     signed = materialise(rows.mapInArrow(_signatures, "rid bigint, doc_id bigint, key string, n bigint, step bigint, sketch binary, prints array<bigint>"), "signatures")
     # copies are one from here on: the smallest id stands for its text
     texts = materialise(
-        signed.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("best"), F.min("prints").alias("prints")).select("key", F.col("best.rid").alias("rid"), "prints"), "texts"
+        signed.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("best"), F.min("prints").alias("prints")).select("key", F.col("best.rid").alias("rid"), F.col("best.doc_id").alias("doc_id"), "prints"), "texts"
     )
     prints = texts.select("rid", F.explode("prints").alias("fp"))
     nodes = materialise(prints.groupBy("fp").agg(F.min("rid").alias("node")), "nodes")
@@ -157,17 +191,10 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     near = links(nodes.select("fp"), 2, tagged=True).join(nodes.select(F.col("fp").alias("u"), F.col("node").alias("a")), "u").join(nodes.select(F.col("fp").alias("v"), F.col("node").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
     rooted = components(same.union(near))
     groups = materialise(rooted.select(F.col("node").alias("rid"), "root").union(rooted.select(F.col("root").alias("rid"), "root").distinct()), "groups")
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
-    # a large group is compared in shares, then the leaders of its shares
-    candidates = materialise(
-        groups.join(sizes, "root").join(signed.drop("prints", "key"), "rid")
-        .select("root", "shares", F.xxhash64("root", F.when(F.col("shares") > 1, F.pmod(F.xxhash64("rid"), F.col("shares")))).alias("part"), "doc_id", "rid", "n", "step", "sketch"),
-        "candidates",
-    )
-    first = materialise(_leaders(candidates.drop("root", "shares")), "leaders")
-    heads = candidates.where("shares > 1").join(first, "rid", "left_anti")
-    second = _leaders(heads.select(F.col("root").alias("part"), "doc_id", "rid", "n", "step", "sketch"))
-    followers = first.select("rid").union(second.select("rid"))
+    alike = components(verified(groups.join(signed.select("rid", "n", "step", "sketch"), "rid")))
+    members = alike.select(F.col("node").alias("rid"), "root").union(alike.select(F.col("root").alias("rid"), "root").distinct())
+    first = members.join(texts.select("rid", "doc_id"), "rid").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("best"))
+    followers = members.join(first.select(F.col("best.rid").alias("rid")), "rid", "left_anti")
     kept = materialise(texts.select("rid").join(followers, "rid", "left_anti"), "kept")
     stay = signed.select("rid", "doc_id", "key").join(kept, "rid", "left_semi").select(_row_key(F.col("key"), F.col("doc_id")).alias("_k"))
     # by text and id together, so that the rows of a frequent text are dealt out; the window then needs no further exchange

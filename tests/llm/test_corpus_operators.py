@@ -435,7 +435,23 @@ def test_near_copies_of_several_families():
     texts = [*_versions(rng, words, 100, "a"), *_versions(rng, [f"v{rng.randrange(9000)}" for _ in range(200)], 90, "b"), *chain]
     rng.shuffle(texts)
     want = _jaccard_roots(texts)
-    assert near_copies._group(_sets(texts)) == want and len(set(want)) == 2
+    assert near_copies._group(_sets(texts), list(range(len(texts)))) == want and len(set(want)) == 2
+
+
+def test_near_copies_across_shares(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "SHARE", 20)
+    monkeypatch.setattr(near_copies, "PIVOTS", 2)
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(9000)}" for _ in range(200)]
+    chain = [" ".join([*(f"n{k}" for k in range(4 * step)), *words[4 * step :]]) for step in range(45)]
+    texts = [*_versions(rng, words, 60, "a"), *chain, *(" ".join(f"u{rng.randrange(9000)}" for _ in range(200)) for _ in range(50))]
+    rng.shuffle(texts)
+    rows = [(7, k, *s[:2], bytes(s[2])) for k, s in enumerate(_sets(texts))]
+    links = near_copies.verified(spark.createDataFrame(rows, "root long, rid long, n long, step long, sketch binary"))
+    got = list(range(len(texts)))
+    for r in components.components(links).collect():
+        got[r.node] = r.root
+    assert got == _jaccard_roots(texts)
 
 
 def test_pipeline_stages(spark, sf_dir):
