@@ -138,16 +138,18 @@ def effective_range(kappa: float, kind: str) -> float:
 
 
 # random effects by Laplace's approximation, for intercepts of bounded number
-def fit_random_intercepts(counts: list[tuple[int, int]], steps: int = 60) -> tuple[float, float, np.ndarray]:
+def fit_random_intercepts(counts: list[tuple[int, int]], steps: int = 60, times: list[int] | None = None) -> tuple[float, float, np.ndarray]:
     """Encounters (positive, total) by group with normal intercepts on the logit scale: (mean, sd, effects).
 
     Sufficient sums come from one aggregate; the outer search over the log of the sd is golden section.
+    times: how many groups have these counts, one each if not given; they share an effect.
     """
     y, n = (np.array(x, float) for x in zip(*counts))
+    m = np.ones(len(y)) if times is None else np.array(times, float)
     expit = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
     def inner(sd: float):
-        mu, u = math.log((y.sum() + 0.5) / (n.sum() - y.sum() + 0.5)), np.zeros(len(y))
+        mu, u = math.log((m @ y + 0.5) / (m @ n - m @ y + 0.5)), np.zeros(len(y))
         for _ in range(steps):
             p = expit(mu + u)
             h = n * p * (1 - p)
@@ -155,10 +157,10 @@ def fit_random_intercepts(counts: list[tuple[int, int]], steps: int = 60) -> tup
             p = expit(mu + u)
             h = n * p * (1 - p)
             w = h / (1 + h * sd**2)  # the mean's information once the effects are integrated out
-            mu += float((y - n * p).sum() / max(1e-9, w.sum())) * 0.5
+            mu += float(m @ (y - n * p) / max(1e-9, m @ w)) * 0.5
         eta = mu + u
         h = n * expit(eta) * expit(-eta)
-        nll = -(y * eta - n * np.logaddexp(0, eta)).sum() + 0.5 * (u**2).sum() / sd**2 + len(u) * math.log(sd) + 0.5 * np.log(h + 1 / sd**2).sum()
+        nll = -(m @ (y * eta - n * np.logaddexp(0, eta))) + 0.5 * (m @ u**2) / sd**2 + m.sum() * math.log(sd) + 0.5 * (m @ np.log(h + 1 / sd**2))
         return nll, mu, u
 
     a, b, g = math.log(1e-3), math.log(10.0), (math.sqrt(5) - 1) / 2

@@ -40,10 +40,12 @@ def e7_lognormal(spark, sf_dir):
 
 @query()
 def e7_random_intercepts(spark, sf_dir):
-    """Vessel effects on encounters; one row for each vessel is all that leaves the cluster."""
-    by = fitted(spark, sf_dir).groupBy("v").agg(F.count_if(F.col("b") > 0).alias("y"), F.count("*").alias("n")).orderBy("v").limit(100_000).collect()
-    mu, sd, u = estimate.fit_random_intercepts([(r.y, r.n) for r in by])
-    return spark.createDataFrame([(int(r.v), float(e), float(mu), float(sd)) for r, e in zip(by, u)], "v long, effect double, mean double, sd double")
+    """Vessel effects on encounters; vessels with equal counts have equal effects, so one row for each (y, n) leaves the cluster."""
+    by = fitted(spark, sf_dir).groupBy("v").agg(F.count_if(F.col("b") > 0).alias("y"), F.count("*").alias("n"))
+    classes = by.groupBy("y", "n").agg(F.count("*").alias("times")).orderBy("y", "n").collect()
+    mu, sd, u = estimate.fit_random_intercepts([(r.y, r.n) for r in classes], times=[r.times for r in classes])
+    effects = spark.createDataFrame([(r.y, r.n, float(e)) for r, e in zip(classes, u)], "y long, n long, effect double")
+    return by.join(effects, ["y", "n"]).select(F.col("v").cast("long").alias("v"), "effect", F.lit(mu).alias("mean"), F.lit(float(sd)).alias("sd"))
 
 
 @query()

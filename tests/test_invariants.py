@@ -130,6 +130,20 @@ def test_random_intercepts_shrink():
     assert np.corrcoef(u, got)[0, 1] > 0.9
 
 
+def test_random_intercepts_of_all_vessels(spark, monkeypatch):
+    from seamark.plans import fitted
+
+    rows = spark.range(200_800).select((F.col("id") % 100_400).alias("v"), (F.xxhash64("id") % 3).cast("double").alias("b"))
+    monkeypatch.setattr(fitted, "fitted", lambda spark, sf_dir: rows)
+    got = fitted.e7_random_intercepts(spark, "")
+    assert got.count() == got.select("v").distinct().count() == 100_400
+    counts = [(1, 4), (3, 4), (2, 5)]
+    times = [3, 2, 4]
+    mu, sd, u = estimate.fit_random_intercepts(counts, times=times)
+    mu2, sd2, u2 = estimate.fit_random_intercepts([c for c, k in zip(counts, times) for _ in range(k)])
+    assert (mu, sd) == pytest.approx((mu2, sd2)) and np.repeat(u, times) == pytest.approx(u2)
+
+
 def test_rotation_keeps_covariance():
     x = np.random.default_rng(1).normal(size=(6, 3))
     for rotated in (estimate.pca_rotation(x)[0], estimate.varimax(x)[0]):
