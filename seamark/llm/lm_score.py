@@ -1,31 +1,31 @@
 """Language-model scores by subword lattices (operator 1).
 
-The vocabulary of pieces is an existing one and stays as it is.  Its scores start
-the weights of the pieces; forward and backward passes over the words of
-the training documents then set how often each piece opens a word, continues one,
-or is followed by the end of the word.  The probability of a word is the sum over all its
-segmentations, by a forward recursion in log space.
+The vocabulary of pieces is an existing one and stays as it is.  A word is cut into
+pieces in every possible way; the first piece is drawn from one distribution, whose
+entries tell whether the word ends with the piece, each further one from another, and
+the word's probability is the sum over all its segmentations, by a forward recursion
+in log space.  The weights start as the vocabulary's scores, taken as log
+probabilities over a temperature and normalised over the pieces.  Training adapts the
+weights of pieces, and nothing else: expected counts from forward and backward passes
+over the training documents' words, to which the vocabulary's own weights are added as a
+prior.  There is no table of word probabilities.
 
 A document belongs to one class (a language of the training documents) and is a
-sequence of words and one end.  A word that the training documents of class k hold c_k
-times, and all of them c times, has the probability
-
-    p(w | k) = max(c_k - d, 0) / N_k + d V_k / N_k * (e max(c - d, 0) / (N - d V) + (1 - e) lattice_k(w))
-
-so each known word gives up d, and a class passes its share on: the part e to what the
-whole corpus knows, the rest to the lattice, which carries new words.  The probability of a text is the
-sum over the classes; all texts' probabilities add up to 1 or less.  d comes from the
-numbers of words seen once and twice.
+sequence of words and one end; each class has its own weights and its own share of
+ends.  The probability of a text is the sum over the classes, so all texts'
+probabilities add up to 1 or less.
 
 Lattices are summed once for each different word of the corpus, not for each occurrence.
 Words that make up more than one in 50,000 tokens, so at most 50,000 words, are looked up
-in a broadcast table; the rest, none of which can be hot, are joined.
+in a broadcast table; the rest, none of which can be hot, are joined.  The same words serve
+for some rounds of adaptation on the driver; the last round is over all words.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from dataclasses import dataclass
 from itertools import compress, repeat
 
 import numpy as np
@@ -42,9 +42,10 @@ HELD = 200_000
 _R = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _MARK = "▁".encode()
-_SCALE = 1 << 20
-#: The share of a class's new words that the whole corpus is taken to know.
-ELSEWHERE = 0.1
+#: Expected counts are summed in whole parts of 1 / _SCALE, so that the order does not matter.
+_SCALE = 1 << 10
+#: Rounds of adaptation on the frequent words alone, before those on all words.
+BURN_IN = 6
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -53,17 +54,24 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def vocabulary(path: str) -> list[tuple[bytes, float]]:
-    """Pieces of a sentencepiece model as bytes, with its scores; control pieces are left out, byte pieces become their byte."""
+    """Pieces of a sentencepiece model as bytes, with its scores.
+
+    Control pieces are left out; byte pieces become their byte.  Those, and pieces whose
+    score only marks them as unused, get the lowest score of the others.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    out = []
+    out, marked = [], []
     for i in range(model.get_piece_size()):
         if model.is_byte(i):
-            out.append((bytes([int(model.id_to_piece(i)[3:5], 16)]), model.get_score(i)))
+            marked.append(bytes([int(model.id_to_piece(i)[3:5], 16)]))
+        elif model.get_score(i) < -1e6:
+            marked.append(model.id_to_piece(i).encode())
         elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
             out.append((model.id_to_piece(i).encode(), model.get_score(i)))
-    return out
+    least, have = min((x for _, x in out), default=0.0), {k for k, _ in out}
+    return [*out, *((k, least) for k in dict.fromkeys(marked) if k not in have)]
 
 
 def _hash(data: bytes) -> int:
@@ -74,17 +82,18 @@ def _hash(data: bytes) -> int:
 
 
 class Lattice:
-    """Weights of opening and continuing pieces in each class, and sums over the segmentations of words."""
+    """Weights of pieces in each class, and sums over the segmentations of words."""
 
     def __init__(self, opening: list[bytes], going: list[bytes], weights: np.ndarray):
-        """opening begins with b"", which opens nothing; weights: natural logarithms of probabilities, a column a class.
+        """weights: natural logarithms of probabilities, a column a class.
 
-        Rows: opening pieces (one distribution), then continuing ones and the end of the
-        word (another).
+        Rows: opening pieces that are followed by more, the same as whole words (one
+        distribution together); continuing pieces followed by more, the same as a
+        word's last (another).
         """
         self.opening, self.going, self.weights = opening, going, weights
         self.tables = []
-        for first, kind in ((1, opening[1:]), (len(opening), going)):
+        for first, kind in ((0, opening), (2 * len(opening), going)):
             by: dict[int, list[tuple[int, int]]] = {}
             for at, piece in enumerate(kind, first):
                 by.setdefault(len(piece), []).append((_hash(piece), at))
@@ -93,27 +102,33 @@ class Lattice:
         self.powers = np.array([pow(_R, k, 1 << 64) for k in range(self.longest + 1)], np.uint64)
 
     @classmethod
-    def from_scores(cls, pieces: list[tuple[bytes, float]], classes: int) -> Lattice:
-        """Weights from a vocabulary's scores: shares of 1 / (rank + 100), the spread that such vocabularies have."""
-        order = sorted(range(len(pieces)), key=lambda i: -pieces[i][1])
-        share = {pieces[i][0]: 1 / (k + 100) for k, i in enumerate(order)}
+    def from_scores(cls, pieces: list[tuple[bytes, float]], classes: int, temperature: float = 4000.0) -> Lattice:
+        """Weights proportional to exp(score / temperature), normalised over the pieces.
+
+        A temperature of 1 fits scores that are log probabilities; those of merge
+        vocabularies count merges, which a temperature of some thousand spreads as
+        pieces are.  Each byte is a piece, with the lowest score if the vocabulary lacks it.
+        """
+        top, low = max((x for _, x in pieces), default=0.0), min((x for _, x in pieces), default=0.0)
+        share = {piece: math.exp((x - top) / temperature) for piece, x in pieces}
         for b in range(256):
-            share.setdefault(bytes([b]), 1e-5)
-        opening = {b"": share.get(_MARK, 1e-3)} | {k[3:]: v for k, v in share.items() if k.startswith(_MARK) and k != _MARK and _MARK not in k[3:]}
-        going = {k: v for k, v in share.items() if _MARK not in k}
+            share.setdefault(bytes([b]), math.exp((low - top) / temperature))
+        n_mark = len(_MARK)
+        opening = {k[n_mark:]: v for k, v in share.items() if k.startswith(_MARK) and k != _MARK and _MARK not in k[n_mark:]}
+        for b in range(256):
+            opening.setdefault(bytes([b]), share[bytes([b])])
+        going = {k: v for k, v in share.items() if k and _MARK not in k}
         for k, v in opening.items():  # a piece that opens a word may be all that the vocabulary has for it
-            if k:
-                going.setdefault(k, v / 10)
-        logs = [np.log(np.array(list(x.values())) / sum(x.values())) for x in (opening, going)]
-        column = np.concatenate([logs[0], logs[1] + math.log(0.6), [math.log(0.4)]])
-        return cls(list(opening), list(going), np.repeat(column[:, None], classes, axis=1))
-
-    def updated(self, expected: np.ndarray, smooth: float = 0.02) -> Lattice:
-        """Weights from expected counts; a class's counts are smoothed towards those of all classes."""
-        n, pooled = len(self.opening), expected.sum(axis=1, keepdims=True) + smooth
+            going.setdefault(k, v)
+        logs = [np.log(np.array(list(x.values())) / sum(x.values()) / 2) for x in (opening, going)]
+        return cls(list(opening), list(going), np.repeat(np.concatenate([logs[0], logs[0], logs[1], logs[1]])[:, None], classes, axis=1))
+
+    def updated(self, expected: np.ndarray, prior: np.ndarray, strength: float = 50.0) -> Lattice:
+        """Weights from expected counts; a class's are smoothed towards those of all classes, and these towards prior."""
         parts = []
-        for rows in (slice(0, n), slice(n, None)):
-            x = expected[rows] + 20.0 * pooled[rows] / pooled[rows].sum() + 1e-4
+        for rows in (slice(0, 2 * len(self.opening)), slice(2 * len(self.opening), None)):
+            pooled = expected[rows].sum(axis=1, keepdims=True) + strength * prior[rows]
+            x = expected[rows] + strength * pooled / pooled.sum()
             parts.append(np.log(x / x.sum(axis=0)))
         return Lattice(self.opening, self.going, np.concatenate(parts))
 
@@ -126,17 +141,17 @@ class Lattice:
                 prefix[k + 1] = prefix[k] * np.uint64(_R) + letters[:, k] + np.uint64(1)
             for end in range(1, length + 1):
                 for size in range(1, min(end, self.longest) + 1):
-                    kinds = [k for k in ((1, 0) if size == end else (1,)) if size in self.tables[k]]
-                    if not kinds:
+                    kind = 0 if size == end else 1
+                    if size not in self.tables[kind]:
                         continue
                     h = prefix[end] - prefix[end - size] * self.powers[size]
-                    for kind in kinds:
-                        keys, at = self.tables[kind][size]
-                        i = np.searchsorted(keys, h)
-                        i[i == len(keys)] = 0
-                        hit = np.flatnonzero(keys[i] == h)
-                        if len(hit):
-                            yield (end - size if kind else -1), end, hit, at[i[hit]]
+                    keys, at = self.tables[kind][size]
+                    i = np.searchsorted(keys, h)
+                    i[i == len(keys)] = 0
+                    hit = np.flatnonzero(keys[i] == h)
+                    if len(hit):
+                        last = (len(self.going) if kind else len(self.opening)) if end == length else 0
+                        yield (end - size if kind else -1), end, hit, at[i[hit]] + last
 
     def forward(self, letters: np.ndarray, edges: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Log probability of each word (rows of letters, one length) in each class, and the forward table.
@@ -145,14 +160,13 @@ class Lattice:
         """
         n, length = letters.shape
         alpha = np.full((length + 1, n, self.weights.shape[1]), -np.inf)
-        alpha[0] = self.weights[0]
         for edge in self._edges(letters):
             start, end, words, at = edge
             term = self.weights[at] if start < 0 else alpha[start, words] + self.weights[at]
             alpha[end, words] = np.logaddexp(alpha[end, words], term)
             if edges is not None:
                 edges.append(edge)
-        return alpha[length] + self.weights[-1], alpha
+        return alpha[length], alpha
 
     def expected(self, letters: np.ndarray, weight: np.ndarray, into: np.ndarray) -> None:
         """Add the expected counts of words of one length to into; weight: of each word in each class."""
@@ -160,7 +174,7 @@ class Lattice:
         total, alpha = self.forward(letters, edges)
         length = letters.shape[1]
         beta = np.full_like(alpha, -np.inf)
-        beta[length] = self.weights[-1]
+        beta[length] = 0.0
         places, shares = [], []
         for start, end, words, at in reversed(sorted(edges, key=lambda e: e[1])):
             ahead = self.weights[at] + beta[end, words]
@@ -172,8 +186,6 @@ class Lattice:
         at, share = np.concatenate(places), np.concatenate(shares)
         for k in range(into.shape[1]):
             into[:, k] += np.bincount(at, weights=share[:, k], minlength=len(into))
-        into[0] += (np.exp(self.weights[0] + beta[0] - total) * weight).sum(axis=0)
-        into[-1] += weight.sum(axis=0)
 
 
 def _by_length(words: list[bytes], most: int = 1 << 18):
@@ -202,16 +214,20 @@ def held_out(doc_id: Column, modulus: int = 7, kept_out: int = 2) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)) == kept_out, F.lit(False))
 
 
-def classes(docs: DataFrame, most: int = 8) -> list[str | None]:
-    """The languages of most training documents; rarer ones, if any, share one further class."""
+def classes(docs: DataFrame, most: int = 64) -> tuple[list[str | None], int]:
+    """The languages of most training documents, and the number of classes.
+
+    Each of the first most languages is a class of its own; the documents of any
+    others share one further class, the last.
+    """
     found = docs.where(~F.col("held_out")).groupBy("lang").count().orderBy(F.col("count").desc(), F.col("lang").asc_nulls_first()).limit(most + 1).collect()
-    return [r.lang for r in found]
+    return [r.lang for r in found[:most]], max(1, len(found))
 
 
-def _count(batches, langs: list[str | None]):
+def _count(batches, langs: list[str | None], n_classes: int):
     """(word, occurrences, occurrences in training documents of each class); ends are counted under a blank, which no word can be."""
     number = {x: k for k, x in enumerate(langs)}
-    every, train = Counter(), [Counter() for _ in range(max(1, len(langs)))]
+    every, train = Counter(), [Counter() for _ in range(n_classes)]
     names = ["word", "n", *(f"c{k}" for k in range(len(train)))]
 
     def done():
@@ -229,7 +245,7 @@ def _count(batches, langs: list[str | None]):
                 words.append(b" ")
                 every.update(words)
                 if not out:
-                    train[number.get(lang, len(train) - 1)].update(words)
+                    train[number.get(lang, n_classes - 1)].update(words)
                 if len(every) > HELD:
                     yield from done()
     yield from done()
@@ -237,48 +253,29 @@ def _count(batches, langs: list[str | None]):
 
 
 def _expect(batches, shared):
-    """Expected counts of the pieces, each word counting once in each class that knows it; in whole parts of 2**-20, so that sums do not depend on their order."""
+    """Expected counts of the pieces over known words, each as often as a class has it."""
     lattice = shared.value
     into = np.zeros_like(lattice.weights)
     for batch in batches:
         for part in slices(batch, 50_000):
-            words = part.column("word").to_pylist()
-            known = np.stack([part.column(f"c{k}").to_numpy() for k in range(into.shape[1])], axis=1) > 0
-            for at, letters in _by_length(words):
-                lattice.expected(letters, known[at].astype(float), into)
+            times = np.stack([part.column(f"c{k}").to_numpy() for k in range(into.shape[1])], axis=1).astype(float)
+            for at, letters in _by_length(part.column("word").to_pylist()):
+                lattice.expected(letters, times[at], into)
     at, k = np.nonzero(into)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(k, pa.int64()), pa.array(np.rint(into[at, k] * _SCALE).astype(np.int64))], names=["at", "k", "n"])
     release()
 
 
-def _kept(c: np.ndarray, discount: float, tokens: float) -> np.ndarray:
-    with np.errstate(divide="ignore"):
-        return np.log(np.maximum(c - discount, 0) / max(tokens, 1.0))
-
-
-def _score_words(batches, shared, discount: float, totals: list[tuple[int, int, int]]):
-    """lb: log10(c + 1); lm0 to lmK: log10 of the model's probability in each class.
-
-    totals: for each class and then for all, tokens with ends, words, different words.
-    A class without known words leaves its words to the lattice.
-    """
+def _score_words(batches, shared, more: list[float]):
+    """lb: log10(c + 1); lm0 to lmK: log10 of the word's probability in each class, with that of a word following (more)."""
     lattice = shared.value
-    *per, (_, every, types) = totals
     for batch in batches:
         for part in slices(batch, 50_000):
             words = part.column("word").to_pylist()
-            c = np.stack([part.column(f"c{k}").to_numpy().astype(float) for k in range(len(per))])
-            new = log_probabilities(lattice, words)
-            whole = _kept(c.sum(axis=0), discount, every - discount * types) + math.log(ELSEWHERE)
-            lm = []
-            for k, (tokens, own, kinds) in enumerate(per):
-                got = np.logaddexp(whole, new[:, k] + math.log(1 - ELSEWHERE)) if types else new[:, k]
-                if own:
-                    got = np.logaddexp(_kept(c[k], discount, own), got + math.log(discount * kinds / own)) + math.log(own / tokens)  # the words have what the ends leave
-                lm.append(got)
+            c = sum(part.column(f"c{k}").to_numpy() for k in range(len(more)))
+            lm = log_probabilities(lattice, words) / math.log(10) + np.array(more)
             yield pa.RecordBatch.from_arrays(
-                [part.column("word"), pa.array(np.log10(c.sum(axis=0) + 1)), pa.array((c.sum(axis=0) > 0).astype(np.int64)), *(pa.array(x / math.log(10)) for x in lm)],
-                names=["word", "lb", "known", *(f"lm{k}" for k in range(len(per)))],
+                [part.column("word"), pa.array(np.log10(c + 1.0)), pa.array((c > 0).astype(np.int64)), *(pa.array(lm[:, k]) for k in range(len(more)))], names=["word", "lb", "known", *(f"lm{k}" for k in range(len(more)))]
             )
     release()
 
@@ -320,7 +317,77 @@ def _look_up(batches, shared, end: list[float]):
     release()
 
 
-def score(docs: DataFrame, model_path: str, rounds: int = 1) -> DataFrame:
+@dataclass(frozen=True)
+class Model:
+    """Adapted weights; and for each class log10 of: a further word, the end of a text, the class itself."""
+
+    lattice: Lattice
+    more: list[float]
+    end: list[float]
+    prior: list[float]
+    #: Counts over the training documents, ends included: tokens, different tokens, ends.
+    tokens: int
+    types: int
+    ends: int
+
+    def log10_text(self, text: str | None) -> float:
+        """log10 of a text's probability, on one machine."""
+        lm = np.array(self.end) + self.prior
+        for w in words_of(text):
+            lm = lm + log_probabilities(self.lattice, [w])[0] / math.log(10) + self.more
+        return float(np.logaddexp.reduce(lm * math.log(10)) / math.log(10))
+
+
+def _log10(x: float) -> float:
+    return math.log10(x) if x > 0 else -300.0
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang", held_out(F.col("doc_id")).alias("held_out"))
+
+
+def _is_word() -> Column:
+    return F.col("word") != F.lit(b" ")
+
+
+def fit(docs: DataFrame, model_path: str, rounds: int = 1, temperature: float = 4000.0, parts: int | None = None) -> tuple[Model, DataFrame, DataFrame]:
+    """The model learnt from docs' training documents; all words with their counts; and the frequent words' own."""
+    sc = docs.sparkSession.sparkContext
+    rows = _rows(docs)
+    langs, n_classes = classes(rows)
+    cs = [f"c{k}" for k in range(n_classes)]
+    parts = parts or parts_for(text_bytes(docs), 12e6, least=4)
+    counted = rows.select("text", "lang", "held_out").mapInArrow(lambda it: _count(it, langs, n_classes), "word binary, n bigint, " + ", ".join(f"{c} bigint" for c in cs))
+    vocab = materialise(counted.repartition(parts, "word").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", *cs))), "words")
+    c_all = sum((F.col(c) for c in cs[1:]), F.col("c0"))
+    sums = vocab.agg(F.sum("n").alias("every"), F.count_if(c_all > 0).alias("types"), *(F.struct(F.sum(c), F.sum(F.when(_is_word(), F.col(c)))).alias(f"t{k}") for k, c in enumerate(cs))).first()
+    tokens, own = ([sums[f"t{k}"][i] or 0 for k in range(n_classes)] for i in (0, 1))
+    ends = [t - w for t, w in zip(tokens, own)]
+
+    lattice = Lattice.from_scores(vocabulary(model_path), n_classes, temperature)
+    prior = np.exp(lattice.weights[:, :1])
+    heavy = vocab.where(_is_word() & (F.col("n") * HEAVY > (sums.every or 0))).select("word", *cs)  # at most HEAVY of them
+    if any(own):
+        frequent = heavy.where(c_all > 0).toPandas()
+        words, times = [bytes(w) for w in frequent.word], frequent[cs].to_numpy(float)
+        for _ in range(BURN_IN if words else 0):
+            expected = np.zeros_like(lattice.weights)
+            for at, letters in _by_length(words):
+                lattice.expected(letters, times[at], expected)
+            lattice = lattice.updated(expected, prior)
+        known = vocab.where(_is_word() & (c_all > 0)).select("word", *cs)
+        for _ in range(rounds):
+            shared = sc.broadcast(lattice)  # as large as the vocabulary
+            got = known.mapInArrow(lambda it, s=shared: _expect(it, s), "at bigint, k bigint, n bigint").groupBy("at", "k").agg(F.sum("n").alias("n")).toPandas()  # at most four rows a piece and class
+            expected = np.zeros_like(lattice.weights)
+            expected[got["at"].to_numpy(int), got["k"].to_numpy(int)] = got["n"].to_numpy() / _SCALE
+            lattice = lattice.updated(expected, prior)
+    share = [(w / t, e / t) if t else (0.5, 0.5) for w, e, t in zip(own, ends, tokens)]
+    model = Model(lattice, [_log10(w) for w, _ in share], [_log10(e) for _, e in share], [_log10(e / sum(ends) if sum(ends) else 1.0) for e in ends], sum(tokens), sums.types or 0, sum(ends))
+    return model, vocab, heavy.select("word")
+
+
+def score(docs: DataFrame, model_path: str, rounds: int = 1, temperature: float = 4000.0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs (doc_id, text, lang).
 
     Both scores are log10 probabilities: base_score of a unigram model of words with one
@@ -331,43 +398,16 @@ def score(docs: DataFrame, model_path: str, rounds: int = 1) -> DataFrame:
     further columns are not read.
     """
     sc = docs.sparkSession.sparkContext
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang", held_out(F.col("doc_id")).alias("held_out"))
-    langs = classes(rows)
-    n_classes = max(1, len(langs))
-    cs = [f"c{k}" for k in range(n_classes)]
-    parts = parts_for(text_bytes(docs), 12e6, least=4)
-    counted = rows.select("text", "lang", "held_out").mapInArrow(lambda it: _count(it, langs), "word binary, n bigint, " + ", ".join(f"{c} bigint" for c in cs))
-    vocab = materialise(counted.repartition(parts, "word").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", *cs))), "words")
-    is_word, c_all = F.col("word") != F.lit(b" "), sum((F.col(c) for c in cs[1:]), F.col("c0"))
-    sums = vocab.agg(
-        F.sum("n").alias("every"), F.count_if((c_all == 1) & is_word).alias("once"), F.count_if((c_all == 2) & is_word).alias("twice"),
-        *(F.struct(F.sum(c), F.sum(F.when(is_word, c)), F.count_if(is_word & (c > 0))).alias(f"t{k}") for k, c in enumerate([*map(F.col, cs), c_all])),
-    ).first()
-    every = sums.every or 0
-    totals = [tuple(x or 0 for x in sums[f"t{k}"]) for k in range(n_classes + 1)]
-    total, _, types = totals[-1]
-    discount = sums.once / (sums.once + 2 * sums.twice) if sums.once and sums.twice else 0.5
-
-    lattice = Lattice.from_scores(vocabulary(model_path), n_classes)
-    known = vocab.where(is_word & (c_all > 0)).select("word", *cs)
-    for _ in range(rounds if types else 0):
-        shared = sc.broadcast(lattice)  # as large as the vocabulary
-        got = known.mapInArrow(lambda it, s=shared: _expect(it, s), "at bigint, k bigint, n bigint").groupBy("at", "k").agg(F.sum("n").alias("n")).collect()  # at most two rows a piece and class
-        expected = np.zeros_like(lattice.weights)
-        for r in got:
-            expected[r.at, r.k] = r.n / _SCALE
-        lattice = lattice.updated(expected)
-
-    shared = sc.broadcast(lattice)
-    lms = [f"lm{k}" for k in range(n_classes)]
-    scored = materialise(vocab.where(is_word).select("word", *cs).mapInArrow(lambda it: _score_words(it, shared, discount, totals), "word binary, lb double, known bigint, " + ", ".join(f"{x} double" for x in lms)), "word-scores")
-    heavy = vocab.where(is_word & (F.col("n") * HEAVY > every)).select("word")  # at most HEAVY of them
+    rows, parts = _rows(docs), parts_for(text_bytes(docs), 12e6, least=4)
+    model, vocab, heavy = fit(docs, model_path, rounds, temperature, parts)
+    n_classes, more = len(model.more), model.more
+    cs, lms = [f"c{k}" for k in range(n_classes)], [f"lm{k}" for k in range(n_classes)]
+    shared = sc.broadcast(model.lattice)
+    scored = materialise(vocab.where(_is_word()).select("word", *cs).mapInArrow(lambda it: _score_words(it, shared, more), "word binary, lb double, known bigint, " + ", ".join(f"{x} double" for x in lms)), "word-scores")
     table = scored.join(F.broadcast(heavy), "word", "left_semi").collect()
     at = {bytes(r.word): k for k, r in enumerate(table)}
     looked = sc.broadcast((at, np.array([tuple(r)[1:] for r in table], float).reshape(-1, n_classes + 2)))
-    ends = [t[0] - t[1] for t in totals]
-    log10 = lambda x: math.log10(x) if x > 0 else -300.0
-    end = [math.log10(ends[-1] + 1), int(ends[-1] > 0), *(log10(e / t[0] if t[0] else 0) for e, t in zip(ends, totals[:-1]))]
+    end = [math.log10(model.ends + 1), int(model.ends > 0), *model.end]
     sent = rows.select("doc_id", "text", "held_out").mapInArrow(lambda it: _look_up(it, looked, end), _sent(n_classes))
     rare = scored.join(F.broadcast(heavy), "word", "left_anti").select("word", *(F.col(x).alias(f"r_{x}") for x in ("lb", "known", *lms)))
     joined = sent.repartition(parts, "word").join(rare.repartition(parts, "word").hint("shuffle_hash"), "word", "left")
@@ -375,11 +415,10 @@ def score(docs: DataFrame, model_path: str, rounds: int = 1) -> DataFrame:
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n").alias("n_tokens"),
         F.sum(F.coalesce("known", "r_known", F.lit(0))).alias("n_known"), *(F.sum(F.coalesce(x, f"r_{x}", F.lit(0.0))).alias(x) for x in ("lb", *lms)),
     )
-    prior = [log10(e / ends[-1] if ends[-1] else 1.0) for e in ends[:-1]]
-    each = F.array(*(F.col(x) + F.lit(p) for x, p in zip(lms, prior)))
+    each = F.array(*(F.col(x) + F.lit(p) for x, p in zip(lms, model.prior)))
     top = F.array_max("_each")
-    score = top + F.log10(F.aggregate("_each", F.lit(0.0), lambda a, x: a + F.pow(F.lit(10.0), x - top)))
+    whole = top + F.log10(F.aggregate("_each", F.lit(0.0), lambda a, x: a + F.pow(F.lit(10.0), x - top)))
     return summed.withColumn("_each", each).select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"),
-        (F.col("lb") - F.col("n_tokens") * math.log10(total + types + (ends[-1] > 0) + 1)).alias("base_score"), score.alias("score"),
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"),
+        (F.col("lb") - F.col("n_tokens") * math.log10(model.tokens + model.types + 1)).alias("base_score"), whole.alias("score"),
     )

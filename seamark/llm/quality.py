@@ -1,15 +1,21 @@
 """Quality rules with adaptive thresholds (operator 6).
 
-Fixed rules reject what no corpus wants.  Beyond them a document is judged
-against its own language and source: for each pair, every rate is summarised by a
-mergeable quantile sketch with bins of a fixed relative width, the cut-off is the
-upper quartile plus a multiple of the interquartile range (never under a stated
-floor), and the documents are joined with their cut-offs and filtered.
+Fixed rules reject what no corpus wants.  Beyond them a document is judged against its
+own language and source: for each pair, every rate of the documents that pass the fixed rules is
+summarised by a mergeable quantile sketch, whole counts in bins of a fixed relative
+width.  The cut-off is an upper quantile plus a multiple of its distance from the
+quantile opposite; there are no fixed cut-offs and no floors.  A document fails if its
+rate is beyond the cut-off by more than chance explains: a count of k may stand for
+k - z sqrt(k).  Thresholds are joined with the documents, which are then filtered.
+
+All numbers but that square root are whole, so results do not depend on the order of merging.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +27,9 @@ from seamark.llm.common import WORD, materialise, slices
 
 #: Characters that count as symbols (fixed value of the contract).
 SYMBOLS = "#*$%&|<>"
-_WORDS, _HAS_WORD, _UPPER = re.compile(WORD).findall, re.compile(WORD).search, re.compile("[A-ZÀ-ÖØ-Þ]+").findall
+_WORDS, _HAS_WORD = re.compile(WORD).findall, re.compile(WORD).search
+_CAPITALS = [chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Lu", "Lt")]
+_UPPER = re.compile(f"[{''.join(_CAPITALS)}]+").findall
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -29,18 +37,22 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 class Rules:
     """Parameters of the filter.
 
-    spread: interquartile ranges beyond the upper quartile; floor: cut-offs, in
-    thousandths, never fall under these, so that a source of even quality loses
-    nothing; bins: sketch bins for each doubling of a rate; least: groups of fewer
+    tails: for each rate the upper quantile, in hundredths, and how many times its
+    distance from the opposite one is added; bits: sketch bins hold a rate's first bits, so their
+    relative width is at most 2 ** (1 - bits); chance: z; least: groups of fewer
     documents are judged by their language, or else by the whole corpus.
     """
 
     min_words: int = 50
     max_repeat_percent: int = 50
-    spread: float = 3.0
-    bins: int = 16
+    tails: tuple[tuple[str, int, int], ...] = (("symbols", 75, 3), ("repeats", 90, 3), ("dup_lines", 90, 3), ("upper", 75, 3))
+    bits: int = 6
+    chance: int = 3
     least: int = 50
-    floor: tuple[tuple[str, int], ...] = (("symbols", 30), ("repeats", 500), ("dup_lines", 500), ("upper", 200))
+
+
+#: What each rate counts, and in what.
+RATES = {"symbols": ("n_symbols", "word_chars"), "repeats": ("n_repeat_words", "n_words"), "dup_lines": ("n_dup_lines", "n_lines"), "upper": ("n_upper", "word_chars")}
 
 
 def _repeat_words(words: list[str]) -> int:
@@ -88,31 +100,40 @@ def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
     return rows.mapInArrow(lambda it: _measure(it, n), schema)
 
 
-def rates() -> dict[str, Column]:
-    """Rates in thousandths, whole numbers, so that sketches are the same in any order of merging."""
-    per = lambda a, b: F.coalesce(F.try_divide(F.lit(1000) * F.col(a), F.col(b)).cast("long"), F.lit(0).cast("long"))
-    return {"symbols": per("n_symbols", "word_chars"), "repeats": per("n_repeat_words", "n_words"), "dup_lines": per("n_dup_lines", "n_lines"), "upper": per("n_upper", "word_chars")}
+def rate(name: str) -> Column:
+    """A rate in whole thousandths; 0 of nothing."""
+    k, n = map(F.col, RATES[name])
+    return F.when(n > 0, F.floor(F.lit(1000) * k / n)).otherwise(0).cast("bigint")  # far from the next whole number in doubles
+
+
+def _shift(x: Column, bits: int) -> Column:
+    return F.greatest(F.lit(0), F.length(F.bin(x)) - bits)
+
 
+def bin_of(x: Column, bits: int) -> Column:
+    """The least whole number with the same first bits and length as x."""
+    s = _shift(x, bits)
+    return F.call_function("shiftleft", F.call_function("shiftright", x, s), s)
 
-def bin_of(rate: Column, bins: int) -> Column:
-    return F.floor(F.log2(rate + F.lit(1)) * bins).cast("int")
+
+def base_failed(rules: Rules) -> Column:
+    return (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
 
 
 def sketch(measured: DataFrame, rules: Rules) -> DataFrame:
     """Quantile sketches: (lang, source, rate, bin, n), merged by adding n.
 
-    At most 10 * bins bins a rate and group, however many documents there are.
+    At most some 2 ** bits bins a rate and group, however many documents there are.
     """
-    named = rates()
+    each = F.array(*(F.struct(F.lit(k).alias("rate"), bin_of(rate(k), rules.bits).alias("bin")) for k, _, _ in rules.tails))
     return (
-        measured.select(F.col("_lang").alias("lang"), F.col("_source").alias("source"), F.explode(F.array(*(F.struct(F.lit(k).alias("rate"), bin_of(c, rules.bins).alias("bin")) for k, c in named.items()))).alias("x"))
-        .groupBy("lang", "source", "x.rate", "x.bin")
-        .agg(F.count("*").alias("n"))
-    )
+        measured.where(~base_failed(rules)).select(F.col("_lang").alias("lang"), F.col("_source").alias("source"), F.explode(each).alias("x"))
+        .groupBy("lang", "source", "x.rate", "x.bin").agg(F.count("*").alias("n"))
+    )
 
 
 def thresholds(sketches: DataFrame, rules: Rules) -> DataFrame:
-    """(lang, source, limits map) from sketches; small groups take those of their language, or of all."""
+    """(level, lang, source, rate, n, cut) from sketches: level 0 of a language and source, 1 of a language, 2 of all."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("level", "lang", "source", "rate")
@@ -122,12 +143,19 @@ def thresholds(sketches: DataFrame, rules: Rules) -> DataFrame:
         F.struct(F.lit(2).alias("level"), F.lit(None).cast("string").alias("l"), F.lit(None).cast("string").alias("s")),
     ))
     merged = sketches.select(levels.alias("k"), "rate", "bin", "n").groupBy("k.level", F.col("k.l").alias("lang"), F.col("k.s").alias("source"), "rate", "bin").agg(F.sum("n").alias("n"))
-    ranked = merged.withColumns({"below": F.sum("n").over(w.orderBy("bin")), "all": F.sum("n").over(w)})
-    upper_edge = F.pow(F.lit(2.0), (F.col("bin") + 1) / rules.bins) - 1
-    at = lambda q: F.min(F.when(F.col("below") >= q * F.col("all"), upper_edge))
-    floor = F.element_at(F.create_map(*(F.lit(x) for pair in rules.floor for x in pair)), F.col("rate"))
-    cut = ranked.groupBy("level", "lang", "source", "rate").agg(at(0.25).alias("q1"), at(0.75).alias("q3"), F.max("all").alias("n"))
-    return cut.select("level", "lang", "source", "rate", "n", F.greatest(floor.cast("double"), F.col("q3") + rules.spread * (F.col("q3") - F.col("q1"))).alias("cut"))
+    per_rate = lambda i: F.element_at(F.create_map(*(x for t in rules.tails for x in (F.lit(t[0]), F.lit(t[i])))), F.col("rate"))
+    ranked = merged.withColumns({"below": F.sum("n").over(w.orderBy("bin")), "all": F.sum("n").over(w), "q": per_rate(1), "spread": per_rate(2)})
+    s = _shift(F.col("bin"), rules.bits)
+    edge = F.col("bin") + F.call_function("shiftleft", F.lit(1).cast("bigint"), s) - 1
+    at = lambda q: F.min(F.when(100 * F.col("below") >= q * F.col("all"), edge))
+    cut = ranked.groupBy("level", "lang", "source", "rate").agg(at(F.col("q")).alias("high"), at(100 - F.col("q")).alias("low"), F.max("all").alias("n"), F.max("spread").alias("spread"))
+    return cut.select("level", "lang", "source", "rate", "n", (F.col("high") + F.col("spread") * (F.col("high") - F.col("low"))).cast("bigint").alias("cut"))
+
+
+def beyond(name: str, cut: Column, rules: Rules) -> Column:
+    """Whether a count is over its cut-off by more than chance; never where the group has none."""
+    k, n = map(F.col, RATES[name])
+    return F.coalesce(F.lit(1000) * (k - F.lit(rules.chance) * F.sqrt(k)) > cut * n, F.lit(False))
 
 
 def judge(docs: DataFrame, rules: Rules = Rules(), keep: list[str] | None = None) -> DataFrame:
@@ -140,9 +168,12 @@ def judge(docs: DataFrame, rules: Rules = Rules(), keep: list[str] | None = None
     """
     taken = {*MEASURES, "base_failed", "kept", "limits"}
     names = [c for c in (docs.columns if keep is None else keep) if c not in taken]
-    rows = docs.select(*(F.col(c) for c in names), F.col("lang").alias("_lang"), F.col("source").alias("_source"), *([] if "text" in names else ["text"]))
+    # carried under names of their own, so that no column of docs can clash
+    carried = ["text" if c == "text" else f"_c{k}" for k, c in enumerate(names)]
+    more = [] if "text" in names else ["text"]
+    rows = docs.select(*(F.col(c).alias(x) for c, x in zip(names, carried)), F.col("lang").alias("_lang"), F.col("source").alias("_source"), *more)
     # measured once: both the sketches and the filter read it
-    measured = materialise(measure(rows, [*names, "_lang", "_source"]), "measured")
+    measured = materialise(measure(rows, [*carried, "_lang", "_source"]), "measured")
     limits = thresholds(sketch(measured, rules), rules)
     own, lang, every = (
         limits.filter((F.col("level") == level) & ((F.col("n") >= rules.least) | (level == 2)))
@@ -157,10 +188,10 @@ def judge(docs: DataFrame, rules: Rules = Rules(), keep: list[str] | None = None
         .join(own.alias("o"), same("m._lang", "o.lang") & same("m._source", "o.source"), "left")
         .join(lang.alias("l"), same("m._lang", "l.lang"), "left")
         .join(F.broadcast(every.select("limits2")), F.lit(True), "left")  # one row
-        .select(*(F.col(f"m.{c}").alias(c) for c in (*names, *MEASURES)), F.coalesce("limits0", "limits1", "limits2").alias("limits"))
+        .select(*(F.col(f"m.{c}") for c in (*carried, *MEASURES)), F.coalesce("limits0", "limits1", "limits2").alias("limits"))
     )
-    within = F.lit(True)
-    for k, c in rates().items():
-        within &= c <= F.coalesce(F.element_at("limits", F.lit(k)), F.lit(float("inf")))
-    failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
-    return judged.withColumn("base_failed", failed).withColumn("kept", ~failed & within)
+    failed = base_failed(rules)
+    over = F.lit(False)
+    for k, _, _ in rules.tails:
+        over |= beyond(k, F.element_at("limits", F.lit(k)), rules)
+    return judged.select(*(F.col(x).alias(c) for c, x in zip(names, carried)), *MEASURES, "limits", failed.alias("base_failed"), (~failed & ~over).alias("kept"))

@@ -76,4 +76,58 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+_OP2 = rf"""
+WITH t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i, len(w) AS n FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+win AS (SELECT *, CASE WHEN i + 19 <= n THEN string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) END AS win FROM t),
+first AS (SELECT win, min((doc_id, i)) AS place FROM win WHERE win IS NOT NULL GROUP BY win),
+marked AS (SELECT doc_id, i, n, word, first.place IS NOT NULL AND first.place < (doc_id, i) AS later FROM win LEFT JOIN first USING (win)),
+gone AS (SELECT *, bool_or(later) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM marked),
+done AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '') AS kept FROM gone GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN done ON d.doc_id = done.doc_id
+"""
+
+_OP6 = rf"""
+WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, {_WORDS} AS words, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+t AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+win AS (SELECT doc_id, i, word AS a, lead(word) OVER o AS b, lead(word, 2) OVER o AS c FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS k FROM win WHERE c IS NOT NULL) WHERE k > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS j) GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, lang, source, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, length(regexp_replace(text, '[^\p{{Lu}}\p{{Lt}}]', '', 'g'))::BIGINT AS n_upper, len(lines)::BIGINT AS n_lines
+  FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id),
+j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+r AS (
+  SELECT doc_id, lang, source, base_failed, rate, k, n, CASE WHEN n > 0 THEN 1000 * k // n ELSE 0 END AS x, q, 3 AS spread
+  FROM j, LATERAL (VALUES ('symbols', n_symbols, word_chars, 75), ('repeats', n_repeat_words, n_words, 90), ('dup_lines', n_dup_lines, n_lines, 90), ('upper', n_upper, word_chars, 75)) AS v(rate, k, n, q)),
+s AS (SELECT *, greatest(0, length(bin(x)) - 6) AS s FROM r WHERE NOT base_failed),
+b AS (SELECT lang, source, rate, q, spread, (x >> s) << s AS bin, ((x >> s) << s) + (1::BIGINT << s) - 1 AS edge FROM s),
+lv AS (SELECT 0 AS level, * FROM b UNION ALL SELECT 1, lang, NULL, rate, q, spread, bin, edge FROM b UNION ALL SELECT 2, NULL, NULL, rate, q, spread, bin, edge FROM b),
+g AS (SELECT level, lang, source, rate, q, spread, edge, count(*) AS n FROM lv GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rate ORDER BY edge) AS below, sum(n) OVER (PARTITION BY level, lang, source, rate) AS total FROM g),
+cut AS (SELECT level, lang, source, rate, max(total) AS n, min(edge) FILTER (100 * below >= q * total) AS high, min(edge) FILTER (100 * below >= (100 - q) * total) AS low, max(spread) AS spread FROM c GROUP BY level, lang, source, rate),
+l AS (SELECT level, lang, source, rate, high + spread * (high - low) AS cut FROM cut WHERE n >= 50 OR level = 2),
+v AS (
+  SELECT doc_id, bool_or(coalesce(1000 * (k - 3 * sqrt(k)) > coalesce(a.cut, b.cut, e.cut) * r.n, false)) AS over
+  FROM r LEFT JOIN l a ON a.level = 0 AND a.lang IS NOT DISTINCT FROM r.lang AND a.source IS NOT DISTINCT FROM r.source AND a.rate = r.rate
+  LEFT JOIN l b ON b.level = 1 AND b.lang IS NOT DISTINCT FROM r.lang AND b.rate = r.rate LEFT JOIN l e ON e.level = 2 AND e.rate = r.rate GROUP BY doc_id)
+SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT v.over AS kept FROM j JOIN v ON j.doc_id = v.doc_id
+"""
+
+_OP8 = r"""
+WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/en/1%' THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/es/%' THEN 'example.org/es/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/fr/%' THEN 'com/fr/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/de/%' THEN 'com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN 'org/' END AS rule FROM p)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN EXISTS (
+  SELECT 1 FROM (VALUES {listed}) AS l(key) WHERE host = l.key OR ends_with(host, '.' || l.key)) THEN 'block' ELSE 'allow' END AS verdict FROM r
+"""
+
+#: For the other operators SQL has no merges of byte pairs, seeded XXH64, lattices, sketches or keyed surrogates; tests/llm holds them against brute force.
+ORACLE: dict[str, str] = {"op2_substring_dedup": _OP2, "op6_quality_rules": _OP6, "op8_url_filter": _OP8.format(listed=", ".join(f"('{x}')" for x in url_filter.LISTED))}

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -55,21 +56,55 @@ def _multiset(rows):
     return collections.Counter(tuple(r) for r in rows)
 
 
-def test_lattice_sums_all_segmentations():
-    weights = np.log(np.array([[0.2], [0.5], [0.3], [0.3], [0.2], [0.1], [0.1], [0.3]]))
-    lattice = lm_score.Lattice([b"", b"a", b"ab"], [b"a", b"b", b"ba", b"aba"], weights)
-    going, opening = {b"a": 0.3, b"b": 0.2, b"ba": 0.1, b"aba": 0.1}, {b"": 0.2, b"a": 0.5, b"ab": 0.3}
+def _enumerated(model_or_lattice, word, k=0):
+    """A word's probability by listing its segmentations."""
+    lattice = model_or_lattice
+    n, m, w = len(lattice.opening), len(lattice.going), np.exp(lattice.weights[:, k])
+    first, going = {x: i for i, x in enumerate(lattice.opening)}, {x: i for i, x in enumerate(lattice.going)}
+
+    def rest(left):
+        out = 0.0
+        for size in range(1, len(left) + 1):
+            i = going.get(left[:size])
+            if i is not None:
+                out += w[2 * n + i + m] if size == len(left) else w[2 * n + i] * rest(left[size:])
+        return out
+
+    out = 0.0
+    for size in range(1, len(word) + 1):
+        i = first.get(word[:size])
+        if i is not None:
+            out += w[i + n] if size == len(word) else w[i] * rest(word[size:])
+    return out
 
-    def rest(w):
-        return (0.3 if not w else 0.0) + sum(p * rest(w[len(k) :]) for k, p in going.items() if w.startswith(k))
 
-    for w in (b"a", b"abab", b"ababa", b"bbb", b"abaab"):
-        want = sum(p * rest(w[len(k) :]) for k, p in opening.items() if w.startswith(k))
-        assert math.exp(lm_score.log_probabilities(lattice, [w])[0, 0]) == pytest.approx(want)
+def test_lattice_sums_all_segmentations():
+    weights = np.log(np.array([0.2, 0.3, 0.1, 0.4, 0.1, 0.2, 0.1, 0.1, 0.15, 0.05, 0.1, 0.2]))[:, None]
+    lattice = lm_score.Lattice([b"a", b"ab"], [b"a", b"b", b"ba", b"aba"], weights)
+    for w in (b"a", b"abab", b"ababa", b"abaab", b"abbabababa"):
+        assert math.exp(lm_score.log_probabilities(lattice, [w])[0, 0]) == pytest.approx(_enumerated(lattice, w))
+    total = sum(math.exp(lm_score.log_probabilities(lattice, [bytes(x)])[0, 0]) for n in range(1, 11) for x in itertools.product(b"ab", repeat=n) if bytes(x).startswith(b"a"))
+    assert 0.8 < total <= 1.0 + 1e-9
+
+
+def test_op1_weights_are_the_scores_normalised():
+    pieces = [("\u2581a".encode(), -1.0), (b"a", -2.0), (b"b", -3.0)]
+    one, two = (lm_score.Lattice.from_scores(pieces, 1, temperature=t) for t in (1.0, 2.0))
+    at = one.going.index(b"a"), one.going.index(b"b")
+    n = 2 * len(one.opening)
+    for lattice, t in ((one, 1.0), (two, 2.0)):
+        assert lattice.weights[n + at[0], 0] - lattice.weights[n + at[1], 0] == pytest.approx(1.0 / t)
+        assert np.exp(lattice.weights[:n, 0]).sum() == pytest.approx(1.0) and np.exp(lattice.weights[n:, 0]).sum() == pytest.approx(1.0)
+    expected = np.zeros_like(one.weights)
+    one.expected(np.frombuffer(b"ab", np.uint8).reshape(1, 2), np.array([[3.0]]), expected)
+    assert expected[: n // 2].sum() == pytest.approx(3.0) and expected[n:].sum() == pytest.approx(3.0)
+    later = one.updated(expected, np.exp(one.weights))
+    assert np.exp(later.weights[:n]).sum() == pytest.approx(1.0) and np.exp(later.weights[n:]).sum() == pytest.approx(1.0)
 
 
 def test_op1_scores(docs, none):
-    got = lm_score.score(docs, tok.path("piece_bpe_32k.model"))
+    path = tok.path("piece_bpe_32k.model")
+    got = lm_score.score(docs, path)
     out = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
     tokens = lambda t: [*re.findall(WORD.encode(), (t or "").encode().lower()), b" "]
     rows = _rows()
@@ -78,8 +113,34 @@ def test_op1_scores(docs, none):
     want = collections.Counter((r[0], out(r[0]), len(tokens(r[1])), sum(c[w] > 0 for w in tokens(r[1])), n, round(sum(math.log10((c[w] + 1) / (n + types + 1)) for w in tokens(r[1])), 4)) for r in rows)
     have = got.collect()
     assert collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in have) == want
-    assert all(math.isfinite(r.score) and r.score < 0 for r in have)
-    assert lm_score.score(none, tok.path("piece_bpe_32k.model")).count() == 0
+    # the model's own score, from segmentations that are listed one by one
+    model, _, _ = lm_score.fit(docs, path)
+    words = {w: [_enumerated(model.lattice, w, k) for k in range(len(model.more))] for r in rows for w in tokens(r[1])[:-1] if len(w) < 17}
+    checked = 0
+    for r in have:
+        text = next((x[1] for x in rows if x[0] == r.doc_id), None)
+        if r.doc_id is None or any(w not in words for w in tokens(text)[:-1]):
+            continue
+        each = [p + e + sum(math.log10(words[w][k]) + model.more[k] for w in tokens(text)[:-1]) for k, (p, e) in enumerate(zip(model.prior, model.end))]
+        total = max(each) + math.log10(sum(10 ** (x - max(each)) for x in each))
+        assert r.score == pytest.approx(total, abs=1e-6) and model.log10_text(text) == pytest.approx(total, abs=1e-6)
+        checked += 1
+    assert checked > 15 and all(math.isfinite(r.score) and r.score < 0 for r in have)
+    for k in range(len(model.more)):
+        half = 2 * len(model.lattice.opening)
+        assert np.exp(model.lattice.weights[:half, k]).sum() == pytest.approx(1.0) and np.exp(model.lattice.weights[half:, k]).sum() == pytest.approx(1.0)
+        assert 10 ** model.more[k] + 10 ** model.end[k] == pytest.approx(1.0)
+    assert sum(10**p for p in model.prior) == pytest.approx(1.0)
+    assert lm_score.score(none, path).count() == 0
+
+
+def test_op1_no_language_is_learnt_as_another(spark):
+    rows = [(7 * k + j, f"{'xyzv'[j]}{k:02d} word", f"l{k:02d}") for k in range(12) for j in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, n = lm_score.classes(lm_score._rows(df))
+    assert len(langs) == n == 12
+    few, more = lm_score.classes(lm_score._rows(df), most=5)
+    assert len(few) == 5 and more == 6
 
 
 def test_op2_removes_windows_that_start_earlier(docs, none):
@@ -244,6 +305,58 @@ def test_op6_counts_and_rules(docs, none):
     assert quality.judge(none).count() == 0
 
 
+def _kept_by_hand(rows, rules):
+    """kept from exact quantiles, and from quantiles of binned rates; rows: (lang, source, counts)."""
+    count = lambda c, k: (c[quality.MEASURES.index(quality.RATES[k][0])], c[quality.MEASURES.index(quality.RATES[k][1])])
+    rate = lambda c, k: 1000 * count(c, k)[0] // count(c, k)[1] if count(c, k)[1] else 0
+    failed = [c[0] < rules.min_words or 100 * c[4] > rules.max_repeat_percent * c[0] for _, _, c in rows]
+
+    def edge(x):
+        s = max(0, x.bit_length() - rules.bits)
+        return (x >> s << s) + (1 << s) - 1
+
+    out = []
+    for upper in (lambda x: x, edge):
+        kept = []
+        for (lang, source, c), bad in zip(rows, failed):
+            ok = not bad
+            for k, q, spread in rules.tails:
+                for same in (lambda r: r[:2] == (lang, source), lambda r: r[0] == lang, lambda r: True):
+                    group = sorted(upper(rate(r[2], k)) for r, f in zip(rows, failed) if not f and same(r))
+                    if len(group) >= rules.least:
+                        break
+                if group:
+                    at = lambda p: group[max(0, -(-p * len(group) // 100) - 1)]
+                    n, of = count(c, k)
+                    ok &= not 1000 * (n - rules.chance * math.sqrt(n)) > (at(q) + spread * (at(q) - at(100 - q))) * of
+            kept.append(ok)
+        out.append(kept)
+    return out
+
+
+def test_op6_kept_is_what_the_quantiles_say(spark):
+    rng = random.Random(11)
+    rows = []
+    for k in range(600):
+        lang, source = ("en", "fr", None)[k % 3], ("a", "b", "rare")[min(2, rng.randrange(20) // 9)]
+        marks = {"en": 0.02, "fr": 0.1, None: 0.05}[lang] * (6 if rng.random() < 0.06 else rng.random())
+        words = [rng.choice(["sea", "Net", "tide"]) + str(rng.randrange(500)) + ("#" if rng.random() < marks else "") for _ in range(rng.randrange(30, 200))]
+        if rng.random() < 0.1:
+            words = words[:30] + words[:20] + words
+        rows.append((k, " ".join(words) + "\nend line" * rng.randrange(1, 4), lang, source))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.kept for r in quality.judge(df, keep=["doc_id"]).collect()}
+    exact, binned = _kept_by_hand([(lang, source, quality.measure_text(t)) for _, t, lang, source in rows], quality.Rules())
+    assert [got[k] for k in range(600)] == binned
+    assert sum(a != b for a, b in zip(exact, binned)) < 12 and 20 < binned.count(False) < 300
+
+
+def test_op6_clashing_names(spark):
+    df = spark.createDataFrame([(k, "one two three " * 30 + str(k), "en", "s", 1, 2, 3) for k in range(5)], "doc_id long, text string, lang string, source string, _lang int, _source int, _c0 int")
+    got = quality.judge(df)
+    assert got.columns[:7] == df.columns and [tuple(r)[4:7] for r in got.collect()] == [(1, 2, 3)] * 5
+
+
 def test_op6_thresholds_do_not_depend_on_the_partitions(spark):
     rng = random.Random(3)
     rows = [(k, " ".join(rng.choice(["a", "bc", "#", "Q"]) + str(rng.randrange(400)) for _ in range(80)), "en", "s") for k in range(200)]
