@@ -2,9 +2,14 @@
 
 Entities are found by one expression.  Each different entity of the corpus gets one
 keyed replacement of its own kind: e-mail addresses keep their shape, letter case and
-last label, telephone numbers their country code and punctuation, cards their
-first digit and a valid check digit, secrets their alphabet, names after a form of
-address the gender that it tells and their script.  Replacements are then checked over
+last label, telephone numbers their country code, first digit and punctuation, cards their
+first digit and a valid check digit, account numbers their country and valid check digits, secrets
+their alphabet and prefix.  A name is one or two entities: given names keep the gender that a form of
+address or the name itself tells, both keep script and letter case; the family name is replaced alike
+with and without a given name or title, however the title is written.
+
+A number is the same entity in all its forms (with or without a country code of 1,
+whatever its punctuation), an address in all letter cases.  Replacements are checked over
 the whole corpus: two entities that would share one, or one that is itself an entity of the
 corpus, are drawn again until all are distinct.  So different entities stay
 different and mentions of one stay mentions of one.
@@ -12,17 +17,22 @@ different and mentions of one stay mentions of one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamark.llm.common import materialise
+from seamark.llm.common import materialise, parts_for
 
 #: Forms of address and what they tell (fixed values).
 TITLES = {
     "m": ["Mr.", "Mr", "Herr", "Señor", "Monsieur", "Sr.", "господин", "г-н"],
     "f": ["Mrs.", "Mrs", "Ms.", "Ms", "Frau", "Señora", "Madame", "Sra.", "Mme", "госпожа", "г-жа"],
 }
-#: Given names by gender and script (fixed values).
+#: Given names that begin a name without a form of address (fixed values).
+COMMON = {
+    "m": "Alexander Andrew Anthony Carlos Charles Christopher Daniel David Edward Francisco Frank George Hans Henry Jack James Jean Johannes John Joseph José Juan Jürgen Klaus Lucas Luis Manuel Mark Matthew Max Michael Miguel Nicolas Patrick Paul Peter Philippe Pierre Richard Robert Stefan Stephen Thomas Tom William Wolfgang Алексей Андрей Дмитрий Иван Михаил Николай Сергей".split(),
+    "f": "Alice Ana Andrea Anna Anne Barbara Carmen Catherine Charlotte Claire Elizabeth Emily Emma Eva Hannah Helen Isabel Jane Jennifer Jessica Julia Karen Kate Katharina Laura Lena Linda Lucía Margaret Maria María Marie Martha Mary Nancy Nicole Patricia Rosa Ruth Sandra Sarah Sofia Sophie Susan Ursula Victoria Анна Елена Мария Наталья Ольга Татьяна".split(),
+}
+#: Given names that replace others, by gender and script (fixed values).
 GIVEN = {
     "m": {"latin": ["Adrian", "Bruno", "Carl", "David", "Emil", "Felix", "Hugo", "Jonas", "Leo", "Martin", "Oscar", "Paul"], "cyrillic": ["Антон", "Борис", "Виктор", "Денис", "Егор", "Иван", "Максим", "Павел"]},
     "f": {"latin": ["Alma", "Berta", "Clara", "Diana", "Elsa", "Flora", "Helena", "Irma", "Laura", "Marta", "Olga", "Paula"], "cyrillic": ["Алла", "Вера", "Дарья", "Елена", "Зоя", "Ирина", "Мария", "Ольга"]},
@@ -30,28 +40,38 @@ GIVEN = {
 #: Syllables of family names by script (fixed values).
 SYLLABLES = {"latin": ["ba", "den", "fel", "gor", "hal", "ken", "lor", "min", "nor", "per", "ros", "tal", "ver", "wil", "zan", "mar"], "cyrillic": ["ба", "вел", "гор", "дан", "кер", "лов", "мир", "нов", "пет", "рос", "сал", "тар", "фед", "чер", "шан", "яр"]}
 _TITLE = "|".join(t.replace(".", "\\.") for k in TITLES for t in TITLES[k])
+_COMMON = "|".join(x for k in COMMON for x in COMMON[k])
+#: Country codes of one and two digits; all others have three (fixed values).
+_COUNTRY = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+_CAP = r"\p{Lu}(?:['’]\p{Lu})?\p{L}{1,30}(?:-\p{Lu}\p{L}{1,30})?"
 #: What counts as an entity, in order of precedence; possessive runs and look-behinds keep matching linear.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@[\p{L}\p{N}](?:[\p{L}\p{N}\-]{0,62}\.)*[\p{L}\p{N}\-]{0,62}\.\p{L}{2,24}",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE}) \p{{Lu}}\p{{L}}{{1,30}}(?: \p{{Lu}}\p{{L}}{{1,30}})?(?![\p{{L}}\p{{N}}])",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?=[\p{{Lu}}г])(?:(?:{_TITLE}) {_CAP}(?: {_CAP})?|(?:{_COMMON}) {_CAP})(?![\p{{L}}\p{{N}}])",
     "secret": r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\p{N}]|\.[0-9])",
+    "ip6": r"(?<![\p{L}\p{N}:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",
     "phone": r"(?<![\p{L}\p{N}])(?:\+1[ .\-]?(?:\([0-9]{3}\)|[0-9]{3})[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}|\+(?!1[ .\-(])[0-9]{1,3}[ \-]?(?:\([0-9]{1,5}\)|[0-9]{1,5})(?:[ \-]?[0-9]{2,5}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})(?![\p{L}\p{N}]|[.\-][0-9])",
-    "card": r"(?<![\p{L}\p{N}])(?:[2-6][0-9]{3}[ \-]?[0-9]{4}[ \-]?[0-9]{4}[ \-]?[0-9]{4}|3[47][0-9]{2}[ \-]?[0-9]{6}[ \-]?[0-9]{5})(?![\p{L}\p{N}])",
+    "card": r"(?<![\p{L}\p{N}])(?:[2-6][0-9]{15}|[2-6][0-9]{3}(?:-[0-9]{4}){3}|[2-6][0-9]{3}(?: [0-9]{4}){3}|3[47][0-9]{13}|3[47][0-9]{2}(?:-[0-9]{6}-| [0-9]{6} )[0-9]{5})(?![\p{L}\p{N}])",
     "id": r"(?<![\p{L}\p{N}\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}\-])",
 }
-KINDS = tuple(PATTERNS)
+KINDS = tuple(k for k in PATTERNS if k != "ip6")
 ANY = "|".join(PATTERNS.values())
-#: Texts without these characters hold no entity.
-HINT = f"[@0-9]|(?:{_TITLE}) "
+#: Texts without these hold no entity.
+HINT = f"[@0-9]|::|AKIA|gh[pousr]_|sk-|[a-f]{{32}}|[A-F]{{32}}|(?:{_TITLE}|{_COMMON}) "
 LAST = 24
 
 
+def key_of(spark: SparkSession) -> str:
+    """The key that the session has under spark.seamark.key; the queries' public one, for tables without real data, where it has none."""
+    return spark.conf.get("spark.seamark.key", "public")
+
+
 def _kind(e: Column) -> Column:
     """The kind of a match; patterns are tried in the same order as in ANY."""
     out = F
-    for k in KINDS:
+    for k in PATTERNS:
         out = out.when(e.rlike(f"^(?:{PATTERNS[k]})$"), k)
     return out.otherwise("secret")
 
@@ -62,7 +82,20 @@ def _digits(e: Column) -> Column:
 
 def _norm(kind: Column, e: Column) -> Column:
     """Mentions with equal forms are one entity."""
-    return F.when(kind.isin("phone", "card", "id"), _digits(e)).when(kind == "email", F.lower(e)).when(kind == "iban", F.replace(e, F.lit(" "), F.lit(""))).otherwise(e)
+    phone = F.concat(F.when(e.startswith("+"), F.lit("+")).otherwise("+1"), _digits(e))  # the forms without a plus are those of country code 1
+    return F.when(kind == "phone", phone).when(kind.isin("card", "id"), _digits(e)).when(kind.isin("email", "ip6"), F.lower(e)).when(kind == "iban", F.replace(e, F.lit(" "), F.lit(""))).otherwise(e)
+
+
+def _parts(kind: Column, e: Column) -> Column:
+    """The entities of a mention: (lead, kind, norm, e); lead is what stays before it, within the mention."""
+    title = F.regexp_extract(e, f"^(?:{_TITLE}) ", 0)
+    names = F.substring(e, F.length(title) + 1, F.length(e))
+    given, family = F.substring_index(names, " ", 1), F.substring_index(names, " ", -1)
+    gender = F.when(F.rtrim(title).isin(TITLES["f"]), "f").when(F.rtrim(title).isin(TITLES["m"]), "m").when(given.isin(COMMON["f"]), "f").otherwise("m")
+    one = lambda lead, k, norm, x: F.struct(lead.alias("lead"), k.alias("kind"), norm.alias("norm"), x.alias("e"))
+    first = one(title, F.lit("given"), F.concat_ws("|", gender, F.lower(given)), given)
+    last = lambda lead: one(lead, F.lit("family"), F.lower(family), family)
+    return F.when(kind != "name", F.array(one(F.lit(""), kind, _norm(kind, e), e))).when(F.locate(" ", names) > 0, F.array(first, last(F.lit(" ")))).otherwise(F.array(last(title)))
 
 
 def _draw(seed: Column, i, n) -> Column:
@@ -99,58 +132,91 @@ def _luhn(digits: Column) -> Column:
     return F.concat(F.substring(digits, F.lit(1), F.length(digits) - 1), F.pmod(F.lit(10) - total % 10, F.lit(10)).cast("string"))
 
 
+def _checked_iban(norm: Column) -> Column:
+    """An account number with the check digits that its other characters ask for."""
+    moved = F.concat(F.substring(norm, F.lit(5), F.length(norm)), F.substring(norm, 1, 2), F.lit("00"))
+    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    rest = F.aggregate(F.split(moved, ""), F.lit(0), lambda a, c: F.when(c == "", a).otherwise((a * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c)) % 97))
+    return F.concat(F.substring(norm, 1, 2), F.lpad((F.lit(98) - rest).cast("string"), 2, "0"), F.substring(norm, F.lit(5), F.length(norm)))
+
+
 def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
-    """The replacement of an entity's normal form; later attempts draw from more room where a form has little."""
+    """The replacement of an entity's normal form, in normal form; later attempts draw from more room where a form has little."""
     seed = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, norm, attempt.cast("string")), 256)
     host_seed = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("host"), F.substring_index(norm, "@", -1)), 256)
     more = F.when(attempt > 2, F.array_join(F.transform(F.sequence(F.lit(1), F.least(attempt, F.lit(12))), lambda i: _pick(seed, i + 1000, "0123456789")), "")).otherwise("")
     host = F.substring_index(norm, "@", -1)
     email = F.concat(_recast(seed, F.substring_index(norm, "@", 1)), more, F.lit("@"), _recast(host_seed, F.regexp_replace(host, "\\.[^.]*$", "")), F.regexp_extract(host, "\\.[^.]*$", 0))
     octets = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (_draw(seed, i, 254) + 1).cast("string")), ".")
-    first = lambda n: F.concat(F.substring(norm, 1, n), _recast(seed, F.substring(norm, F.lit(n + 1), F.length(norm))))
-    secret = F.when(norm.startswith("AKIA"), F.concat(F.lit("AKIA"), _recast(seed, F.substring(norm, 5, 1000)))).when(norm.rlike("^(gh[pousr]_|sk-)"), F.concat(F.regexp_extract(norm, "^(gh[pousr]_|sk-)", 1), _recast(seed, F.regexp_replace(norm, "^(gh[pousr]_|sk-)", "")))).otherwise(_recast(seed, norm, norm.rlike("^[0-9a-f]+$") | norm.rlike("^[0-9A-F]+$")))
-    title = F.substring_index(norm, " ", 1)
-    female, cyrillic = title.isin(TITLES["f"]), norm.rlike("\\p{IsCyrillic}$")
+    after = lambda head: F.concat(head, _recast(seed, F.substring(norm, F.length(head) + 1, F.length(norm))))
+    first = lambda n: after(F.substring(norm, 1, n))
+    phone = after(F.regexp_extract(norm, rf"^\+{_COUNTRY}[0-9]?", 0))
+    known = F.regexp_extract(norm, "^(?:AKIA|gh[pousr]_|sk-)", 0)
+    secret = F.when(known != "", after(known)).otherwise(_recast(seed, norm, norm.rlike("^[0-9a-f]+$") | norm.rlike("^[0-9A-F]+$")))
+    female, cyrillic = norm.startswith("f|"), norm.rlike("\\p{IsCyrillic}$")
     of = lambda words, i: F.element_at(F.array(*map(F.lit, words)), _draw(seed, i, len(words)) + 1)
-    given = F.when(female, F.when(cyrillic, of(GIVEN["f"]["cyrillic"], 1)).otherwise(of(GIVEN["f"]["latin"], 1))).otherwise(F.when(cyrillic, of(GIVEN["m"]["cyrillic"], 1)).otherwise(of(GIVEN["m"]["latin"], 1)))
-    parts = F.sequence(F.lit(2), F.lit(4) + F.least(attempt, F.lit(12)))
-    family = F.initcap(F.array_join(F.transform(parts, lambda i: F.when(cyrillic, of(SYLLABLES["cyrillic"], i)).otherwise(of(SYLLABLES["latin"], i))), ""))
-    name = F.when(F.size(F.split(norm, " ")) > 2, F.concat_ws(" ", title, given, family)).otherwise(F.concat_ws(" ", title, family))
-    return F.when(kind == "email", email).when(kind == "ip", octets).when(kind == "phone", first(1)).when(kind == "card", _luhn(first(1))).when(kind == "iban", first(2)).when(kind == "name", name).when(kind == "secret", secret).otherwise(_recast(seed, norm))
+    syllables = lambda n: F.array_join(F.transform(F.sequence(F.lit(2), n + F.least(attempt, F.lit(12))), lambda i: F.when(cyrillic, of(SYLLABLES["cyrillic"], i)).otherwise(of(SYLLABLES["latin"], i))), "")
+    listed = F.when(female, F.when(cyrillic, of(GIVEN["f"]["cyrillic"], 1)).otherwise(of(GIVEN["f"]["latin"], 1))).otherwise(F.when(cyrillic, of(GIVEN["m"]["cyrillic"], 1)).otherwise(of(GIVEN["m"]["latin"], 1)))
+    # beyond the list, names are made up, with an ending that goes with the gender
+    ending = F.when(female, F.when(cyrillic, "на").otherwise("na")).otherwise(F.when(cyrillic, "ан").otherwise("an"))
+    given = F.concat(F.substring(norm, 1, 2), F.when(attempt < 2, F.lower(listed)).otherwise(F.concat(syllables(F.lit(1)), ending)))
+    return (
+        F.when(kind == "email", email).when(kind == "ip", octets).when(kind == "ip6", _recast(seed, norm, F.lit(True))).when(kind == "phone", phone).when(kind == "card", _luhn(first(1)))
+        .when(kind == "iban", _checked_iban(first(4))).when(kind == "given", given).when(kind == "family", syllables(F.lit(4))).when(kind == "secret", secret).otherwise(_recast(seed, norm))
+    )
 
 
 def _fit(kind: Column, e: Column, s: Column) -> Column:
     """A replacement laid into the form of one mention."""
-    nth = lambda i: F.length(_digits(F.substring(e, F.lit(1), i + 1)))
-    laid = F.array_join(F.transform(F.split(e, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(s, nth(i), F.lit(1))).otherwise(c)), "")
+    digits, new = _digits(e), _digits(s)
+    # by the last digit, as a mention may lack the country code
+    nth = lambda i: F.length(_digits(F.substring(e, F.lit(1), i + 1))) + F.length(new) - F.length(digits)
+    laid = F.array_join(F.transform(F.split(e, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(new, nth(i), F.lit(1))).otherwise(c)), "")
     gaps = F.array_join(F.transform(F.split(e, ""), lambda c, i: F.when(c == " ", c).otherwise(F.substring(s, F.length(F.replace(F.substring(e, F.lit(1), i + 1), F.lit(" "), F.lit(""))), F.lit(1)))), "")
-    upper = (kind == "email") & e.rlike("\\p{Lu}") & (F.upper(e) == e)
-    return F.when(kind.isin("phone", "card", "id"), laid).when(kind == "iban", gaps).when(upper, F.upper(s)).otherwise(s)
-
-
-def assign(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, norm, surrogate) for distinct (kind, norm); all replacements of a kind distinct, none of them an entity."""
-    now = materialise(entities.select("kind", "norm", F.lit(0).alias("attempt"), surrogate(F.col("kind"), F.col("norm"), F.lit(0), key).alias("surrogate")), "surrogates")
-    for _ in range(LAST):
-        # the earliest attempt keeps a shared replacement, then the smallest form; a partial aggregate, so no group meets in one task
-        owner = now.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "norm")).alias("own"), F.count("*").alias("n"))
-        shared = now.join(owner.where("n > 1"), ["kind", "surrogate"]).where(F.struct("attempt", "norm") != F.col("own")).select("kind", "norm")
-        real = now.alias("a").join(now.select("kind", F.col("norm").alias("surrogate")), ["kind", "surrogate"], "left_semi").select("kind", "norm")
-        again = shared.union(real).distinct().withColumn("again", F.lit(True))
-        if again.isEmpty():
-            return now.select("kind", "norm", "surrogate")
-        tried = now.join(again, ["kind", "norm"], "left").withColumn("next", F.col("attempt") + F.when(F.col("again"), 1).otherwise(0))
-        now = materialise(tried.select("kind", "norm", F.col("next").alias("attempt"), F.when(F.col("again"), surrogate(F.col("kind"), F.col("norm"), F.col("next"), key)).otherwise(F.col("surrogate")).alias("surrogate")), "surrogates")
-    raise ValueError(f"replacements still meet after {LAST} draws")
-
-
-def replace(docs: DataFrame, key: str = "seamark", keep: list[str] | None = None) -> DataFrame:
+    # letter case by place: of the name from its start, of the host from its end
+    before, longer = F.length(F.substring_index(e, "@", 1)), F.length(s) - F.length(e)
+    source = lambda i: F.when(i < before, F.substring(e, i + 1, F.lit(1))).when(i >= before + longer, F.substring(e, i - longer + 1, F.lit(1))).otherwise("")
+    cased = F.array_join(F.transform(F.split(s, ""), lambda c, i: F.when(source(i).rlike("\\p{Lu}"), F.upper(c)).otherwise(c)), "")
+    email = F.when(F.lower(e) == e, s).otherwise(cased)
+    name = F.regexp_replace(s, "^[mf]\\|", "")
+    return (
+        F.when(kind.isin("phone", "card", "id"), laid).when(kind == "iban", gaps).when(kind == "email", email)
+        .when(kind.isin("given", "family"), F.when(F.upper(e) == e, F.upper(name)).otherwise(F.initcap(name))).when((kind == "ip6") & e.rlike("[A-F]"), F.upper(s)).otherwise(s)
+    )
+
+
+def assign(entities: DataFrame, key: str, files: int = 8) -> DataFrame:
+    """(kind, norm, surrogate) for distinct (kind, norm); all replacements of a kind distinct, none of them an entity.
+
+    A round draws for the entities that are open, and settles those whose draw nobody
+    else has; only the others go to the next.  files: of each table that is written.
+    """
+    open_ = materialise(entities.select("kind", "norm").coalesce(files), "entities")
+    every, settled = open_, None
+    for attempt in range(LAST):
+        drawn = materialise(open_.select("kind", "norm", surrogate(F.col("kind"), F.col("norm"), F.lit(attempt), key).alias("surrogate")).coalesce(files), "drawn")
+        # the smallest form keeps a shared draw; a partial aggregate, so no group meets in one task
+        won = drawn.groupBy("kind", "surrogate").agg(F.min("norm").alias("norm"))
+        won = won.join(every.select("kind", F.col("norm").alias("surrogate")), ["kind", "surrogate"], "left_anti")
+        if settled is not None:
+            won = won.join(settled.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
+        won = materialise(won.select("kind", "norm", "surrogate").coalesce(files), "settled")
+        settled = won if settled is None else settled.unionByName(won)
+        open_ = materialise(drawn.join(won, ["kind", "norm"], "left_anti").select("kind", "norm").coalesce(files), "open")
+        if open_.isEmpty():
+            return settled
+    raise ValueError(f"replacements still meet after {LAST} draws: a form has no room for its entities")
+
+
+def replace(docs: DataFrame, key: str, keep: list[str] | None = None) -> DataFrame:
     """docs (columns keep, all by default) with text's entities replaced, and ``n_<kind>`` counts.
 
-    A null text stays null, an empty one empty; a text without entities is returned as
+    key: without it the replacements cannot be foretold; the same key gives the same
+    draws.  A null text stays null, an empty one empty; a text without entities is returned as
     it is.  Repeated rows are treated alike, an empty table gives none, nulls elsewhere
-    are carried.  Columns named like the counts are replaced.  Key: without it the
-    replacements cannot be foretold.
+    are carried.  Columns named like the counts are replaced.  Names are found after a form of
+    address (TITLES) or by a common given name (COMMON).  Where a form has no room for
+    distinct replacements of all its entities, a ValueError says so.
     """
     counts = [f"n_{k}" for k in KINDS]
     names = [c for c in (docs.columns if keep is None else keep) if c not in counts]
@@ -161,15 +227,17 @@ def replace(docs: DataFrame, key: str = "seamark", keep: list[str] | None = None
     has = F.col("text").rlike(HINT) & F.col("text").rlike(ANY)
     plain = rows.where(~F.coalesce(has, F.lit(False))).select(*columns, "text", *(F.lit(0).cast("bigint").alias(c) for c in counts))
     # only texts with entities are written; the numbers in _row are fixed by that
-    hits = rows.where(has).select(*columns, "text", found.alias("found"), F.monotonically_increasing_id().alias("_row"))
-    hits = materialise(hits, "entities")
-    kind = _kind(F.col("e"))
-    mentions = hits.select("_row", F.posexplode("found").alias("pos", "e")).withColumn("kind", kind).withColumn("norm", _norm(F.col("kind"), F.col("e")))
-    chosen = assign(mentions.select("kind", "norm").distinct(), key)
-    fitted = mentions.join(chosen, ["kind", "norm"]).select("_row", "pos", "kind", _fit(F.col("kind"), F.col("e"), F.col("surrogate")).alias("s"))
-    lists = fitted.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("new"), *(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS))
+    hits = materialise(rows.where(has).select(*columns, "text", found.alias("found"), F.monotonically_increasing_id().alias("_row")), "entities")
+    files = parts_for(hits.count(), 25_000, least=4)
+    mentions = hits.select("_row", F.posexplode("found").alias("pos", "m")).withColumn("kind", _kind(F.col("m")))
+    mentions = mentions.select("_row", "pos", F.posexplode(_parts(F.col("kind"), F.col("m"))).alias("part", "x")).select("_row", "pos", "part", "x.*")
+    chosen = assign(mentions.select("kind", "norm").distinct(), key, files)
+    fitted = mentions.join(chosen, ["kind", "norm"]).select("_row", "pos", "part", "kind", F.concat("lead", _fit(F.col("kind"), F.col("e"), F.col("surrogate"))).alias("s"))
+    of = {"name": ["family"], "ip": ["ip", "ip6"]}
+    lists = fitted.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("pos", "part", "s"))).alias("new"), *(F.count_if(F.col("kind").isin(of.get(k, [k]))).alias(f"n_{k}") for k in KINDS))
     gaps = F.split("text", ANY, -1)
-    text = F.array_join(F.zip_with(gaps, F.col("new"), lambda g, s: F.concat(g, F.coalesce(s.s, F.lit("")))), "")
-    done = hits.join(lists, "_row").select(*columns, text.alias("text"), *counts)
-    out = plain.unionByName(done)
+    pieces = F.transform(F.col("new"), lambda x: F.concat(F.when(x.part == 0, F.get(F.col("gaps"), x.pos)).otherwise(""), x.s))
+    text = F.concat(F.array_join(pieces, ""), F.element_at("gaps", -1))
+    done = hits.join(lists, "_row").withColumn("gaps", gaps).select(*columns, text.alias("text"), *counts)
+    out = plain.unionByName(done.coalesce(files * 4))
     return out.select(*(F.col(f"_c{k}").alias(c) if c != "text" else F.col("text") for k, c in enumerate(names)), *([] if "text" in names else ["text"]), *counts)

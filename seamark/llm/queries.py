@@ -60,7 +60,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace(read(spark, sf_dir, "documents"), keep=["doc_id", "text"])
+    return pii.replace(read(spark, sf_dir, "documents"), pii.key_of(spark), keep=["doc_id", "text"])
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
