@@ -3,8 +3,9 @@
 A rolling hash over the ids cuts every document's stream into chunks, so equal
 passages give equal chunks wherever they stand.  A chunk is named by the digest of
 its bytes and stored once; a document is a recipe, the list of its chunks' names;
-its Merkle root over these names, and the root of each recipe file over its
-documents, let a reader verify what it rebuilds.
+its Merkle root over these names, the root of each range of recipes over its documents, and the
+root of the store over its ranges let a reader verify what it rebuilds: chunks, recipes, ranges or
+files that are lost, changed or cut short raise a ValueError, or Spark's error for the file.
 
 Layout under the store's path:
 
@@ -12,8 +13,8 @@ Layout under the store's path:
   or 32-bit integers), one row for each different chunk;
 * ``recipes``: doc_id, start, n_tokens, chunk names in order, Merkle root; files and
   their rows in ascending doc_id order;
-* ``manifest``: for each range of recipes its documents, ids, first start and root
-  over the documents' roots.
+* ``manifest``: for each range of recipes its documents, ids, first start and Merkle root
+  over the documents' roots; and one row (file -1) for the store, its root over the ranges' roots.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ import sys
 import unicodedata
 import zlib
 from array import array
-from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -116,76 +117,118 @@ def crc32_joined(crcs: np.ndarray, lengths: np.ndarray, owner: np.ndarray, owner
     return out
 
 
+def _gathered(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of flat (begin, size) in the order of code: their sizes, the runs in a row, and where each begins, with the end."""
+    n = size[code]
+    upto = np.concatenate([[0], np.cumsum(n)])
+    return n, flat[np.repeat(begin[code] - upto[:-1], n) + np.arange(upto[-1])], upto
+
+
 class WordTokenizer:
     """A tokenizers file; texts are encoded by word where that is the same, else whole."""
 
+    #: Marks that may follow a word's letters; the library parts them from these.
+    MARKS = ".,!?;:#*$%&|"
+    #: Letters that normal form or lower case turn into more than letters, or by what stands beside them.
+    ODD = "[\u03a3" + "".join(c for c in map(chr, range(0xC0, 0x30000)) if c.isalpha() and not unicodedata.normalize("NFC", c).lower().isalpha()) + "]"
+
     def __init__(self, data: bytes, kept: int = 500_000):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_buffer(data)
-        #: Ids of words, and of letters and marks alone; either is emptied before a batch once it is full.
-        self.words: dict[str, bytes] = {}
+        #: Ids of runs of letters, of marks, and of words that are neither; emptied before a batch once it is full.
         self.parts: dict[str, bytes] = {}
         self.kept = kept
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        #: White space on which Python and the library could differ; texts that hold any are encoded whole.
+        #: White space on which Arrow and the library could differ; texts that hold any are encoded whole.
         self.odd = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]").search
-        #: Letters and then marks: the library parts them, and lowers case first, so many words share their letters' ids.
-        self.split = re.compile(r"([^\W\d_]+)([.,!?;:#*$%&|]*)").fullmatch
-        self.folds = self._same("Ab,") and self._same("\u00c9l!!")
-
-    def _same(self, word: str) -> bool:
-        """Whether this file's tokenizer does part and lower words in that way."""
-        letters, marks = self.split(word).groups()
-        ids = lambda x: self.whole.encode(x, add_special_tokens=False).ids
-        return ids(word) == ids(letters.lower()) + ids(marks)
-
-    def _learn(self, new: list[str]) -> None:
-        """Words that the cache lacks, by their letters and marks where that is the same."""
-        first, second = [], []
-        for w in new:
-            if w.isalpha():
-                a, b = w, ""
-            elif w[-1] in ".," and w[:-1].isalpha():
-                a, b = w[:-1], w[-1]
-            else:
-                m = self.split(w)
-                a, b = m.groups() if m else (None, "")
-            if a is None or not self.folds:
-                a, b = w, ""
-            elif a.isascii():
-                a = a.lower()
-            elif unicodedata.is_normalized("NFC", a) and len(a.lower()) == len(a) and "\u03a3" not in a:
-                a = a.lower()
-            else:
-                a, b = w, ""
-            first.append(a)
-            second.append(b)
-        parts = self.parts
-        parts[""] = b""
-        missing = list({*first, *second}.difference(parts))
-        if missing:
-            parts.update(zip(missing, [array("I", e.ids).tobytes() for e in self.whole.encode_batch_fast(missing, add_special_tokens=False)]))
-        self.words.update(zip(new, map(add, map(parts.__getitem__, first), map(parts.__getitem__, second))))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        split = [None if self.odd(t) or any(s in t for s in self.special) else t.split() for t in texts]
-        for kept in (self.words, self.parts):
-            if len(kept) >= self.kept:
-                kept.clear()
-        seen: set[str] = set()
-        for words in split:
-            if words:
-                seen.update(words)
-        self._learn(list(seen.difference(self.words)))
-        get = self.words.__getitem__
-        for k, (text, words) in enumerate(zip(texts, split)):
-            out[k] = b"".join(map(get, words)) if words is not None else np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return out
+        ids = self._ids
+        #: Whether words can be cut at white space, lowered (A-Z), and their letters and marks encoded apart.
+        self.cuts = ids("ab cd") == ids("ab") + ids("cd")
+        self.lowers = ids("Ab,") == ids("ab,")
+        self.splits = ids("ab,") == ids("ab") + ids(",") and ids("\u00e9l!!") == ids("\u00e9l") + ids("!!")
+        #: Which ids end a word, for files that mark it.
+        suffix = json.loads(data).get("model", {}).get("end_of_word_suffix")
+        self.last = np.zeros(self.whole.get_vocab_size(with_added_tokens=True), bool)
+        if suffix:
+            self.last[[i for token, i in self.whole.get_vocab().items() if token.endswith(suffix)]] = True
+
+    def _ids(self, text: str) -> list[int]:
+        return self.whole.encode(text, add_special_tokens=False).ids
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, letters: list[str], at_once: int = 64) -> list[bytes]:
+        """Ids of runs of letters, many to a text; an id that ends a word tells where one stops."""
+        lines = [" ".join(letters[k : k + at_once]) for k in range(0, len(letters), at_once)]
+        ids = np.array([i for e in self.whole.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], "<u4")
+        ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+        if len(ends) != len(letters) or ends and ends[-1] != 4 * len(ids):
+            return self._each(letters)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _table(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different strings in a row, and how many each has."""
+        strings, parts, odd = strings.to_pylist(), self.parts, re.compile(self.ODD).search
+        found = list(map(parts.get, strings))
+        new = [x for x, f in zip(strings, found) if f is None]
+        if new:
+            letters = [x for x in new if self.splits and x.isalpha() and (x.isascii() or not odd(x))]
+            parts.update(zip(letters, self._joined(letters)))
+            rest = [x for x in new if x not in parts]
+            parts.update(zip(rest, self._each(rest)))
+            found = list(map(parts.__getitem__, strings))
+        return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different words in a row, and how many each has; by their letters and marks where that is the same."""
+        heads = pc.utf8_rtrim(words, characters=self.MARKS)
+        fits = pc.and_(pc.utf8_is_alpha(heads), pc.invert(pc.match_substring_regex(heads, self.ODD)))
+        heads = pc.if_else(fits if self.splits else pa.scalar(False), heads, words)
+        # what follows the letters, from the words' own bytes
+        _, offsets, data = words.buffers()
+        ends = np.frombuffer(offsets, "<i8")[words.offset : words.offset + len(words) + 1]
+        letters = pc.binary_length(heads).to_numpy()
+        _, marks, upto = _gathered(np.frombuffer(data or b"", np.uint8), ends[:-1] + letters, np.diff(ends) - letters, np.arange(len(words)))
+        tails = pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(upto.astype("<i8").tobytes()), pa.py_buffer(marks.tobytes()))
+        flat, sizes, codes = [], [], []
+        for x in (heads.dictionary_encode(), tails.dictionary_encode()):
+            ids, size = self._table(x.dictionary)
+            codes.append(x.indices.to_numpy() + sum(map(len, sizes)))
+            flat.append(ids)
+            sizes.append(size)
+        size = np.concatenate(sizes)
+        n, ids, _ = _gathered(np.concatenate(flat), np.cumsum(size) - size, size, np.stack(codes, axis=1).ravel())
+        return ids, n.reshape(-1, 2).sum(axis=1)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's end; a null is empty."""
+        if len(self.parts) >= self.kept:
+            self.parts.clear()
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = {k: t for k, t in enumerate(texts.to_pylist()) if not self.cuts or self.odd(t) or any(x in t for x in self.special)}
+        if odd:
+            by_hand = np.zeros(len(texts), bool)
+            by_hand[list(odd)] = True
+            texts = pc.if_else(pa.array(by_hand), "", texts)
+        for space in "\t\n\r":
+            texts = pc.replace_substring(texts, space, " ")
+        split = pc.split_pattern(pc.ascii_lower(texts) if self.lowers else texts, " ")  # two in a row give an empty word, without ids
+        coded = split.values.dictionary_encode()
+        flat, size = self._words(coded.dictionary)
+        _, ids, upto = _gathered(flat, np.cumsum(size) - size, size, coded.indices.to_numpy())
+        ends = upto[split.offsets.to_numpy()[1:]]
+        if odd:
+            cuts = np.concatenate([[0], ends])
+            each = [np.array(self._ids(odd[k]), "<u4") if k in odd else ids[cuts[k] : cuts[k + 1]] for k in range(len(texts))]
+            ids, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
+        return ids, ends
 
 
 _tokenizers: dict[bytes, WordTokenizer] = {}
@@ -205,17 +248,19 @@ _KINDS = (pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary())
 def _encode(batches, shared, end_id: int, kind: str):
     """Chunks (with a digest) that are new in this task, and recipes (without; data: the names joined)."""
     run, seen = _tokenizer(shared.value), set()
-    tail = np.array([end_id], "<u4").tobytes()
+    wide = np.dtype(kind).itemsize
     for batch in batches:
-        for part in slices(batch, 512):
+        for part in slices(batch, 2048):
             out = []
-            encoded = run.encode([t or "" for t in part.column("text").to_pylist()])
-            for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoded):
-                ids = np.frombuffer(ids + tail, "<u4")
+            ids, ends = run.encode(part.column("text"))
+            begin = 0
+            for doc_id, end in zip(part.column("doc_id").to_pylist(), ends.tolist()):
+                own = np.append(ids[begin:end], np.uint32(end_id))
+                begin = end
                 names, at = [], 0
-                data = ids.astype(kind)
-                for e in cut(ids):
-                    raw = data[at:e].tobytes()
+                data = own.astype(kind).tobytes()
+                for e in cut(own):
+                    raw = data[at * wide : e * wide]
                     names.append(name := digest(raw))
                     if name not in seen:
                         if len(seen) > 500_000:
@@ -223,7 +268,7 @@ def _encode(batches, shared, end_id: int, kind: str):
                         seen.add(name)
                         out.append((name, None, raw, e - at, None))
                     at = e
-                out.append((None, doc_id, b"".join(names), len(ids), merkle(names)))
+                out.append((None, doc_id, b"".join(names), len(own), merkle(names)))
             for k in range(0, len(out), 4096):
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[k : k + 4096]), _KINDS)], names=["digest", "doc_id", "data", "n", "root"])
 
@@ -277,9 +322,59 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1) -> N
     within = Window.partitionBy("file").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one file's documents
     numbered = ranges.join(begin, "file").withColumn("start", F.col("begin") + F.sum("n").over(within) - F.col("n"))
     numbered.select("file", "doc_id", "start", F.col("n").alias("n_tokens"), F.col("data").alias("names"), "root").repartitionByRange(files, "start").sortWithinPartitions("start").write.parquet(f"{path}/recipes")
-    recipes(spark, path).groupBy("file").agg(
-        F.count("*").alias("documents"), F.sum("n_tokens").alias("n_tokens"), F.min("start").alias("start"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "root"))), lambda x: F.hex(x.root)), ""), 256).alias("root")
-    ).coalesce(1).write.parquet(f"{path}/manifest")
+    ranges = _ranges(recipes(spark, path))
+    every = ranges.orderBy("start", "file").collect()  # a row for each file
+    whole = (-1, sum(r.documents for r in every), sum(r.n_tokens for r in every), 0, merkle([bytes(r.root) for r in every]))
+    spark.createDataFrame([*(tuple(r) for r in every), whole], _MANIFEST).coalesce(1).write.parquet(f"{path}/manifest")
+
+
+_MANIFEST = "file int, documents bigint, n_tokens bigint, start bigint, root binary"
+
+
+def _range_roots(batches):
+    """One row for each range; its documents are neighbours, by start."""
+    now, roots, n, start = None, [], 0, 0
+
+    def done():
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((now, pa.int32()), (len(roots), pa.int64()), (n, pa.int64()), (start, pa.int64()), (merkle(roots), pa.binary()))], names=["file", "documents", "n_tokens", "start", "root"])
+
+    for batch in batches:
+        for file, at, tokens, root in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            if file != now:
+                if now is not None:
+                    yield done()
+                now, roots, n, start = file, [], 0, at
+            if at != start + n:
+                raise ValueError(f"documents are missing before the one at {at}")
+            roots.append(root)
+            n += tokens
+    if now is not None:
+        yield done()
+
+
+def _ranges(found: DataFrame) -> DataFrame:
+    """What the recipes found say of each range."""
+    return found.select("file", "start", "n_tokens", "root").repartition("file").sortWithinPartitions("file", "start").mapInArrow(_range_roots, _MANIFEST)
+
+
+def verify(spark: SparkSession, path: str) -> None:
+    """Raises unless the recipes are those of the manifest, and the manifest is whole."""
+    kept = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest")
+    rows = sorted(tuple(r) for r in kept.collect())  # a row for each file
+    if not rows or rows[0][0] != -1:
+        raise ValueError("the manifest is lost")
+    (_, documents, tokens, _, root), *each = rows
+    each.sort(key=lambda r: (r[3], r[0]))
+    if documents != sum(r[1] for r in each) or tokens != sum(r[2] for r in each) or root != merkle([bytes(r[4]) for r in each]):
+        raise ValueError("the manifest is damaged")
+    names = ["documents", "n_tokens", "start", "root"]
+    both = _ranges(recipes(spark, path)).alias("a").join(kept.where("file >= 0").alias("b"), "file", "full")
+    differ = F.lit(False)
+    for c in names:
+        differ |= ~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    bad = both.where(differ).select("file").first()
+    if bad is not None:
+        raise ValueError(f"the recipes of range {bad.file} are not those of the manifest")
 
 
 def _table(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -310,7 +405,7 @@ def _pieces(spark: SparkSession, path: str, wide: bool) -> DataFrame:
     names = F.transform(F.sequence(F.lit(1), (F.length("names") / DIGEST).cast("int")), lambda k: F.substring(F.col("names"), (k - 1) * DIGEST + 1, F.lit(DIGEST)))
     exploded = recipes(spark, path).select("doc_id", "start", "n_tokens", "root", F.posexplode(names).alias("pos", "digest"))
     # a chunk that many documents share is one row on the other side; adaptive execution splits its partition
-    return exploded.join(chunks if wide else chunks.drop("ids"), "digest")
+    return exploded.join(chunks if wide else chunks.drop("ids"), "digest", "left")
 
 
 def _runs(batches, key: str):
@@ -334,6 +429,8 @@ def _verified(batch):
     begin = np.flatnonzero(np.diff(starts, prepend=-1))
     owner = np.repeat(np.arange(len(begin)), np.diff([*begin, len(starts)]))
     names, roots = batch.column("digest").to_pylist(), batch.column("root").to_pylist()
+    if batch.column(batch.num_columns - 1).null_count:
+        raise ValueError("a chunk is lost")
     for a, b in zip(begin, [*begin[1:], len(starts)]):
         if merkle(names[a:b]) != roots[a]:
             raise ValueError(f"the document at {starts[a]} does not have its recipe's root")
@@ -367,14 +464,16 @@ def _in_order(df: DataFrame) -> DataFrame:
 def checksums(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files.
 
-    Every chunk's name, every recipe's Merkle root and length are verified.  The
-    crc32 of a document is made of its chunks' own, so no ids are shuffled.
+    The manifest, and every recipe against it, are verified first; then every chunk's name, every
+    recipe's Merkle root and length.  The crc32 of a document is made of its chunks' own, so no ids are shuffled.
     """
+    verify(spark, path)
     rows = _pieces(spark, path, False).select("doc_id", "start", "n_tokens", "root", "pos", "digest", "crc", "bytes")
     return _in_order(rows).mapInArrow(_sums, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def rebuild(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit) of every document, verified as in checksums."""
+    verify(spark, path)
     rows = _pieces(spark, path, True).select("doc_id", "start", "n_tokens", "root", "pos", "digest", "ids")
     return _in_order(rows).mapInArrow(_joined, "doc_id bigint, start bigint, n_tokens bigint, ids binary")

@@ -4,8 +4,10 @@ import collections
 import hashlib
 import itertools
 import math
+import pathlib
 import random
 import re
+import shutil
 import zlib
 
 import numpy as np
@@ -245,6 +247,63 @@ def test_op4_store(spark, docs, none):
     assert token_store.checksums(spark, empty).count() == 0
 
 
+def test_op4_ids_are_the_librarys():
+    """Words by letters and marks against whole texts, over letters, marks, spaces and marks of all kinds."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    t, rng = Tokenizer.from_file(tok.path("word_bpe_49k.json")), random.Random(3)
+    with open(tok.path("word_bpe_49k.json"), "rb") as f:
+        own = token_store.WordTokenizer(f.read(), kept=50)
+    bits = ["the", "Sea", " ", " ", "  ", "\n", "\t", "\r\n", ".", ",", "...", "!?", "'s", "'", "É", "ß", "İ", "Σ", "ΟΔΟΣ", "e\u0301", "日本", "12", "x1", "###", "|", "-", "\u00a0", "\u2009", "\x1c", "\x0b", "ǅ", "<|endoftext|>", "ﬁ", "ª", "²", "\u0345", "😀", "Å"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(30))) for _ in range(1500)] + [None, "", " "]
+    for k in range(0, len(texts), 300):
+        part = texts[k : k + 300]
+        ids, ends = own.encode(pa.array(part, pa.string()))
+        for text, a, b in zip(part, [0, *ends], ends):
+            assert ids[a:b].tolist() == t.encode(text or "", add_special_tokens=False).ids, text
+    assert own.cuts and own.lowers and own.splits and own.last.any()
+
+
+@pytest.mark.parametrize("lost", ["chunk", "recipe", "recipe file", "manifest", "manifest row", "manifest range", "cut file"])
+def test_op4_loss_is_found(spark, docs, lost):
+    path = scratch_path(spark, "store")
+    token_store.write(docs, path, tok.path("word_bpe_49k.json"))
+    assert token_store.checksums(spark, path).count() == len(_rows())
+
+    def again(table, change, **options):
+        where = pathlib.Path(path) / table
+        rows = [r.asDict() for r in spark.read.parquet(str(where)).collect()]
+        schema = spark.read.parquet(str(where)).schema
+        for f in where.rglob("*"):
+            if f.is_file():
+                f.unlink()
+        writer = spark.createDataFrame([tuple(r.values()) for r in change(rows)], schema).coalesce(1).write.mode("append")
+        (writer.partitionBy(options["by"]) if options else writer).parquet(str(where))
+
+    if lost == "chunk":
+        again("data", lambda d: [r for k, r in enumerate(sorted(d, key=lambda r: r["table"])) if k != 3], by="table")
+    elif lost == "recipe":
+        again("recipes", lambda d: d[:5] + d[6:])
+    elif lost == "recipe file":
+        files = sorted((pathlib.Path(path) / "recipes").glob("part-*"))
+        files[-1].unlink()
+    elif lost == "manifest":
+        shutil.rmtree(pathlib.Path(path) / "manifest")
+    elif lost == "manifest row":
+        again("manifest", lambda d: [r for r in d if r["file"] >= 0])
+    elif lost == "manifest range":
+        again("manifest", lambda d: [r for r in d if r["file"] != max(x["file"] for x in d)])
+    else:
+        files = sorted((pathlib.Path(path) / "data").rglob("*.parquet"))
+        files[0].write_bytes(files[0].read_bytes()[:-200])
+        (files[0].parent / f".{files[0].name}.crc").unlink()
+    with pytest.raises(Exception, match="lost|missing|not those|damaged|PATH_NOT_FOUND|footer|Parquet|parquet"):
+        token_store.checksums(spark, path).count()
+    with pytest.raises(Exception, match="lost|missing|not those|damaged|PATH_NOT_FOUND|footer|Parquet|parquet"):
+        token_store.rebuild(spark, path).count()
+
+
 def test_op4_chunks_of_shared_passages_are_shared_and_damage_is_found(spark):
     rng = np.random.default_rng(1)
     body = rng.integers(0, 49_000, 20_000)
