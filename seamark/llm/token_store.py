@@ -183,7 +183,7 @@ class WordTokenizer:
             parts.update(zip(letters, self._joined(letters)))
             rest = [x for x in new if x not in parts]
             parts.update(zip(rest, self._each(rest)))
-            found = list(map(parts.__getitem__, strings))
+            found = [parts[x] if f is None else f for x, f in zip(strings, found)]
         return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
 
     def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -250,7 +250,7 @@ def _encode(batches, shared, end_id: int, kind: str):
     run, seen = _tokenizer(shared.value), set()
     wide = np.dtype(kind).itemsize
     for batch in batches:
-        for part in slices(batch, 2048):
+        for part in slices(batch, 4096):
             out = []
             ids, ends = run.encode(part.column("text"))
             begin = 0
@@ -273,18 +273,6 @@ def _encode(batches, shared, end_id: int, kind: str):
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[k : k + 4096]), _KINDS)], names=["digest", "doc_id", "data", "n", "root"])
 
 
-def _once(batches):
-    """Keep one chunk for each digest; equal ones are neighbours."""
-    last = None
-    for batch in batches:
-        keep = []
-        for k, name in enumerate(batch.column("digest").to_pylist()):
-            if name is None or name != last:
-                keep.append(k)
-            last = name
-        yield batch.take(pa.array(keep, pa.int64()))
-
-
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1) -> None:
     """Encode docs (doc_id, text) and write the store.
 
@@ -303,13 +291,12 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1) -> N
     shared = spark.sparkContext.broadcast(raw)  # the tokenizer's file, some MB
     parts = parts_for(text_bytes(docs), 12e6, least=4)
     sent = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(lambda it: _encode(it, shared, end_id, kind), _SENT)
-    (
-        sent.withColumn("table", F.when(F.col("digest").isNull(), "recipes").otherwise("chunks"))
-        .withColumn("to", F.pmod(F.xxhash64(F.coalesce("digest", "data"), "doc_id"), F.lit(parts)))
-        .repartition(parts, "to").sortWithinPartitions("table", "digest").drop("to")
-        .mapInArrow(_once, f"{_SENT}, table string")
-        .write.partitionBy("table").option("compression", "zstd").parquet(f"{path}/data")
-    )
+    table = F.when(F.col("digest").isNull(), "recipes").otherwise("chunks")
+    # recipes have a number each, so that none is taken for another
+    named = sent.withColumns({"table": table, "row": F.when(F.col("digest").isNull(), F.monotonically_increasing_id())})
+    dealt = named.withColumn("to", F.pmod(F.xxhash64("digest", "row"), F.lit(parts))).repartition(parts, "to")
+    once = dealt.groupBy("table", "to", "digest", "row").agg(*(F.first(c).alias(c) for c in ("doc_id", "data", "n", "root")))  # needs no further exchange
+    once.select(*(x.split()[0] for x in _SENT.split(", ")), "table").write.partitionBy("table").option("compression", "zstd").parquet(f"{path}/data")
     order = [F.col("doc_id").asc_nulls_first(), F.col("data")]
     files = parts_for(parts, 4)
     _table(spark, path, "recipes").drop("digest").repartitionByRange(files, *order).withColumn("file", F.spark_partition_id()).write.parquet(f"{path}/ranges")
