@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seamark.llm.common import parts_for, slices, text_bytes
+from seamark.llm.common import parts_for, release, slices, text_bytes
 
 DIGEST = 16
 
@@ -132,7 +132,7 @@ class WordTokenizer:
     #: Letters that normal form or lower case turn into more than letters, or by what stands beside them.
     ODD = "[\u03a3" + "".join(c for c in map(chr, range(0xC0, 0x30000)) if c.isalpha() and not unicodedata.normalize("NFC", c).lower().isalpha()) + "]"
 
-    def __init__(self, data: bytes, kept: int = 500_000):
+    def __init__(self, data: bytes, kept: int = 400_000):
         import json
         import os
 
@@ -250,7 +250,7 @@ def _encode(batches, shared, end_id: int, kind: str):
     run, seen = _tokenizer(shared.value), set()
     wide = np.dtype(kind).itemsize
     for batch in batches:
-        for part in slices(batch, 4096):
+        for part in slices(batch, 2048):
             out = []
             ids, ends = run.encode(part.column("text"))
             begin = 0
@@ -271,6 +271,7 @@ def _encode(batches, shared, end_id: int, kind: str):
                 out.append((None, doc_id, b"".join(names), len(own), merkle(names)))
             for k in range(0, len(out), 4096):
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[k : k + 4096]), _KINDS)], names=["digest", "doc_id", "data", "n", "root"])
+    release()
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1) -> None:
