@@ -17,6 +17,8 @@ different and mentions of one stay mentions of one.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,21 +47,25 @@ _COMMON = "|".join(x for k in COMMON for x in COMMON[k])
 _COUNTRY = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 _CAP = r"\p{Lu}(?:['’]\p{Lu})?\p{L}{1,30}(?:-\p{Lu}\p{L}{1,30})?"
 #: What counts as an entity, in order of precedence; possessive runs and look-behinds keep matching linear.
+#: No entity begins within a word (GUARD), which is tested once for all.
+GUARD = r"(?<![\p{L}\p{N}])"
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@[\p{L}\p{N}](?:[\p{L}\p{N}\-]{0,62}\.)*[\p{L}\p{N}\-]{0,62}\.\p{L}{2,24}",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?=[\p{{Lu}}г])(?:(?:{_TITLE}) {_CAP}(?: {_CAP})?|(?:{_COMMON}) {_CAP})(?![\p{{L}}\p{{N}}])",
-    "secret": r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\p{L}\p{N}])",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\p{N}]|\.[0-9])",
-    "ip6": r"(?<![\p{L}\p{N}:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",
-    "phone": r"(?<![\p{L}\p{N}])(?:\+1[ .\-]?(?:\([0-9]{3}\)|[0-9]{3})[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}|\+(?!1[ .\-(])[0-9]{1,3}[ \-]?(?:\([0-9]{1,5}\)|[0-9]{1,5})(?:[ \-]?[0-9]{2,5}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})(?![\p{L}\p{N}]|[.\-][0-9])",
-    "card": r"(?<![\p{L}\p{N}])(?:[2-6][0-9]{15}|[2-6][0-9]{3}(?:-[0-9]{4}){3}|[2-6][0-9]{3}(?: [0-9]{4}){3}|3[47][0-9]{13}|3[47][0-9]{2}(?:-[0-9]{6}-| [0-9]{6} )[0-9]{5})(?![\p{L}\p{N}])",
-    "id": r"(?<![\p{L}\p{N}\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}\-])",
+    "email": r"(?<![._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@[\p{L}\p{N}](?:[\p{L}\p{N}\-]{0,62}\.)*[\p{L}\p{N}\-]{0,62}\.\p{L}{2,24}",
+    "name": rf"(?=[\p{{Lu}}г])(?:(?:{_TITLE}) {_CAP}(?: {_CAP})?|(?:{_COMMON}) {_CAP})(?![\p{{L}}\p{{N}}])",
+    "secret": r"(?=[0-9A-Fa-gs])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\p{L}\p{N}])",
+    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    "ip6": r"(?=[0-9A-Fa-f])(?<!:)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",
+    "ip": r"(?=[0-9])(?<!\.)(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\p{N}]|\.[0-9])",
+    "phone": r"(?=[+(0-9])(?:\+1[ .\-]?(?:\([0-9]{3}\)|[0-9]{3})[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}|\+(?!1[ .\-(])[0-9]{1,3}[ \-]?(?:\([0-9]{1,5}\)|[0-9]{1,5})(?:[ \-]?[0-9]{2,5}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})(?![\p{L}\p{N}]|[.\-][0-9])",
+    "card": r"(?=[2-6])(?:[2-6][0-9]{15}|[2-6][0-9]{3}(?:-[0-9]{4}){3}|[2-6][0-9]{3}(?: [0-9]{4}){3}|3[47][0-9]{13}|3[47][0-9]{2}(?:-[0-9]{6}-| [0-9]{6} )[0-9]{5})(?![\p{L}\p{N}])",
+    "id": r"(?=[0-9])(?<!-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}\-])",
 }
 KINDS = tuple(k for k in PATTERNS if k != "ip6")
-ANY = "|".join(PATTERNS.values())
-#: Texts without these hold no entity.
-HINT = f"[@0-9]|::|AKIA|gh[pousr]_|sk-|[a-f]{{32}}|[A-F]{{32}}|(?:{_TITLE}|{_COMMON}) "
+#: Whether any can begin is told by one character before the patterns are tried.
+ANY = rf"(?=[\p{{L}}\p{{N}}+(._%\-]){GUARD}(?:{'|'.join(PATTERNS.values())})"
+#: Texts without any of these hold no entity.
+LITERALS = ("@", "::", "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-")
+HINT = rf"[0-9]|[a-f]{{32}}|[A-F]{{32}}|(?=[\p{{Lu}}г]){GUARD}(?:{_TITLE}|{_COMMON}) "
 LAST = 24
 
 
@@ -223,8 +229,9 @@ def replace(docs: DataFrame, key: str, keep: list[str] | None = None) -> DataFra
     carried = [F.col(c).alias(f"_c{k}") for k, c in enumerate(names) if c != "text"]
     columns = [f"_c{k}" for k, c in enumerate(names) if c != "text"]
     rows = docs.select(*carried, "text")
-    found = F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    has = F.col("text").rlike(HINT) & F.col("text").rlike(ANY)
+    hint = reduce(Column.__or__, [F.col("text").contains(x) for x in LITERALS]) | F.col("text").rlike(HINT)
+    found = F.when(hint, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    has = hint & F.col("text").rlike(ANY)
     plain = rows.where(~F.coalesce(has, F.lit(False))).select(*columns, "text", *(F.lit(0).cast("bigint").alias(c) for c in counts))
     # only texts with entities are written; the numbers in _row are fixed by that
     hits = materialise(rows.where(has).select(*columns, "text", found.alias("found"), F.monotonically_increasing_id().alias("_row")), "entities")
