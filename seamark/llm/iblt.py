@@ -15,6 +15,7 @@ import hashlib
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from seamark.llm.common import parts_for, text_bytes
 
 #: Cells of the fingerprint that is returned; larger ones are made when it does not peel.
-CELLS, HASHES, MOST_CELLS = 24, 3, 1 << 20
+CELLS, HASHES = 24, 3
 #: A paragraph ends after about this many words unless its line ends before.
 RUN = 6
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+|\n").findall
@@ -118,9 +119,27 @@ class Sketch:
         return None
 
     def text(self) -> str:
-        """All cells as one string."""
-        body = self.count.astype("<i4").tobytes() + self.keys.astype("<u8").tobytes() + self.checks.astype("<u4").tobytes()
-        return base64.b64encode(body).decode()
+        """All cells as one string, which parse reads."""
+        return base64.b64encode(self.count.astype("<i4").tobytes() + self.keys.astype("<u8").tobytes() + self.checks.astype("<u8").tobytes()).decode()
+
+    @classmethod
+    def parse(cls, text: str) -> Sketch:
+        body = base64.b64decode(text)
+        got = cls(len(body) // 20)
+        n = got.cells
+        got.count, got.keys, got.checks = np.frombuffer(body, "<i4", n).astype(np.int64), np.frombuffer(body, "<u8", n, 4 * n).copy(), np.frombuffer(body, "<u8", n, 12 * n).copy()
+        return got
+
+
+def likeness_of_fingerprints(a: str, b: str) -> float | None:
+    """Shared paragraphs over all, from two fingerprints alone; None where their difference does not peel."""
+    first, second = Sketch.parse(a), Sketch.parse(b)
+    got = (first - second).peel()
+    if got is None:
+        return None
+    differ = len(got[0]) + len(got[1])
+    every = (int(first.count.sum()) + int(second.count.sum())) // HASHES + differ  # twice those of either
+    return (every - 2 * differ) / every if every else 1.0
 
 
 def difference(a: np.ndarray, b: np.ndarray, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray, int]:
@@ -261,32 +280,36 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next, edited_text.
 
+    near_edited and near_next are shares of paragraphs: what peeling the difference of the two fingerprints
+    leaves; where these do not peel, of larger sketches of the same paragraphs.
+
     The order is made without one sorted partition: ids are cut into ranges, and the
-    document that follows a range is sent to it as a guest.  A null or empty text has no
+    document that follows a range is sent to it as a guest.  Work for a row grows with the logarithm of
+    the ranges' number only.  A null or empty text has no
     paragraphs.  Null ids come last; among rows that repeat an id, larger texts come first;
     the last document is followed by the first, which with one document is itself.  An
     empty table gives none; further columns are not read.
     """
+    spark = docs.sparkSession
     parts = parts_for(text_bytes(docs), 6e6, least=4)
     least = -(1 << 63)
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(least)).alias("id"))
-    cuts = [int(x) for x in ids.approxQuantile("id", [k / parts for k in range(1, parts)], 0.001)] if parts > 1 else []
-    cuts = sorted(set(cuts))
-    bucket = F.aggregate(F.lit(cuts), F.lit(0), lambda n, c: n + F.when(F.col("id") >= c, 1).otherwise(0)) if cuts else F.lit(0)
-    if len(cuts) > 64:  # a short walk instead of one comparison for each cut
-        bucket = F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("id")))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("id", F.coalesce("doc_id", F.lit(least))).withColumn("bucket", bucket)
-    # the first of each range, largest id and then largest text: one row a range
-    heads = rows.groupBy("bucket").agg(F.max("id").alias("id")).collect()
-    order = sorted(((r.bucket, r.id) for r in heads), reverse=True)
-    guests = {(b, i): order[k - 1][0] for k, (b, i) in enumerate(order)}  # goes to the range above, the topmost to the lowest
-    to = F.lit(None).cast("int")
-    if guests:
-        table = F.create_map(*(F.lit(x) for (b, _), t in guests.items() for x in (b, t)))
-        top = F.create_map(*(F.lit(x) for b, i in order for x in (b, i)))
-        to = F.when(F.col("id") == F.element_at(top, F.col("bucket")), F.element_at(table, F.col("bucket")))
-    targets = F.when(to.isNull(), F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("g")))).otherwise(F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("g")), F.struct(to.alias("b"), F.lit(True).alias("g"))))
-    dealt = rows.select("id", "doc_id", "text", F.explode(targets).alias("t")).select(F.col("t.b").alias("bucket"), F.col("t.g").alias("guest"), "id", "doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("id", F.coalesce("doc_id", F.lit(least)))
+    # ids alone are cut into ranges, each with its smallest and largest: one row a range
+    cut = rows.select("id").repartitionByRange(parts, "id").select(F.spark_partition_id().alias("p"), "id").groupBy("p").agg(F.min("id").alias("low"), F.max("id").alias("high")).collect()
+    cut = sorted((r.low, r.high) for r in cut)
+    shared = spark.sparkContext.broadcast(tuple(np.array(x, np.int64) for x in zip(*cut)) if cut else (np.zeros(0, np.int64),) * 2)  # 16 bytes a range
+
+    @F.pandas_udf("bucket int, target int")
+    def place(ids: pd.Series) -> pd.DataFrame:
+        """The id's range, and the range above if the id heads its own; the topmost range's head goes to the lowest."""
+        low, high = shared.value
+        ids = ids.to_numpy()
+        bucket = np.searchsorted(low, ids, "right") - 1
+        return pd.DataFrame({"bucket": bucket.astype(np.int32), "target": np.where(ids == high[bucket], (bucket + 1) % len(low), -1).astype(np.int32)})
+
+    own = F.struct(F.col("at.bucket").alias("b"), F.lit(False).alias("g"))
+    targets = F.when(F.col("at.target") < 0, F.array(own)).otherwise(F.array(own, F.struct(F.col("at.target").alias("b"), F.lit(True).alias("g"))))
+    dealt = rows.withColumn("at", place("id")).select("id", "doc_id", "text", F.explode(targets).alias("t")).select(F.col("t.b").alias("bucket"), F.col("t.g").alias("guest"), "id", "doc_id", "text")
     ordered = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", F.desc("id"), F.desc_nulls_last("text"))
     schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_text string"
     return ordered.select("bucket", "guest", "doc_id", "text").mapInArrow(_compare, schema)

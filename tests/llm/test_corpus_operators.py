@@ -320,7 +320,7 @@ def test_op4_chunks_of_shared_passages_are_shared_and_damage_is_found(spark):
 def test_op5_fingerprints(docs, none, spark):
     rows = [r for r in _rows() if r[0] is not None and r[0] != 2]
     df = spark.createDataFrame(rows, SCHEMA).repartition(4)
-    got = {r.doc_id: r for r in iblt.compare_with_next(df).collect()}
+    got, peeled = {r.doc_id: r for r in iblt.compare_with_next(df).collect()}, 0
     rows.sort()
     for k, r in enumerate(rows):
         text, following = r[1] or "", rows[k - 1][1] or ""
@@ -330,6 +330,11 @@ def test_op5_fingerprints(docs, none, spark):
         sets = [set(iblt.paragraphs(x).tolist()) for x in (text, other, following)]
         like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
         assert have.near_edited == pytest.approx(like(sets[0], sets[1])) and have.near_next == pytest.approx(like(sets[0], sets[2]))
+        for near, other in ((have.near_edited, have.edited_fingerprint), (have.near_next, got[rows[k - 1][0]].fingerprint)):
+            alone = iblt.likeness_of_fingerprints(have.fingerprint, other)
+            assert alone is None or alone == pytest.approx(near)
+            peeled += alone is not None
+    assert peeled > len(rows) // 2
     assert got[1].fingerprint == got[8].fingerprint
     assert iblt.compare_with_next(docs).count() == len(_rows())
     assert iblt.compare_with_next(none).count() == 0
@@ -337,6 +342,16 @@ def test_op5_fingerprints(docs, none, spark):
     assert one.near_next == 1.0
 
 
+def test_op5_many_ranges(spark, monkeypatch):
+    """Each document meets the next one wherever the ranges are cut."""
+    monkeypatch.setattr(iblt, "parts_for", lambda *a, **k: 37)
+    rng = random.Random(5)
+    rows = [(rng.randrange(-(10**12), 10**12), f"text {k} " + "x" * rng.randrange(9)) for k in range(500)]
+    got = {r.doc_id: r.edited_sha256 for r in iblt.compare_with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    rows.sort()
+    assert got == {d: hashlib.sha256(iblt.edited(t, rows[k - 1][1]).encode()).hexdigest() for k, (d, t) in enumerate(rows)}
+
+
 @pytest.mark.parametrize("n", [0, 1, 40, 3000])
 def test_op5_peeling_recovers_the_difference(n):
     rng = np.random.default_rng(n)
