@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamark.llm.common import materialise
+from seamark.llm.common import forget, materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -36,4 +36,6 @@ def components(edges: DataFrame) -> DataFrame:
         if stars.union(deep).isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         large = _large_star(now).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        now = materialise(_small_star(materialise(large, "large")).where("u <> v").distinct(), "edges")
+        large, before = materialise(large, "large"), now
+        now = materialise(_small_star(large).where("u <> v").distinct(), "edges")
+        forget(large, before)

@@ -12,6 +12,7 @@ no state is shuffled.
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -179,6 +180,8 @@ def solve(classified: DataFrame, weights: dict[str, float], settings: Settings =
         history.append([x / h if h > 0 else 0.0 for x, h in zip(off, has)])
         r = rate(history)
         reached = [float(x or 0.0) for x in classified.agg(*(F.sum(F.col("n_tokens") * F.col(p) * r) for p in names)).first()]
+    if any(abs(a - t) > settings.tolerance * max(t, 1.0) for a, t in zip(reached, targets)):
+        warnings.warn(f"after {len(history)} steps the domains' tokens are {reached}, not {targets}", stacklevel=2)
     return rate(history), targets, reached
 
 

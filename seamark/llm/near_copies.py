@@ -196,6 +196,6 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     kept = materialise(texts.select("rid").join(followers, "rid", "left_anti"), "kept")
     stay = signed.select("rid", "doc_id", "key").join(kept, "rid", "left_semi").select(_row_key(F.col("key"), F.col("doc_id")).alias("_k"))
     # by text and id together, so that the rows of a frequent text are dealt out; the window then needs no further exchange
-    found = docs.withColumn("_k", _row_key(key, F.col("doc_id"))).join(stay, "_k")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _row_key(key, F.col("doc_id").cast("bigint")).alias("_k"))
     one = F.row_number().over(Window.partitionBy("_k").orderBy("_k"))
-    return found.withColumn("_n", one).where("_n = 1").select(*docs.columns)
+    return whole.join(stay, "_k").withColumn("_n", one).where("_n = 1").select("row.*")

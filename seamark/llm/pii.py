@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamark.llm.common import materialise, parts_for
+from seamark.llm.common import forget, materialise, parts_for
 
 #: Forms of address and what they tell (fixed values).
 TITLES = {
@@ -209,6 +209,7 @@ def assign(entities: DataFrame, key: str, files: int = 8) -> DataFrame:
         won = materialise(won.select("kind", "norm", "surrogate").coalesce(files), "settled")
         settled = won if settled is None else settled.unionByName(won)
         open_ = materialise(drawn.join(won, ["kind", "norm"], "left_anti").select("kind", "norm").coalesce(files), "open")
+        forget(drawn)
         if open_.isEmpty():
             return settled
     raise ValueError(f"replacements still meet after {LAST} draws: a form has no room for its entities")

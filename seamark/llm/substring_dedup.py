@@ -5,7 +5,8 @@ sends, for each row of the sketch, the cells it has hit and which it has hit
 twice; merging gives one bit for each cell, whether it was hit twice at least.
 The estimate is never too low, so a window whose cells are not all marked starts
 nowhere else.  A second pass keeps only the windows that are marked in every row
-and groups those exactly, by 96 bits of two independent hashes.
+and groups those by 96 bits of two independent hashes, which stand for the words
+(of n different windows, n**2 / 2**97 pairs are expected to be taken for equal: one in 10**8 for 10**10 windows).
 
 Only the first occurrence of a window in a chunk of documents needs the other
 chunks: later ones are known to be repeats.  So a window that stands in a third of
@@ -14,7 +15,7 @@ all documents costs one entry a chunk, however often it occurs.
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -194,11 +195,11 @@ class Marks:
         return ok
 
 
-_marks: dict[int, Marks] = {}
+_marks: dict[str, Marks] = {}
 
 
-def _marks_of(shared, log_cells: int) -> Marks:
-    key = id(shared.value)
+def _marks_of(shared, key: str, log_cells: int) -> Marks:
+    """key: of one call, as a worker may serve several."""
     if key not in _marks:
         _marks.clear()
         _marks[key] = Marks(shared.value, log_cells)
@@ -252,9 +253,9 @@ def _by_home(ids, digests, doc, start, parts: int):
         yield int(home[a]), _blob(ids, digests, doc[a:b], start[a:b])
 
 
-def _candidates(batches, width: int, shared, log_cells: int, groups: int, parts: int):
+def _candidates(batches, width: int, shared, key: str, log_cells: int, groups: int, parts: int):
     """kind 0: first occurrences in this chunk, by window group; kind 1: later ones, by document group."""
-    marks = _marks_of(shared, log_cells)
+    marks = _marks_of(shared, key, log_cells)
     for chunk in _chunks(batches, width):
         h1, h2, doc, start = chunk.windows()
         ids, digests = np.array(chunk.ids, np.int64), np.array(chunk.digests, np.uint64)
@@ -380,7 +381,8 @@ def remove_repeats(docs: DataFrame, width: int = 20, max_log_cells: int = 28, ke
     log_cells = max(20, min(max_log_cells, int(np.ceil(np.log2(max(1, total) / 6 * 2)))))
     groups = parts_for(total, 10e6, least=8)
     shared = spark.sparkContext.broadcast(sketch(docs, width, log_cells, parts_for(2 * 2**log_cells, BLOCK * 8, most=groups)))
-    found = docs.select("doc_id", "text").mapInArrow(lambda it: _candidates(it, width, shared, log_cells, groups, groups), "kind int, part bigint, data binary")
+    key = uuid.uuid4().hex
+    found = docs.select("doc_id", "text").mapInArrow(lambda it: _candidates(it, width, shared, key, log_cells, groups, groups), "kind int, part bigint, data binary")
     spread = F.when(F.col("kind") == 0, F.col("part")).otherwise(F.pmod(F.xxhash64("part", "data"), F.lit(groups)))
     exact = found.withColumn("to", spread).repartition(groups, "to").sortWithinPartitions("kind", "part").select("kind", "part", "data")
     marked = exact.mapInArrow(lambda it: _exact(it, groups), "kind int, part bigint, data binary")
