@@ -14,7 +14,6 @@ All numbers but that square root are whole, so results do not depend on the orde
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from dataclasses import dataclass
 
@@ -28,8 +27,8 @@ from seamark.llm.common import WORD, materialise, slices
 #: Characters that count as symbols (fixed value of the contract).
 SYMBOLS = "#*$%&|<>"
 _WORDS, _HAS_WORD = re.compile(WORD).findall, re.compile(WORD).search
-_CAPITALS = [chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Lu", "Lt")]
-_UPPER = re.compile(f"[{''.join(_CAPITALS)}]+").findall
+#: Whether a character is a capital letter; there are none beyond.
+_CAPITAL = np.array([unicodedata.category(chr(c)) in ("Lu", "Lt") for c in range(0x20000)])
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -78,7 +77,8 @@ def measure_text(text: str | None) -> tuple[int, int, int, int, int, int, int]:
         return (0,) * 7
     words = _WORDS(text)
     lines = [x for x in text.split("\n") if _HAS_WORD(x)]
-    symbols, upper = sum(map(text.count, SYMBOLS)), sum(map(len, _UPPER(text)))
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    symbols, upper = sum(map(text.count, SYMBOLS)), int(_CAPITAL[codes[codes < len(_CAPITAL)]].sum())
     return len(words), sum(map(len, words)), symbols, len(lines) - len(set(lines)), _repeat_words(words), upper, len(lines)
 
 
