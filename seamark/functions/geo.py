@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: WGS 84 and the transverse Mercator scale and false easting in km (fixed values).
@@ -27,6 +27,22 @@ def utm_zone(mean_lon: float) -> int:
     return (math.floor((mean_lon + 180) / 6)) % 60 + 1
 
 
+def find_zone(rows: DataFrame, lon: str, lat: str) -> tuple[int, bool]:
+    """(zone, south) of all rows: the mean of longitudes counted from -180 or from 0, whichever spreads less; one aggregate."""
+    turned = F.when(F.col(lon) < 0, F.col(lon) + 360.0).otherwise(F.col(lon))
+    one = rows.agg(F.avg(lon).alias("m"), (F.max(lon) - F.min(lon)).alias("w"), F.avg(turned).alias("m2"), (F.max(turned) - F.min(turned)).alias("w2"), F.avg(lat).alias("y")).first()
+    if one.m is None:
+        return utm_zone(0.0), False
+    return utm_zone(float(one.m if one.w < one.w2 else one.m2)), float(one.y or 0.0) < 0
+
+
+def lon_lat_to_east_north(rows: DataFrame, lon: str = "Lon", lat: str = "Lat", zone: int | None = None) -> DataFrame:
+    """rows with e_km and n_km in the zone given or found, as the older converters did."""
+    found, south = find_zone(rows, lon, lat)
+    e, n = utm_forward(F.col(lon), F.col(lat), zone or found, south)
+    return rows.withColumns({"e_km": e, "n_km": n})
+
+
 def utm_forward(lon: Column, lat: Column, zone: int, south: bool = False, flip: bool = False) -> tuple[Column, Column]:
     """(east, north) in km.  flip: turn the globe by half, for data across the date line; the zone turns with it."""
     if flip:

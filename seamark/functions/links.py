@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -125,6 +127,99 @@ def delta_cdf(b: Column, r1: Column, positive_cdf: Column) -> Column:
     return squeeze(F.when(b > 0, (1 - r1) + r1 * positive_cdf).otherwise(1 - r1))
 
 
+# further observation models
+def log_space_add(x: Column, y: Column) -> Column:
+    """ln(exp(x) + exp(y)) without overflow."""
+    top = F.greatest(x, y)
+    return top + F.log1p(F.exp(F.least(x, y) - top))
+
+
+def log_space_subtract(x: Column, y: Column) -> Column:
+    """ln(exp(x) - exp(y)) for x > y."""
+    return x + F.ln(-F.expm1(y - x))
+
+
+def binomial_density(x: Column, n: Column, p: Column) -> Column:
+    return lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * F.ln(p) + (n - x) * F.log1p(-p)
+
+
+def lgamma_array(x: np.ndarray) -> np.ndarray:
+    """For x of 1/2 and over; smaller ones by one step of the recursion."""
+    small = x < 0.5
+    z = np.where(small, x, x - 1)
+    total = LANCZOS[0] + sum(c / (z + k) for k, c in enumerate(LANCZOS[1:], 1))
+    t = z + 7.5
+    return 0.5 * math.log(2 * math.pi) + (z + 0.5) * np.log(t) - t + np.log(total) - np.where(small, np.log(np.where(small, x, 1.0)), 0.0)
+
+
+def tweedie_array(y: np.ndarray, mean: np.ndarray, phi: np.ndarray, p: float, rows: int = 2048) -> np.ndarray:
+    """Log densities; the series is summed around its largest term, some rows at a time."""
+    rate, shape, scale = mean ** (2 - p) / (phi * (2 - p)), (2 - p) / (p - 1), phi * (p - 1) * mean ** (p - 1)
+    out = -rate
+    at = np.flatnonzero(y > 0)
+    peak = y[at] ** (2 - p) / (phi[at] * (2 - p))
+    at, peak = at[np.argsort(peak)], np.sort(peak)
+    for k in range(0, len(at), rows):
+        i, top = at[k : k + rows], peak[k : k + rows]
+        reach = int(math.ceil(12 * math.sqrt(top[-1]) + 30))
+        j = np.maximum(1.0, np.floor(top) - reach)[:, None] + np.arange(2 * reach + 1)
+        term = j * np.log(rate[i])[:, None] - lgamma_array(j + 1) + (j * shape - 1) * np.log(y[i])[:, None] - lgamma_array(j * shape) - j * shape * np.log(scale[i])[:, None]
+        best = term.max(axis=1)
+        out[i] += best + np.log(np.exp(term - best[:, None]).sum(axis=1)) - y[i] / scale[i]
+    return out
+
+
+def tweedie_density(y: Column, mean: Column, phi: Column, p: float) -> Column:
+    """Log density of the compound Poisson with gamma jumps, 1 < p < 2.
+
+    Its series has no closed form and special functions in lambdas are interpreted row by row, so it
+    is summed in Arrow batches.
+    """
+
+    @F.pandas_udf("double")
+    def density(y: pd.Series, mean: pd.Series, phi: pd.Series) -> pd.Series:
+        return pd.Series(tweedie_array(y.to_numpy(float), mean.to_numpy(float), phi.to_numpy(float), p))
+
+    return density(y, mean, phi)
+
+
+def overdispersed_mean(mean: Column, sigma: Column, delta: Column) -> Column:
+    """The mean times a lognormal factor of mean 1."""
+    return mean * F.exp(sigma * delta - sigma * sigma / 2)
+
+
+def count_log_likelihood(kind: int, b: Column, r1: Column, r2: Column, s1: Column | None = None, s2: Column | None = None, delta: Column | None = None) -> Column:
+    """Log density of counts by the distribution's code.
+
+    5: zero-inflated negative binomial with variance r2 (1 + s1) + r2^2 s2; 7: zero-inflated Poisson; 11: the same with
+    lognormal overdispersion; 12: Poisson of mean r1; 13: presence by the complementary log-log link; 14: 12 with overdispersion.
+    """
+    zero = F.lit(0.0)
+    if kind == 5:
+        variance = r2 * (1 + s1) + r2 * r2 * s2
+        inside = lambda x: negative_binomial_density(x, r2, variance)
+    elif kind in (7, 11):
+        mean = r2 if kind == 7 else overdispersed_mean(r2, s1, delta)
+        inside = lambda x: poisson_density(x, mean)
+    elif kind == 12:
+        return poisson_density(b, r1)
+    elif kind == 13:
+        return F.when(b == 0, -r1).otherwise(log_space_subtract(zero, -r1))
+    elif kind == 14:
+        return poisson_density(b, overdispersed_mean(r1, s1, delta))
+    else:
+        raise ValueError(f"no counts have the code {kind}")
+    return F.when(b == 0, log_space_add(F.log1p(-r1), inside(zero) + F.ln(r1))).otherwise(inside(b) + F.ln(r1))
+
+
+def poisson_quantile(u: Column, mean: Column) -> Column:
+    """The smallest count whose distribution reaches u: a draw, for u from draw_uniform."""
+    last = F.ceil(mean + 12 * F.sqrt(mean) + 30).cast("int")
+    start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("cum"), F.lit(0).alias("k"))
+    step = lambda s, j: F.struct((s.p * mean / j).alias("p"), (s.cum + s.p * mean / j).alias("cum"), F.when(s.cum < u, j).otherwise(s.k).alias("k"))
+    return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda s: s.k)
+
+
 # deviances
 def bernoulli_deviance(encountered: Column, r1: Column) -> Column:
     return F.when(encountered, -2 * F.ln(r1)).otherwise(-2 * F.ln(1 - r1))

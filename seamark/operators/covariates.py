@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -18,9 +20,13 @@ def spread_static(covariates: DataFrame, years: list[int]) -> DataFrame:
 def nearest_in_year(query: DataFrame, covariates: DataFrame, values: list[str], key: str = "q") -> DataFrame:
     """query (key, year, lat, lon) with values of the nearest covariate row of its year (ties: smallest id); distance in degrees.
 
-    Joined by year and cell, so a query meets the sites around it and not its whole year; years
-    without sites drop out.
+    Joined by year and cell, so a query meets the sites around it and not its whole year.  A year
+    without sites is an error.
     """
+    bare = query.select("year").distinct().join(covariates.select("year").distinct(), "year", "left_anti").first()
+    if bare is not None:
+        raise ValueError(f"no covariates for the year {bare.year}")
+
     from seamark.operators.spatial import nearest_bucketed
 
     place = [F.col("lat").alias("e_km"), F.col("lon").alias("n_km")]
@@ -41,11 +47,11 @@ def nearest_mean(query: DataFrame, measurements: DataFrame, k: int, key: str = "
     return near.withColumn("d2", d2).withColumn("r", rank).where(F.col("r") <= k).groupBy(key, "t").agg(F.avg("_v").alias(value))
 
 
-def knot_covariates(data: DataFrame, value: str = "val") -> DataFrame:
-    """x, t, mean over rows; where a knot has none in a step, its mean over all steps."""
+def knot_covariates(data: DataFrame, value: str = "val", fun: Callable[[Column], Column] = F.avg) -> DataFrame:
+    """x, t, mean (or another aggregate) over rows; where a knot has none in a step, that over all steps."""
     dense = data.select("x").distinct().join(F.broadcast(data.select("t").distinct()))
-    by = data.groupBy("x", "t").agg(F.avg(value).alias("m"))
-    over = data.groupBy("x").agg(F.avg(value).alias("all"))
+    by = data.groupBy("x", "t").agg(fun(value).alias("m"))
+    over = data.groupBy("x").agg(fun(value).alias("all"))
     return dense.join(by, ["x", "t"], "left").join(over, "x").select("x", "t", F.coalesce("m", "all").alias(value))
 
 

@@ -213,10 +213,10 @@ def folds(rows: DataFrame, k: int, seed: int, *keys: str) -> DataFrame:
     return rows.withColumn("fold", (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(k)) + 1).cast("int"))
 
 
-def crossvalidate(obs: DataFrame, k: int, seed: int = 1) -> DataFrame:
-    """fold, nll, n: yearly encounter rates fitted without each fold and scored on it, from one aggregate over all rows."""
+def crossvalidate(obs: DataFrame, k: int, keys: list[str], seed: int = 1) -> DataFrame:
+    """fold, nll, n (keys name a row): yearly encounter rates fitted without each fold and scored on it, from one aggregate over all rows."""
     seen = obs.where("b IS NOT NULL")
-    cells = folds(seen, k, seed, "l_orderkey", "l_linenumber", "g").groupBy("c", "t", "fold").agg(F.count("*").alias("n"), F.count_if(F.col("b") > 0).alias("y"))
+    cells = folds(seen, k, seed, *keys).groupBy("c", "t", "fold").agg(F.count("*").alias("n"), F.count_if(F.col("b") > 0).alias("y"))
     from pyspark.sql import Window
 
     w = Window.partitionBy("c", "t")

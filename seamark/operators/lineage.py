@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in spark.checkpoint.dir (a temporary folder only where none is set), removed when the application ends."""
+    """df as a table in spark.checkpoint.dir (on one machine a temporary folder where none is set), removed when the application ends."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="seamark-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
     path = f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"

@@ -189,7 +189,7 @@ def a12_coherence(spark, sf_dir):
     """The loadings are a few rows by a few columns."""
     import numpy as np
 
-    rows = v.loading(spark, sf_dir).limit(1000).collect()
+    rows = v.loading(spark, sf_dir).collect()
     m = np.zeros((10, 6))
     for r in rows:
         m[r.c, r.f] = r.val

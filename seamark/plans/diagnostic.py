@@ -68,9 +68,9 @@ def m18_log_densities(spark, sf_dir):
     )
 
 
-@query("WITH p AS (SELECT o_custkey % 50 AS k, (o_orderkey % 97 + 1) / 98e0 AS p FROM orders WHERE o_orderkey % 10 = 0), s AS (SELECT k, -2 * sum(ln(p)) AS stat, count(*) AS n FROM p GROUP BY k), t AS (SELECT k, stat, n, unnest(range(n)) AS j FROM s) SELECT k, max(n) AS n, round(max(stat), 6) AS stat, round(sum(exp(-stat / 2 + j * ln(stat / 2) - lgamma(j + 1e0))), 6) AS pooled FROM t GROUP BY k")
+@query("WITH p AS (SELECT o_custkey % 50 AS k, (o_orderkey % 97 + 1) / 98e0 AS p FROM orders), s AS (SELECT k, -2 * sum(ln(p)) AS stat, count(*) AS n FROM p GROUP BY k), t AS (SELECT k, stat, n, unnest(range(n)) AS j FROM s) SELECT k, max(n) AS n, round(max(stat), 6) AS stat, round(sum(exp(-stat / 2 + j * ln(stat / 2) - lgamma(j + 1e0))), 6) AS pooled FROM t GROUP BY k")
 def a16_fisher_pool(spark, sf_dir):
-    rows = v.table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select((F.col("o_custkey") % 50).alias("k"), ((F.col("o_orderkey") % 97 + 1) / 98.0).alias("p"))
+    rows = v.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("k"), ((F.col("o_orderkey") % 97 + 1) / 98.0).alias("p"))
     return diagnostics.fisher_pool(rows, ["k"]).select("k", "n", r6("stat"), r6("pooled"))
 
 
@@ -158,13 +158,13 @@ def e17_partial_effect(spark, sf_dir):
     return diagnostics.partial_effect(_params(spark, sf_dir), {"value": 2.0, "grad": -3.0}).select("idx", r6("effect"))
 
 
-_SITE = "site AS (SELECT s_suppkey AS site, CAST(t AS INT) AS t, 50e0 * (s_suppkey % 10) + s_suppkey % 3 AS e_km, 50e0 * ((s_suppkey // 10) % 10) + s_suppkey % 7 AS n_km, CAST((s_suppkey * 13 + t * 5) % 29 AS DOUBLE) AS val FROM supplier, range(4) AS r(t) WHERE s_suppkey <= 300)"
+_SITE = "site AS (SELECT s_suppkey AS site, CAST(t AS INT) AS t, 50e0 * (s_suppkey % 10) + s_suppkey % 3 AS e_km, 50e0 * ((s_suppkey // 10) % 10) + s_suppkey % 7 AS n_km, CAST((s_suppkey * 13 + t * 5) % 29 AS DOUBLE) AS val FROM supplier, range(4) AS r(t))"
 
 
 @query(f"WITH {_SITE}, p AS (SELECT b.t - a.t AS lag, (a.e_km - b.e_km) * (a.e_km - b.e_km) + (a.n_km - b.n_km) * (a.n_km - b.n_km) AS d2, a.val - b.val AS gap FROM site a JOIN site b ON b.t >= a.t AND b.t - a.t <= 2 AND (b.t > a.t OR a.site < b.site)) SELECT CAST(lag AS INT) AS lag, CAST(floor(sqrt(d2) / 2e1) AS INT) AS bin, round(avg(gap * gap) / 2, 6) AS semivar, count(*) AS n FROM p WHERE d2 < 15e1 * 15e1 GROUP BY 1, 2")
 def a29_semivariogram(spark, sf_dir):
     k, t = F.col("s_suppkey"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("t")
-    rows = v.table(spark, sf_dir, "supplier").where("s_suppkey <= 300").select(k.alias("site"), t, (50.0 * (k % 10) + k % 3).alias("e_km"), (50.0 * (F.floor(k / 10) % 10) + k % 7).alias("n_km"))
+    rows = v.table(spark, sf_dir, "supplier").select(k.alias("site"), t, (50.0 * (k % 10) + k % 3).alias("e_km"), (50.0 * (F.floor(k / 10) % 10) + k % 7).alias("n_km"))
     rows = rows.withColumn("val", ((F.col("site") * 13 + F.col("t") * 5) % 29).cast("double"))
     return diagnostics.semivariogram(rows, 20.0, 150.0, 2).select("lag", "bin", r6("semivar"), "n")
 

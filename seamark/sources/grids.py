@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamark.functions.geo import utm_forward, utm_zone
+from seamark.functions.geo import find_zone, utm_forward
 from seamark.operators.spatial import stratum_area, with_total
 
 
@@ -54,28 +54,33 @@ def region(name: str) -> Region:
     return REGIONS.get(name.lower().replace(" ", "_").replace("-", "_"), REGIONS["user"])
 
 
-def load_grid(table: DataFrame, name: str, strata: list[tuple], by: tuple[str, ...] = ("Lat",), zone: int | None = None, stream: bool = False) -> tuple[DataFrame, DataFrame]:
+def load_grid(table: DataFrame, name: str, strata: list[tuple], by: tuple[str, ...] | None = None, zone: int | None = None, stream: bool = False) -> tuple[DataFrame, DataFrame]:
     """(grid, cell_area): g, lon, lat, e_km, n_km, include, area; and g, l, area of every stratum that holds a cell.
 
     table: Lat, Lon and what the region's expressions read; stream grids need child_i too.
+    by: the columns that the strata's bounds are on, the region's own unless given.
     Cells without area stay in the grid and have no rows in cell_area.
     """
     known = region(name)
     need = {"Lat", "Lon"} | ({"child_i"} if stream else set())
+    if known.area in ("Area_km2",):
+        need.add(known.area)
     if missing := need - set(table.columns):
         raise ValueError(f"the grid lacks {', '.join(sorted(missing))}")
     rows = table.withColumn("area", F.expr(known.area).cast("double")).withColumn("include", F.expr(known.include))
     if "Depth" not in table.columns and "ELEV" in table.columns:
         rows = rows.withColumn("Depth", F.expr(known.depth))
     if zone is None:
-        zone = utm_zone(float(rows.agg(F.avg("Lon")).first()[0] or 0.0))
-    e, n = utm_forward(F.col("Lon"), F.col("Lat"), zone)
+        zone, south = find_zone(rows, "Lon", "Lat")
+    else:
+        south = (rows.agg(F.avg("Lat")).first()[0] or 0.0) < 0
+    e, n = utm_forward(F.col("Lon"), F.col("Lat"), zone, south)
     grid = rows.withColumn("g", F.monotonically_increasing_id()).withColumns({"e_km": e, "n_km": n})
     if known.member and strata and isinstance(strata[0][1], (set, frozenset, list)):
         tests: list[Column] = [F.when(F.col("stratum").isin(*ids), F.lit(label)) for label, ids in strata]
         area = grid.where("area > 0").withColumn("l", F.explode(F.array_compact(F.array(*tests)))).select("g", "l", "area")
     else:
-        area = stratum_area(grid.where("area > 0"), strata, by).select("g", "l", "area")
+        area = stratum_area(grid.where("area > 0"), strata, known.bounds[: (len(strata[0]) - 1) if strata else 1] if by is None else by).select("g", "l", "area")
     return grid, area
 
 
@@ -92,14 +97,15 @@ def load_regions(tables: dict[str, DataFrame], strata: list[tuple], total: bool
     return grids, with_total(areas) if total else areas
 
 
-def read_observations(spark: SparkSession, path: str, columns: dict[str, str], sentinel: float | None = None) -> DataFrame:
+def read_observations(spark: SparkSession, path: str, columns: dict[str, str], sentinel: float | None = None, covariate: str = "1.0D") -> DataFrame:
     """A table of samples as Catch_KG, Year, Vessel, AreaSwept_km2, Lat, Lon, Pass; columns: SQL for each of them.
 
-    Rows with a covariate at the sentinel or below go.
+    Rows whose covariate (SQL over the table) is at the sentinel or below go.
     """
     rows = spark.read.parquet(path)
-    out = rows.select(*(F.expr(sql).alias(name) for name, sql in ({"Pass": "0.0D", "Vessel": "'missing'"} | columns).items()))
-    return out if sentinel is None else out.where(F.col("Catch_KG") > sentinel)
+    if sentinel is not None:
+        rows = rows.where(F.expr(covariate) > sentinel)
+    return rows.select(*(F.expr(sql).alias(name) for name, sql in ({"Pass": "0.0D", "Vessel": "'missing'"} | columns).items()))
 
 
 #: Example data sets: region and how their columns become the normal ones (the tables themselves are the user's).

@@ -234,3 +234,72 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out"))
     want = src.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", "1 day"), F.col("event_type").alias("c")).count().withColumnRenamed("count", "num_total")
     assert got.select("window", "c", "num_total").exceptAll(want.select("window", "c", "num_total")).count() == 0
+
+
+def test_settings_rules():
+    from seamark.operators import config
+
+    assert len(config.options()) == 22 and config.options({"calculate_RANGE": True, "nothing": 1})["Calculate_Range"] is True
+    assert config.broken_settings(config.Model(n_c=2, n_t=3)) == []
+    broken = config.broken_settings(config.Model(obs_model=((10, 1), (3, 9)), rho=(9, 0, 3, 0), n_c=1, n_t=3, field=((1, 1), (0, 1), ("IID", 1)), columns_of_c=2, method="Sphere", options={"calculate_coherence": True}))
+    assert {"unknown distribution", "unknown link", "more than one link", "Tweedie needs its link", "unknown temporal structure", "several categories need the Poisson link", "unknown method", "structure of a field that is off (1)", "ranks of fixed intercepts (2)"} <= set(broken)
+    for bad in ([1, 2, 3], [["x", 1]] * 4, [[5, 1]] * 4):
+        with pytest.raises((ValueError, KeyError)):
+            config.field_config(bad, 4, 6)
+    with pytest.raises(ValueError):
+        config.rho_terms((6, 0, 0, 0))
+
+
+def test_zero_sum_and_trace_penalties():
+    from seamark.operators import effects
+
+    table, penalty = effects.loading_table([1.0, -1.0, 2.0, 0.5, -2.0], 3, 2, zero_sum=True)
+    assert penalty == pytest.approx(0.25) and len(table) == 5
+    table, penalty = effects.loading_table([1.0, 2.0, 2.0], 3, 1, unit_trace=True)
+    assert sum(v * v for _, _, v in table) == pytest.approx(1.0) and penalty == pytest.approx(math.log(9.0) ** 2)
+
+
+def test_tweedie_array_sums_to_one():
+    from seamark.functions import links
+
+    y = np.linspace(1e-4, 60, 200_001)
+    mean, phi = np.full(len(y), 3.0), np.full(len(y), 1.3)
+    density = np.exp(links.tweedie_array(y, mean, phi, 1.6))
+    zero = math.exp(links.tweedie_array(np.zeros(1), mean[:1], phi[:1], 1.6)[0])
+    assert zero + np.trapezoid(density, y) == pytest.approx(1.0, abs=2e-3)
+    assert np.trapezoid(density * y, y) == pytest.approx(3.0, rel=1e-3)
+    big = links.tweedie_array(np.array([1e4]), np.array([1e4]), np.array([0.01]), 1.5)
+    assert np.isfinite(big).all()
+    x = np.array([0.2, 0.5, 1.0, 7.3, 150.0])
+    assert np.allclose(links.lgamma_array(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-12)
+
+
+def test_zone_by_the_smaller_range_and_hemisphere(spark):
+    pacific = spark.createDataFrame([(179.0, 50.0), (-179.0, 52.0)], "lon double, lat double")
+    south = spark.createDataFrame([(18.0, -34.0), (20.0, -35.0)], "lon double, lat double")
+    assert geo.find_zone(pacific, "lon", "lat") == (geo.utm_zone(180.0), False)
+    assert geo.find_zone(south, "lon", "lat") == (34, True)
+
+
+def test_covariates_of_a_missing_year(spark):
+    from seamark.operators.covariates import nearest_in_year
+
+    query = spark.createDataFrame([(1, 2000, 1.0, 2.0), (2, 2001, 1.0, 2.0)], "q int, year int, lat double, lon double")
+    cov = spark.createDataFrame([(9, 2000, 1.0, 2.0, 5.0)], "id int, year int, lat double, lon double, val double")
+    with pytest.raises(ValueError, match="2001"):
+        nearest_in_year(query, cov, ["val"])
+
+
+def test_map_numbers_that_are_gone(spark):
+    from seamark.operators import reports
+
+    with pytest.raises(ValueError):
+        reports.map_table(spark.createDataFrame([(1, 0, 0, 0.5, 1.0, 0.5)], "g int, c int, t int, r1 double, r2 double, d double"), [4])
+
+
+def test_observations_by_a_covariates_sentinel(spark, tmp_path):
+    from seamark.sources.grids import read_observations
+
+    spark.createDataFrame([(1.0, 5.0), (2.0, -9999.0)], "catch double, temp double").write.parquet(str(tmp_path / "t"))
+    got = read_observations(spark, str(tmp_path / "t"), {"Catch_KG": "catch", "Year": "2000"}, sentinel=-999.0, covariate="temp").collect()
+    assert [r.Catch_KG for r in got] == [1.0]
