@@ -1,10 +1,12 @@
 """Removal of repeated word windows (operator 2).
 
-A first pass fills a count-min sketch with the hashes of all windows: each task
-sends, for each row of the sketch, the cells it has hit and which it has hit
+A first pass fills a count-min sketch.  Not every window is counted: of the runs of GRAM words
+within a window the one of least hash is its anchor, so equal windows have equal
+anchors at different places, and neighbouring windows mostly share theirs; one run in seven is an
+anchor of any.  Each task sends, for each row of the sketch, the cells that its anchors hit and which of them were hit
 twice; merging gives one bit for each cell, whether it was hit twice at least.
-The estimate is never too low, so a window whose cells are not all marked starts
-nowhere else.  A second pass keeps only the windows that are marked in every row
+So a window's estimate, that of its anchor, is never too low: one whose cells are not all marked
+starts nowhere else.  A second pass keeps only the windows that are marked in every row
 and groups those by 96 bits of two independent hashes, which stand for the words
 (of n different windows, n**2 / 2**97 pairs are expected to be taken for equal: one in 10**8 for 10**10 windows).
 
@@ -27,6 +29,8 @@ from seamark.llm.common import parts_for, text_bytes
 #: Words of one chunk; also bounds what a task holds.
 CHUNK_WORDS = 1_000_000
 BLOCK = 1 << 20
+#: Words of an anchor; cells of the sketch for each anchor, and words for each anchor of windows of 20.
+GRAM, CELLS_EACH, WORDS_EACH = 8, 4, 7
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _NULL_ID = -(1 << 63)
 
@@ -87,18 +91,26 @@ class Chunk:
         self.sizes.append(len(words))
         self.n += len(words)
 
-    def windows(self):
-        """h1, h2, position of the document, start; windows never cross documents."""
-        if not self.ids:
-            e = np.zeros(0, np.uint64)
-            return e, e, np.zeros(0, np.int64), np.zeros(0, np.int64)
-        sizes = np.array(self.sizes)
-        h1, h2 = window_hashes(np.concatenate(self.words), self.width)
+    def places(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each window its position in the chunk, the position of its document, its start; windows never cross documents."""
+        sizes = np.array(self.sizes, np.int64)
         doc = np.repeat(np.arange(len(sizes)), sizes)
-        begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
-        start = np.arange(len(doc)) - begin
-        ok = np.flatnonzero((start + self.width <= sizes[doc])[: len(h1)])
-        return h1[ok], h2[ok], doc[ok], start[ok]
+        start = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        at = np.flatnonzero(start + self.width <= sizes[doc]) if len(sizes) else np.zeros(0, np.int64)
+        return at, doc[at], start[at]
+
+    def anchors(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the anchors of windows at these positions, each place once; and which of them is each window's."""
+        gram = min(GRAM, self.width)
+        with np.errstate(over="ignore"):
+            h = _mix(_rolled(_mix(np.concatenate(self.words)), gram, _A))
+        least = np.lib.stride_tricks.sliding_window_view(h, self.width - gram + 1).argmin(axis=1)  # the first of equal ones
+        place, which = np.unique(at + least[at], return_inverse=True)
+        return h[place], which
+
+    def hashes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h1, h2 = window_hashes(np.concatenate(self.words), self.width)
+        return h1[at], h2[at]
 
 
 def _chunks(batches, width: int):
@@ -114,11 +126,11 @@ def _chunks(batches, width: int):
     yield chunk
 
 
-def _cells(h1: np.ndarray, h2: np.ndarray, log_cells: int) -> list[np.ndarray]:
-    """The cell of each window in the two rows of the sketch."""
+def _cells(h: np.ndarray, log_cells: int) -> list[np.ndarray]:
+    """The cell of each anchor in the two rows of the sketch."""
     shift = np.uint64(64 - log_cells)
     with np.errstate(over="ignore"):
-        return [h1 >> shift, _mix(h1 ^ (h2 * _A)) >> shift]
+        return [h >> shift, _mix(h * _B + _A) >> shift]
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -132,11 +144,11 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
 
 def _sketch(batches, width: int, log_cells: int):
     for chunk in _chunks(batches, width):
-        h1, h2, _, _ = chunk.windows()
-        if not len(h1):
+        at, _, _ = chunk.places()
+        if not len(at):
             continue
         out = []
-        for row, cells in enumerate(_cells(h1, h2, log_cells)):
+        for row, cells in enumerate(_cells(chunk.anchors(at)[0], log_cells)):
             cell, times = np.unique(cells.astype(np.int64), return_counts=True)
             cuts = np.flatnonzero(np.diff(cell // BLOCK, prepend=-1))
             for a, b in zip(cuts, [*cuts[1:], len(cell)]):
@@ -186,10 +198,10 @@ class Marks:
             self.rows[key >> 40][at : at + len(bits)] = np.frombuffer(bits, np.uint8)
         self.log_cells = log_cells
 
-    def repeated(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        """False only for windows that occur once."""
-        ok = np.ones(len(h1), bool)
-        for bits, cells in zip(self.rows, _cells(h1, h2, self.log_cells)):
+    def repeated(self, h: np.ndarray) -> np.ndarray:
+        """False only for anchors that occur once."""
+        ok = np.ones(len(h), bool)
+        for bits, cells in zip(self.rows, _cells(h, self.log_cells)):
             cells = cells.astype(np.int64)
             ok &= (bits[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).astype(bool)
         return ok
@@ -257,12 +269,16 @@ def _candidates(batches, width: int, shared, key: str, log_cells: int, groups: i
     """kind 0: first occurrences in this chunk, by window group; kind 1: later ones, by document group."""
     marks = _marks_of(shared, key, log_cells)
     for chunk in _chunks(batches, width):
-        h1, h2, doc, start = chunk.windows()
+        at, doc, start = chunk.places()
+        if not len(at):
+            continue
         ids, digests = np.array(chunk.ids, np.int64), np.array(chunk.digests, np.uint64)
-        ok = np.flatnonzero(marks.repeated(h1, h2)) if len(h1) else np.zeros(0, np.int64)
+        anchors, which = chunk.anchors(at)
+        ok = np.flatnonzero(marks.repeated(anchors)[which])
         if not len(ok):
             continue
-        h1, h2, doc, start = h1[ok], (h2[ok] >> np.uint64(32)).astype(np.uint32), doc[ok], start[ok]
+        h1, h2 = chunk.hashes(at[ok])
+        h2, doc, start = (h2 >> np.uint64(32)).astype(np.uint32), doc[ok], start[ok]
         order = np.lexsort((start, ids[doc], h2, h1))
         h1, h2, doc, start = h1[order], h2[order], doc[order], start[order]
         at = ids[doc]
@@ -358,7 +374,7 @@ def _assemble(batches, width: int, keep: int):
                 yield pa.RecordBatch.from_arrays([part.column(k) for k in range(5, 5 + keep)] + [pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string()))], names=[*part.schema.names[5:], "n_words", "n_removed", "kept_text"])
 
 
-def remove_repeats(docs: DataFrame, width: int = 20, max_log_cells: int = 28, keep: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 20, max_log_cells: int = 30, keep: list[str] | None = None) -> DataFrame:
     """Remove every word that a window with an earlier equal window covers.
 
     Earlier: in a document of smaller doc_id, or in the same document at a smaller
@@ -366,9 +382,10 @@ def remove_repeats(docs: DataFrame, width: int = 20, max_log_cells: int = 28, ke
     but text) with ``n_words``, ``n_removed`` and ``kept_text`` (kept words joined
     by one blank).
 
-    max_log_cells bounds the sketch: two rows of at most 2**max_log_cells bits (64 MB
-    at 28) are broadcast.  Below that bound a row has at least two cells a
-    window; beyond it more windows pass to the exact step, and none is lost.
+    max_log_cells bounds the sketch: two rows of at most 2**max_log_cells bits (256 MB
+    at 30) are broadcast.  Below that bound, which some 11 GB of text reach, a row has at least four cells an
+    anchor, so one window in twenty passes without need; beyond it more windows pass to the exact step (half of
+    them at 50 GB), and none is lost.
 
     Null ids come before all others.  A null text has no words.  Rows that repeat
     an id are judged each: against equal places (same id, same start) neither
@@ -378,7 +395,7 @@ def remove_repeats(docs: DataFrame, width: int = 20, max_log_cells: int = 28, ke
     spark = docs.sparkSession
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("text", "n_words", "n_removed", "kept_text")]
     total = text_bytes(docs)  # sizes only
-    log_cells = max(20, min(max_log_cells, int(np.ceil(np.log2(max(1, total) / 6 * 2)))))
+    log_cells = max(20, min(max_log_cells, int(np.ceil(np.log2(max(1, total) / 6 / WORDS_EACH * CELLS_EACH)))))  # six bytes a word
     groups = parts_for(total, 10e6, least=8)
     shared = spark.sparkContext.broadcast(sketch(docs, width, log_cells, parts_for(2 * 2**log_cells, BLOCK * 8, most=groups)))
     key = uuid.uuid4().hex

@@ -168,10 +168,28 @@ def test_op2_removes_windows_that_start_earlier(docs, none):
 
 
 def test_op2_a_saturated_sketch_loses_nothing(docs):
-    small, large = (substring_dedup.remove_repeats(docs, max_log_cells=k, keep=["doc_id"]) for k in (20, 28))
+    small, large = (substring_dedup.remove_repeats(docs, max_log_cells=k, keep=["doc_id"]) for k in (20, 30))
     assert _multiset(small.collect()) == _multiset(large.collect())
 
 
+def test_op2_anchors_of_equal_windows():
+    """Equal windows have equal anchors at places of their own, also in texts that repeat themselves; few runs are anchors."""
+    rng = random.Random(1)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(4000)]
+    texts = [" ".join(words), " ".join(words[100:400]), "a b " * 40, " ".join(words[390:420])]
+    chunk = substring_dedup.Chunk(20)
+    for k, t in enumerate(texts):
+        chunk.add(k, t)
+    at, doc, start = chunk.places()
+    anchors, which = chunk.anchors(at)
+    groups = collections.defaultdict(list)
+    for i, (d, s) in enumerate(zip(doc, start)):
+        groups[tuple(texts[d].split()[s : s + 20])].append(i)
+    for same in groups.values():
+        assert len({int(anchors[which[i]]) for i in same}) == 1 and len({int(which[i]) for i in same}) == len(same)
+    assert len(anchors) < len(words) / 5
+
+
 @pytest.fixture(scope="module")
 def codec():
     with open(tok.path("byte_bpe_50k.tiktoken"), "rb") as f:
