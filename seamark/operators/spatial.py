@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from seamark.functions.geo import barycentric, squared_distance
 
@@ -14,17 +17,35 @@ BROADCAST_SITES = 10_000
 def nearest(query: DataFrame, sites: DataFrame, site_id: str, limit: int = BROADCAST_SITES) -> DataFrame:
     """query with the nearest site (ties: smallest id) as site_id and its squared distance d2.
 
-    Both have e_km, n_km; sites with site_id.  A small, counted table of sites is one array
-    constant of the plan, so query is neither shuffled nor multiplied; a larger one is joined by cells.
+    Both have e_km, n_km; sites with site_id, a number.  A small, counted table of sites is
+    broadcast, and distances are taken in Arrow batches, so query is neither shuffled nor multiplied; a larger
+    one, or one with other ids, is joined by cells.
     """
-    rows = sites.select("e_km", "n_km", site_id).limit(limit + 1).collect()  # bounded by limit
-    if len(rows) > limit:
+    rows = sites.select("e_km", "n_km", site_id).where(f"e_km IS NOT NULL AND n_km IS NOT NULL AND `{site_id}` IS NOT NULL").limit(limit + 1).collect()  # bounded by limit
+    kind = sites.schema[site_id].dataType
+    if len(rows) > limit or not isinstance(kind, IntegralType):
         return nearest_bucketed(query, sites, site_id)
     if not rows:
-        return query.withColumn(site_id, F.lit(None).cast(sites.schema[site_id].dataType)).withColumn("d2", F.lit(None).cast("double"))
-    packed = sites.agg(F.array_sort(F.collect_list(F.struct(F.col(site_id).alias("id"), F.col("e_km").cast("double").alias("e"), F.col("n_km").cast("double").alias("n")))).alias("_sites"))
-    best = F.array_min(F.transform("_sites", lambda s: F.struct(squared_distance(F.col("e_km"), F.col("n_km"), s["e"], s["n"]).alias("d2"), s["id"].alias("id"))))
-    return query.join(F.broadcast(packed)).withColumn("_best", best).withColumn(site_id, F.col("_best.id")).withColumn("d2", F.col("_best.d2")).drop("_sites", "_best")
+        return query.withColumn(site_id, F.lit(None).cast(kind)).withColumn("d2", F.lit(None).cast("double"))
+    rows.sort(key=lambda r: r[2])  # the first of equal distances is then the smallest id
+    e, n, ids = (np.array([r[k] for r in rows], t) for k, t in ((0, float), (1, float), (2, np.int64)))
+    shared = sites.sparkSession.sparkContext.broadcast((e, n, ids))
+
+    @F.pandas_udf("id bigint, d2 double")
+    def best(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        e, n, ids = shared.value
+        x, y = x.to_numpy(float), y.to_numpy(float)
+        at, d2 = np.zeros(len(x), np.int64), np.zeros(len(x))
+        step = max(1, 1_000_000 // len(e))
+        for k in range(0, len(x), step):
+            dx, dy = x[k : k + step, None] - e, y[k : k + step, None] - n
+            d = dx * dx + dy * dy
+            at[k : k + step] = d.argmin(axis=1)
+            d2[k : k + step] = np.take_along_axis(d, at[k : k + step, None], axis=1)[:, 0]
+        none = np.isnan(d2)  # a query without a place has no nearest site
+        return pd.DataFrame({"id": pd.Series(ids[at]).astype("Int64").mask(none), "d2": pd.Series(d2).mask(none)})
+
+    return query.withColumn("_best", best("e_km", "n_km")).withColumn(site_id, F.col("_best.id").cast(kind)).withColumn("d2", F.col("_best.d2")).drop("_best")
 
 
 def nearest_bucketed(query: DataFrame, sites: DataFrame, site_id: str, width: float | None = None, by: tuple[str, ...] = ()) -> DataFrame:
