@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from seamark.functions.links import even_chi2_survival
+from seamark.operators.ordered import ranks, running
 
 
 def pit_bounds(obs: DataFrame, replicates: DataFrame, key: str = "i") -> DataFrame:
@@ -56,17 +56,15 @@ def pearson_positive(rows: DataFrame, variance: Column) -> DataFrame:
 
 def yearly_spatial_stats(rows: DataFrame) -> DataFrame:
     """t: entropy over its maximum, variance, CV, mean occupancy, mean positive density, mean density, rank correlation (rows: g, t, r1, r2, d)."""
-    w = Window.partitionBy("t")
-
-    def mean_rank(c: str) -> Column:
-        return F.rank().over(w.orderBy(c)) + (F.count("*").over(Window.partitionBy("t", c)) - 1) / 2
-
-    p = F.col("d") / F.sum("d").over(w)
-    got = rows.withColumns({"_p": p, "_k1": mean_rank("r1"), "_k2": mean_rank("r2")}).groupBy("t").agg(
-        (-F.sum(F.col("_p") * F.ln("_p")) / F.ln(F.count("*"))).alias("entropy"), F.var_samp("d").alias("var_d"), (F.stddev_samp("d") / F.avg("d")).alias("cv"),
+    # equal values share the mean of their places; the entropy of d / sum(d) is ln(sum d) - sum(d ln d) / sum(d)
+    placed = rows
+    for k, c in ((1, "r1"), (2, "r2")):
+        placed = ranks(placed, ("t",), c).withColumn(f"_k{k}", (F.col("rank") + F.col("upto")) / 2).drop("rank", "upto", "n")
+    total = F.sum("d")
+    return placed.groupBy("t").agg(
+        ((F.ln(total) - F.sum(F.col("d") * F.ln("d")) / total) / F.ln(F.count("*"))).alias("entropy"), F.var_samp("d").alias("var_d"), (F.stddev_samp("d") / F.avg("d")).alias("cv"),
         F.avg("r1").alias("occupancy"), F.avg("r2").alias("mean_positive"), F.avg("d").alias("mean_d"), F.corr("_k1", "_k2").alias("rank_corr"),
     )
-    return got
 
 
 def total_log_density(rows: DataFrame) -> DataFrame:
@@ -76,15 +74,15 @@ def total_log_density(rows: DataFrame) -> DataFrame:
 
 
 def ecdf(rows: DataFrame, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(value)
-    return rows.withColumn("ecdf", F.cume_dist().over(w)).withColumn("rank01", F.percent_rank().over(w))
+    """rows with the share of rows up to each value (ecdf), and its rank from 0 to 1 (rank01)."""
+    got = ranks(rows, keys, value)
+    alone = F.when(F.col("n") > 1, (F.col("rank") - 1) / (F.col("n") - 1)).otherwise(0.0)
+    return got.withColumn("ecdf", F.col("upto") / F.col("n")).withColumn("rank01", alone).drop("rank", "upto", "n")
 
 
 def qq(rows: DataFrame, value: str, keys: tuple[str, ...], order: str) -> DataFrame:
     """Order statistics against an even grid from 0 to 1."""
-    n = F.count("*").over(Window.partitionBy(*keys))
-    k = F.row_number().over(Window.partitionBy(*keys).orderBy(value, order))
-    return rows.withColumn("expected", F.try_divide(k - 1, n - 1))
+    return running(rows, keys, (value, order)).withColumn("expected", F.try_divide(F.col("rn") - 1, F.col("n") - 1)).drop("rn", "n")
 
 
 def semivariogram(rows: DataFrame, width: float, most: float, lags: int) -> DataFrame:

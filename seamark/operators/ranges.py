@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from seamark.operators.ordered import running
+
 
 def cumulative_share(cells: DataFrame, axis: str = "z", weight: str = "d", keys: tuple[str, ...] = ("c", "t")) -> DataFrame:
     """cells with the share of weight up to each cell along an axis (ties by g)."""
-    w = Window.partitionBy(*keys)
-    run = w.orderBy(axis, "g").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return cells.withColumn("share", F.sum(weight).over(run) / F.sum(weight).over(w)).withColumn("rn", F.row_number().over(w.orderBy(axis, "g")))
+    return running(cells, keys, (axis, "g"), weight).withColumn("share", F.col("run") / F.col("total")).drop("n", "run", "total")
 
 
 def range_edge(cells: DataFrame, quantiles: list[float], axis: str = "z", weight: str = "d", keys: tuple[str, ...] = ("c", "t")) -> DataFrame:
@@ -24,11 +24,11 @@ def range_edge(cells: DataFrame, quantiles: list[float], axis: str = "z", weight
 
 def interpolated_quantile(cells: DataFrame, q: float, axis: str = "z", weight: str = "d", keys: tuple[str, ...] = ("c", "t")) -> DataFrame:
     """keys, z: linear between the last cell with a share of q at most and the next one."""
-    w = Window.partitionBy(*keys).orderBy(axis, "g")
-    shares = cumulative_share(cells, axis, weight, keys).withColumns({"_s0": F.lag("share").over(w), "_z0": F.lag(axis).over(w)})
-    first = shares.where(F.col("share") > q).groupBy(*keys).agg(F.min_by(F.struct("share", axis, "_s0", "_z0"), "rn").alias("b"))
-    s1, z1, s0, z0 = F.col("b.share"), F.col(f"b.{axis}"), F.col("b._s0"), F.col("b._z0")
-    return first.select(*keys, F.when(s0.isNull(), z1).otherwise(z0 + (q - s0) / (s1 - s0) * (z1 - z0)).alias("z"))
+    shares = cumulative_share(cells, axis, weight, keys)
+    over, at = F.col("share") > q, F.struct("share", axis)
+    got = shares.groupBy(*keys).agg(F.min_by(F.when(over, at), F.when(over, F.col("rn"))).alias("b"), F.max_by(F.when(~over, at), F.when(~over, F.col("rn"))).alias("a")).where("b IS NOT NULL")
+    s1, z1, s0, z0 = F.col("b.share"), F.col(f"b.{axis}"), F.col("a.share"), F.col(f"a.{axis}")
+    return got.select(*keys, F.when(s0.isNull(), z1).otherwise(z0 + (q - s0) / (s1 - s0) * (z1 - z0)).alias("z"))
 
 
 def autoregressive_mean(field: DataFrame, rho: float | Column, keys: tuple[str, ...] = ("s", "f"), value: str = "val") -> DataFrame:

@@ -303,3 +303,20 @@ def test_observations_by_a_covariates_sentinel(spark, tmp_path):
     spark.createDataFrame([(1.0, 5.0), (2.0, -9999.0)], "catch double, temp double").write.parquet(str(tmp_path / "t"))
     got = read_observations(spark, str(tmp_path / "t"), {"Catch_KG": "catch", "Year": "2000"}, sentinel=-999.0, covariate="temp").collect()
     assert [r.Catch_KG for r in got] == [1.0]
+
+
+def test_ordered_by_ranges_equals_windows(spark):
+    """One key with most rows, ties, nulls and few distinct values, against plain windows."""
+    from pyspark.sql import Window
+
+    from seamark.operators import ordered
+
+    rows = spark.range(3000).select(F.when(F.col("id") % 10 < 7, 1).when(F.col("id") % 10 < 9, 2).alias("k"), F.col("id").alias("g"), (F.col("id") * 37 % 50).alias("v"), (F.col("id") % 7).cast("double").alias("w")).repartition(4)
+    w = Window.partitionBy("k")
+    run = w.orderBy("v", "g").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    want = {r.g: r for r in rows.select("g", F.row_number().over(w.orderBy("v", "g")).alias("rn"), F.sum("w").over(run).alias("run"), F.sum("w").over(w).alias("total"), F.rank().over(w.orderBy("v")).alias("rank"), F.cume_dist().over(w.orderBy("v")).alias("cd")).collect()}
+    for r in ordered.running(rows, ("k",), ("v", "g"), "w").collect():
+        assert (r.rn, r.run, r.total) == (want[r.g].rn, want[r.g].run, want[r.g].total)
+    for r in ordered.ranks(rows, ("k",), "v").collect():
+        assert r["rank"] == want[r.g]["rank"] and r.upto / r.n == pytest.approx(want[r.g].cd)
+    assert ordered.running(rows, (), ("v", "g")).agg(F.max("rn")).first()[0] == 3000
