@@ -43,11 +43,10 @@ WINDOW, MASK_BITS, LEAST, MOST = 16, 8, 64, 2048
 _R = np.uint64(0x9E3779B97F4A7C15)
 
 
-def cut(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one stream; they depend only on ids nearby, except where MOST forces one."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
+def _candidates(ids: np.ndarray) -> np.ndarray:
+    """Places after which the rolling hash lets a chunk end; each depends on the WINDOW ids before it alone."""
+    if len(ids) < WINDOW:
+        return np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
         x = (ids.astype(np.uint64) + np.uint64(1)) * _R
         x ^= x >> np.uint64(29)
@@ -57,18 +56,29 @@ def cut(ids: np.ndarray) -> list[int]:
             r, size = r * r, size * 2
         h ^= h >> np.uint64(32)
         h = h * np.uint64(0xD6E8FEB86659FD93)
-    ends = np.flatnonzero(h >> np.uint64(64 - MASK_BITS) == 0) + WINDOW
-    out, last = [], 0
-    for e in [*ends.tolist(), n]:
+    return np.flatnonzero(h >> np.uint64(64 - MASK_BITS) == 0) + WINDOW
+
+
+def _ends(candidates: list[int], begin: int, end: int) -> list[int]:
+    """Ends of the chunks of the ids from begin to end; candidates: places within them."""
+    if end - begin <= LEAST:
+        return [end] if end > begin else []
+    out, last = [], begin
+    for e in [*candidates, end]:
         while e - last > MOST:
             last += MOST
             out.append(last)
-        if e - last >= LEAST or e == n and e > last:
+        if e - last >= LEAST or e == end and e > last:
             out.append(e)
             last = e
     return out
 
 
+def cut(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of one stream; they depend only on ids nearby, except where MOST forces one."""
+    return _ends(_candidates(ids).tolist(), 0, len(ids))
+
+
 def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=DIGEST).digest()
 
@@ -253,13 +263,16 @@ def _encode(batches, shared, end_id: int, kind: str):
         for part in slices(batch, 2048):
             out = []
             ids, ends = run.encode(part.column("text"))
-            begin = 0
-            for doc_id, end in zip(part.column("doc_id").to_pylist(), ends.tolist()):
-                own = np.append(ids[begin:end], np.uint32(end_id))
-                begin = end
-                names, at = [], 0
-                data = own.astype(kind).tobytes()
-                for e in cut(own):
+            ids = np.insert(ids, ends, np.uint32(end_id))
+            data, places = ids.astype(kind).tobytes(), _candidates(ids)
+            ends = ends + np.arange(1, len(ends) + 1)
+            begins = np.concatenate([[0], ends[:-1]])
+            # a place within a document looks back on ids of this document alone
+            first, last = np.searchsorted(places, begins + WINDOW), np.searchsorted(places, ends, "right")
+            places = places.tolist()
+            for doc_id, begin, end, a, b in zip(part.column("doc_id").to_pylist(), begins.tolist(), ends.tolist(), first.tolist(), last.tolist()):
+                names, at = [], begin
+                for e in _ends(places[a:b], begin, end):
                     raw = data[at * wide : e * wide]
                     names.append(name := digest(raw))
                     if name not in seen:
@@ -268,7 +281,7 @@ def _encode(batches, shared, end_id: int, kind: str):
                         seen.add(name)
                         out.append((name, None, raw, e - at, None))
                     at = e
-                out.append((None, doc_id, b"".join(names), len(own), merkle(names)))
+                out.append((None, doc_id, b"".join(names), end - begin, merkle(names)))
             for k in range(0, len(out), 4096):
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[k : k + 4096]), _KINDS)], names=["digest", "doc_id", "data", "n", "root"])
     release()

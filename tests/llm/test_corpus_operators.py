@@ -265,6 +265,25 @@ def test_op4_store(spark, docs, none):
     assert token_store.checksums(spark, empty).count() == 0
 
 
+def test_op4_documents_are_cut_each_by_itself():
+    """Chunks of many documents at once are those of each alone."""
+    import pyarrow as pa
+
+    with open(tok.path("word_bpe_49k.json"), "rb") as f:
+        raw = f.read()
+    shared = type("Shared", (), {"value": raw})
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.randrange(900)}" for _ in range(n)) for n in (0, 3, 40, 4000, 0, 700, 16, 20, 900)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)})
+    sent = [r for b in token_store._encode([batch], shared, 1, "<u2") for r in b.to_pylist()]
+    recipes, run = {r["doc_id"]: r for r in sent if r["digest"] is None}, token_store.WordTokenizer(raw)
+    for k, t in enumerate(texts):
+        ids = np.append(run.encode(pa.array([t]))[0], np.uint32(1)).astype("<u2")
+        ends = token_store.cut(ids.astype("<u4"))
+        names = [token_store.digest(ids[a:b].tobytes()) for a, b in zip([0, *ends], ends)]
+        assert recipes[k]["data"] == b"".join(names) and recipes[k]["n"] == len(ids) and recipes[k]["root"] == token_store.merkle(names)
+
+
 def test_op4_ids_are_the_librarys():
     """Words by letters and marks against whole texts, over letters, marks, spaces and marks of all kinds."""
     import pyarrow as pa
