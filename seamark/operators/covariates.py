@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -39,12 +41,35 @@ def replace_rows(old: DataFrame, new: DataFrame, on: tuple[str, ...] = ("lat", "
     return old.join(new, list(on), "left_anti").unionByName(new)
 
 
-def nearest_mean(query: DataFrame, measurements: DataFrame, k: int, key: str = "g", value: str = "val") -> DataFrame:
-    """Mean of the k nearest measurements of a year (ties: smallest id)."""
-    d2 = squared_distance(F.col("e_km"), F.col("n_km"), F.col("_e"), F.col("_n"))
-    near = query.join(measurements.select("t", F.col("id").alias("_id"), F.col("e_km").alias("_e"), F.col("n_km").alias("_n"), F.col(value).alias("_v")), "t")
-    rank = F.row_number().over(Window.partitionBy(key, "t").orderBy("d2", "_id"))
-    return near.withColumn("d2", d2).withColumn("r", rank).where(F.col("r") <= k).groupBy(key, "t").agg(F.avg("_v").alias(value))
+def nearest_mean(query: DataFrame, measurements: DataFrame, k: int, key: str = "g", value: str = "val", limit: int = 10_000) -> DataFrame:
+    """Mean of the k nearest measurements of a year (ties: smallest id); rows of a year without any drop out.
+
+    Up to limit measurements, counted first, are broadcast and ranked in Arrow batches; more are joined by
+    year and ranked there.
+    """
+    rows = measurements.select("t", "id", "e_km", "n_km", F.col(value).cast("double")).limit(limit + 1).collect()  # bounded by limit
+    if len(rows) > limit:
+        d2 = squared_distance(F.col("e_km"), F.col("n_km"), F.col("_e"), F.col("_n"))
+        near = query.join(measurements.select("t", F.col("id").alias("_id"), F.col("e_km").alias("_e"), F.col("n_km").alias("_n"), F.col(value).alias("_v")), "t")
+        rank = F.row_number().over(Window.partitionBy(key, "t").orderBy("d2", "_id"))
+        return near.withColumn("d2", d2).withColumn("r", rank).where(F.col("r") <= k).groupBy(key, "t").agg(F.avg("_v").alias(value))
+    by: dict = {}
+    for r in sorted(rows, key=lambda r: r[1]):  # the first of equal distances is then the smallest id
+        by.setdefault(r[0], []).append(tuple(r)[2:])
+    shared = query.sparkSession.sparkContext.broadcast({t: np.array(x, float).T for t, x in by.items()})
+
+    @F.pandas_udf("double")
+    def mean(t: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        out = np.full(len(t), np.nan)
+        for year, (e, n, val) in shared.value.items():
+            mine = np.flatnonzero((t == year).to_numpy())
+            step = max(1, 500_000 // len(e))
+            for at in (mine[j : j + step] for j in range(0, len(mine), step)):
+                dx, dy = x.to_numpy(float)[at, None] - e, y.to_numpy(float)[at, None] - n
+                out[at] = val[np.argsort(dx * dx + dy * dy, axis=1, kind="stable")[:, :k]].mean(axis=1)
+        return pd.Series(out).astype("Float64").mask(np.isnan(out))
+
+    return query.select(key, "t", mean("t", "e_km", "n_km").alias(value)).where(F.col(value).isNotNull())
 
 
 def knot_covariates(data: DataFrame, value: str = "val", fun: Callable[[Column], Column] = F.avg) -> DataFrame:

@@ -320,3 +320,11 @@ def test_ordered_by_ranges_equals_windows(spark):
     for r in ordered.ranks(rows, ("k",), "v").collect():
         assert r["rank"] == want[r.g]["rank"] and r.upto / r.n == pytest.approx(want[r.g].cd)
     assert ordered.running(rows, (), ("v", "g")).agg(F.max("rn")).first()[0] == 3000
+
+
+def test_mean_of_nearest_both_ways(spark):
+    """Broadcast and joined give the same, with ties, few measurements and a year without any."""
+    query = spark.createDataFrame([(g, t, float(g % 5), float(g // 5)) for g in range(20) for t in range(4)], "g int, t int, e_km double, n_km double")
+    meas = spark.createDataFrame([(i, t, float(i % 4), float(i // 4), float(i * 3 + t)) for i in range(12) for t in range(2)] + [(99, 2, 0.0, 0.0, 5.0)], "id int, t int, e_km double, n_km double, val double")
+    one, two = ({(r.g, r.t): r.val for r in covariates.nearest_mean(query, meas, 3, limit=n).collect()} for n in (100, 5))
+    assert one == pytest.approx(two) and len(one) == 60
