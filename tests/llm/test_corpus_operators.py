@@ -495,6 +495,16 @@ def test_op7_targets_are_met(spark):
     mass = [(out.n_tokens * out[f"p_{d}"] * out.rate).sum() for d in mixing.DOMAINS]
     total = out.n_tokens.sum()
     assert mass == pytest.approx([0.8 * total, 0.15 * total, 0.05 * total], rel=5e-3)
+    # the rates by projected gradient in numpy, from the posteriors
+    p, n = out[[f"p_{d}" for d in mixing.DOMAINS]].to_numpy(), out.n_tokens.to_numpy(float)
+    assert np.allclose(p.sum(axis=1), 1.0)
+    has, rate = n @ p, np.ones(len(out))
+    for _ in range(mixing.Settings().steps):
+        off = (n * rate) @ p - np.array([0.8, 0.15, 0.05]) * total
+        if all(abs(off) <= mixing.Settings().tolerance * np.array([0.8, 0.15, 0.05]) * total):
+            break
+        rate = np.maximum(0.0, rate - p @ (off / has))
+    assert np.allclose(rate, out.rate, atol=1e-6) and set(out.copies - np.floor(out.rate)) <= {0.0, 1.0}
     truth = {k: 2 if t else 1 - q for k, q, t in labels}
     best = out.dropna(subset=["doc_id"])
     assert (best[[f"p_{d}" for d in mixing.DOMAINS]].values.argmax(1) == [truth[int(i)] for i in best.doc_id]).mean() > 0.95
