@@ -158,11 +158,12 @@ def rate(history: list[list[float]]) -> Column:
     return r
 
 
-def solve(classified: DataFrame, weights: dict[str, float], settings: Settings = Settings(), anchor: str | None = None) -> tuple[Column, list[float], list[float]]:
+def solve(classified: DataFrame, weights: dict[str, float], settings: Settings = Settings(), anchor: str | None = None, thin: bool = False) -> tuple[Column, list[float], list[float]]:
     """(rate, targets, totals reached).
 
     weights: the wanted share of tokens for each domain.  The whole amounts to the input's
-    tokens, or with an anchor to so many that this domain keeps what it has.
+    tokens, or with an anchor to so many that this domain keeps what it has.  thin: a domain that has
+    less than its share keeps what it has, instead of being repeated.
     Least squares weigh each domain by what it has, so small ones count as much.
     """
     names = [f"p_{d}" for d in DOMAINS]
@@ -170,7 +171,7 @@ def solve(classified: DataFrame, weights: dict[str, float], settings: Settings =
     share = [weights.get(d, 0.0) / sum(weights.values()) for d in DOMAINS]
     k = DOMAINS.index(anchor) if anchor else None
     whole = has[k] / share[k] if k is not None and share[k] else sum(has)
-    targets = [s * whole for s in share]
+    targets = [min(s * whole, h) if thin else s * whole for s, h in zip(share, has)]
     history: list[list[float]] = []
     reached = has
     for _ in range(settings.steps):
@@ -185,8 +186,8 @@ def solve(classified: DataFrame, weights: dict[str, float], settings: Settings =
     return rate(history), targets, reached
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], keep: list[str], settings: Settings = Settings(), anchor: str | None = None) -> DataFrame:
-    """keep with ``n_tokens``, ``p_<domain>``, ``rate`` and ``copies``.
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], keep: list[str], settings: Settings = Settings(), anchor: str | None = None, thin: bool = False) -> DataFrame:
+    """keep with ``n_tokens``, ``p_<domain>``, ``rate`` and ``copies`` (anchor, thin: see solve).
 
     copies is the rate rounded up or down by a keyed hash of doc_id, so that it is the rate on
     average; null ids share one draw, and so do rows that repeat an id.  A null or
@@ -198,7 +199,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], keep: lis
     alias = [f"_k{k}" for k in range(len(keep))]
     rows = docs.select(*(F.col(c).alias(a) for c, a in zip(keep, alias)), F.col("doc_id").alias("_id"), "text")
     classified = materialise(classify(rows, model, [*alias, "_id"]), "classified")
-    r, _, _ = solve(classified, weights, settings, anchor)
+    r, _, _ = solve(classified, weights, settings, anchor, thin)
     draw = F.pmod(F.xxhash64("_id", F.lit(settings.seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     out = classified.withColumn("rate", r).withColumn("copies", F.floor(F.col("rate") + draw).cast("int"))
     return out.select(*(F.col(a).alias(c) for c, a in zip(keep, alias)), "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate", "copies")

@@ -512,6 +512,19 @@ def test_op7_targets_are_met(spark):
     assert mixing.mix(empty, spark.createDataFrame([], "doc_id long, quality int, toxic int"), {"clean": 1.0}, keep=["doc_id"]).count() == 0
 
 
+def test_op7_thinning_repeats_nothing_scarce(spark):
+    """A domain with less than its share keeps what it has; the others come down to theirs."""
+    rows = [(k, 100, *((0.98, 0.01, 0.01) if k % 20 else (0.01, 0.98, 0.01) if k % 40 else (0.01, 0.01, 0.98))) for k in range(400)]
+    classified = spark.createDataFrame(rows, "doc_id long, n_tokens long, p_clean double, p_poor double, p_toxic double")
+    rate, targets, reached = mixing.solve(classified, {"clean": 0.8, "poor": 0.199, "toxic": 0.001}, anchor="clean", thin=True)
+    has = [sum(100 * r[2 + k] for r in rows) for k in range(3)]
+    assert targets[:2] == pytest.approx(has[:2]) and targets[2] < has[2] / 10
+    most = classified.agg(F.max(rate)).first()[0]
+    assert most < 1.1 and reached[1] <= has[1] * 1.01
+    _, more, _ = mixing.solve(classified, {"clean": 0.8, "poor": 0.199, "toxic": 0.001}, anchor="clean")
+    assert more[1] > 5 * has[1]
+
+
 def test_op8_urls(spark):
     urls = ["https://A.Example.ORG/es/x?q#f", "http://b.example.org/en/12", "x://example.com/fr/1", "http://q.com/de/", "http://spam-farm.example.org/en/7", "http://www.casino-win.example.net/zz", "http://other.example.net", None, "nonsense", "a://b://c/d", "http://example.net?x"]
     got = url_filter.judge(spark.createDataFrame([(k, u, "z") for k, u in enumerate([*urls, urls[0]])], "page_id long, url string, host string")).orderBy("page_id").collect()
