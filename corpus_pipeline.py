@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from seamark.llm import byte_bpe, mixing, near_copies, pii, quality
 from seamark.llm.common import materialise, read
 
-#: Wanted shares of tokens; clean text keeps what it has, so the other domains are thinned.
+#: Wanted shares of tokens; clean text keeps what it has, the other domains are thinned to their shares and never repeated.
 WEIGHTS = {"clean": 0.97, "poor": 0.025, "toxic": 0.005}
 #: What the operators read; all other columns are only carried.
 READ = ("doc_id", "text", "lang", "source")
@@ -48,7 +48,7 @@ def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rate says, by the hash of their id; rows without an id share one draw."""
     there = _aside(docs)
-    mixed = mixing.mix(there, read(spark, sf_dir, "labels"), WEIGHTS, keep=there.columns, anchor="clean")
+    mixed = mixing.mix(there, read(spark, sf_dir, "labels"), WEIGHTS, keep=there.columns, anchor="clean", thin=True)
     times = mixed.where("copies > 0").select(F.struct(*there.columns).alias("row"), F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return _back(times.select("row.*"), docs)
 
