@@ -57,18 +57,23 @@ def catchability(design: DataFrame, coefficients: DataFrame, varying: DataFrame
     return rows.groupBy("i").agg(F.sum((F.col("lam") + phi) * F.col("q")).alias("zeta"))
 
 
-def covariate_effect(design: DataFrame, coefficients: DataFrame, varying: DataFrame | None = None) -> DataFrame:
+def covariate_effect(design: DataFrame, coefficients: DataFrame, varying: DataFrame | None = None, response: DataFrame | None = None) -> DataFrame:
     """g, c, t, eta: the sum over p of (gamma_cp + xi_gcp) * X_gtp.
 
-    coefficients: c, p, gamma, config (-1 none, 0 none, 1 fixed, 2 fixed and varying, 3 varying alone).
+    coefficients: c, p, gamma, config (0 none, 1 fixed, 2 varying around zero, 3 fixed and varying, 4 varying with
+    response (c, t, x) in place of the covariate, -1 as 2 without a penalty in the fit).  Without
+    response, covariates of config 4 have no effect.
     """
     rows = design.join(F.broadcast(coefficients.select("c", "p", "gamma", "config")), "p")
     if varying is not None:
         rows = rows.join(varying.select("g", "c", "p", "xi"), ["g", "c", "p"], "left")
     xi = F.coalesce("xi", F.lit(0.0)) if varying is not None else F.lit(0.0)
-    fixed = F.when(F.col("config").isin(1, 2), F.col("gamma")).otherwise(0.0)
-    vary = F.when(F.col("config").isin(2, 3), xi).otherwise(0.0)
-    return rows.groupBy("g", "c", "t").agg(F.sum((fixed + vary) * F.col("x")).alias("eta"))
+    if response is not None:
+        rows = rows.join(F.broadcast(response.select("c", "t", F.col("x").alias("_x"))), ["c", "t"], "left")
+    x = F.when(F.col("config") == 4, F.coalesce("_x", F.lit(0.0)) if response is not None else F.lit(0.0)).otherwise(F.col("x"))
+    fixed = F.when(F.col("config").isin(1, 3), F.col("gamma")).otherwise(0.0)
+    vary = F.when(F.col("config").isin(-1, 2, 3, 4), xi).otherwise(0.0)
+    return rows.groupBy("g", "c", "t").agg(F.sum((fixed + vary) * x).alias("eta"))
 
 
 def loadings(packed: list[float], n_rows: int, n_factors: int) -> list[tuple[int, int, float]]:

@@ -71,13 +71,13 @@ def m6_catchability(spark, sf_dir):
     return predict.catchability(q, lam, phi).select("i", r6("zeta"))
 
 
-@query(with_("grid") + ", x AS (SELECT g, CAST(t AS INT) AS t, CAST(p AS INT) AS p, ((g + t) * (p + 1)) % 17 / 1e1 AS x FROM grid, range(2) AS a(t), range(3) AS b(p)), k AS (SELECT CAST(c AS INT) AS c, CAST(p AS INT) AS p, (c + 1) * (p - 1) / 4e0 AS gamma, CAST(p + 1 AS INT) AS config FROM range(2) AS a(c), range(3) AS b(p)) SELECT g, c, t, round(sum((CASE WHEN config IN (1, 2) THEN gamma ELSE 0e0 END + CASE WHEN config IN (2, 3) THEN ((g * 3 + c + p) % 7 - 3) / 1e1 ELSE 0e0 END) * x), 6) AS eta FROM x JOIN k USING (p) GROUP BY g, c, t")
+@query(with_("grid") + ", x AS (SELECT g, CAST(t AS INT) AS t, CAST(p AS INT) AS p, ((g + t) * (p + 1)) % 17 / 1e1 AS x FROM grid, range(2) AS a(t), range(5) AS b(p)), k AS (SELECT CAST(c AS INT) AS c, CAST(p AS INT) AS p, (c + 1) * (p + 1) / 4e0 AS gamma, CAST(p - 1 AS INT) AS config FROM range(2) AS a(c), range(5) AS b(p)) SELECT g, c, t, round(sum((CASE WHEN config IN (1, 3) THEN gamma ELSE 0e0 END + CASE WHEN config IN (-1, 2, 3) THEN ((g * 3 + c + p) % 7 - 3) / 1e1 ELSE 0e0 END) * x), 6) AS eta FROM x JOIN k USING (p) GROUP BY g, c, t")
 def m7_covariate_effect(spark, sf_dir):
     g, c, t, p = (F.col(x) for x in "gctp")
     seq = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    x = v.grid(spark, sf_dir).select("g", seq(2, "t")).select("*", seq(3, "p")).withColumn("x", ((g + t) * (p + 1)) % 17 / 10.0)
-    k = spark.range(2).select(F.col("id").cast("int").alias("c"), seq(3, "p")).withColumn("gamma", (c + 1) * (p - 1) / 4.0).withColumn("config", p + 1)
-    xi = v.grid(spark, sf_dir).select("g", seq(2, "c")).select("*", seq(3, "p")).withColumn("xi", ((g * 3 + c + p) % 7 - 3) / 10.0)
+    x = v.grid(spark, sf_dir).select("g", seq(2, "t")).select("*", seq(5, "p")).withColumn("x", ((g + t) * (p + 1)) % 17 / 10.0)
+    k = spark.range(2).select(F.col("id").cast("int").alias("c"), seq(5, "p")).withColumn("gamma", (c + 1) * (p + 1) / 4.0).withColumn("config", p - 1)
+    xi = v.grid(spark, sf_dir).select("g", seq(2, "c")).select("*", seq(5, "p")).withColumn("xi", ((g * 3 + c + p) % 7 - 3) / 10.0)
     return predict.covariate_effect(x, k, xi).select("g", "c", "t", r6("eta"))
 
 
