@@ -4,6 +4,6 @@ from __future__ import annotations
 
 from seamark.plans.derived import flagship
 from seamark.plans.registry import ORACLE, QUERIES
-from seamark.plans import derived, diagnostic, extended, fitted, spatial  # noqa: F401, E402
+from seamark.plans import derived, diagnostic, extended, fitted, inference, spatial  # noqa: F401, E402
 
 __all__ = ["ORACLE", "QUERIES", "flagship"]
