@@ -106,16 +106,3 @@ def read_observations(spark: SparkSession, path: str, columns: dict[str, str], s
     if sentinel is not None:
         rows = rows.where(F.expr(covariate) > sentinel)
     return rows.select(*(F.expr(sql).alias(name) for name, sql in ({"Pass": "0.0D", "Vessel": "'missing'"} | columns).items()))
-
-
-#: Example data sets: region and how their columns become the normal ones (the tables themselves are the user's).
-EXAMPLES = {
-    "goa_pcod": ("gulf_of_alaska", {"Catch_KG": "catch", "Year": "year", "AreaSwept_km2": "0.01D", "Lat": "lat", "Lon": "long"}),
-    "ebs_pollock": ("eastern_bering_sea", {"Catch_KG": "catch", "Year": "year", "AreaSwept_km2": "0.01D", "Lat": "lat", "Lon": "long"}),
-    "wcghl": ("wcghl", {"Catch_KG": "total", "Year": "year", "AreaSwept_km2": "1.0D", "Lat": "lat", "Lon": "lon"}),
-}
-
-
-def example_region(name: str) -> str:
-    """The region of an example; other is what unknown names get."""
-    return EXAMPLES.get(name.lower(), ("other", {}))[0]

@@ -1,5 +1,6 @@
-"""Errors and draws from a precision, interactions, density dependence, shapefiles."""
+"""Errors and draws from a precision, interactions, density dependence, shapefiles, examples."""
 
+import re
 import struct
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seamark.operators import posterior
-from seamark.sources import shapes
+from seamark.sources import examples, grids, shapes
 
 
 def _spd(n, seed=3):
@@ -110,3 +111,29 @@ def test_shapefile(spark, tmp_path):
     (tmp_path / "c.shp").write_bytes(b"no shapes")
     with pytest.raises(Exception, match="not a shapefile"):
         shapes.read_shapefile(spark, str(tmp_path / "c.shp")).count()
+
+
+def test_example_catalogue(spark, tmp_path):
+    assert all(e.region in grids.REGIONS or e.region == "other" for e in examples.EXAMPLES.values())
+    rows = spark.createDataFrame([("Cycle 2007", "Ann", 3.0, 150.0, 45.0, -124.0, 1)], "PROJECT_CYCLE string, VESSEL string, HAUL_WT_KG double, AREA_SWEPT_HA double, BEST_LAT_DD double, BEST_LON_DD double, PASS int")
+    rows.write.parquet(str(tmp_path / "canary"))
+    got, region, strata = examples.load_example(spark, "WCGBTS_Canary", str(tmp_path / "canary"))
+    one = got.first()
+    assert (one.Catch_KG, one.Year, one.Vessel, one.AreaSwept_km2, one.Lat, one.Lon, one.Pass) == (3.0, 2007.0, "Ann_2007", 1.5, 45.0, -124.0, -0.5)
+    assert region == "california_current" and strata[0][0] == "All_areas"
+    spark.createDataFrame([(2.0, 1999, 40.0, -70.0)], "CATCH_WT_CAL double, YEAR int, LATITUDE double, LONGITUDE double").write.parquet(str(tmp_path / "haddock"))
+    got, region, strata = examples.load_example(spark, "GB_fall_haddock", str(tmp_path / "haddock"))
+    assert got.first().AreaSwept_km2 == pytest.approx(0.0112 * 1.852**2) and got.first().Vessel == "missing" and strata[0][1] == examples.GEORGES_BANK
+    spark.range(3).write.parquet(str(tmp_path / "own"))
+    got, region, _ = examples.load_example(spark, "nobody's", str(tmp_path / "own"))
+    assert got.count() == 3 and region == "other"
+
+
+def test_every_example_reads_its_columns(spark, tmp_path):
+    for name, known in examples.EXAMPLES.items():
+        text = re.sub("'[^']*'", "", " ".join(known.columns.values()))
+        columns = {c.strip("`") for c in re.findall(r"`[^`]+`|(?<![\w.])[A-Za-z_]\w*", text)} - set("pow CAST AS get split concat_ws DOUBLE INT STRING".split())
+        if columns:
+            spark.range(1).select(*(F.lit("1 2").alias(c) if c == "PROJECT_CYCLE" else F.lit(1.0).alias(c) for c in sorted(columns))).write.parquet(str(tmp_path / name))
+            got = examples.load_example(spark, name, str(tmp_path / name))[0]
+            assert got.count() == 1 and set(got.columns) == {"Catch_KG", "Year", "Vessel", "AreaSwept_km2", "Lat", "Lon", "Pass"}, name
