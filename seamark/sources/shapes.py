@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from seamark.functions.geo import utm_forward, utm_inverse, utm_zone
+
 #: Shape types that are polygons (fixed values of the format: plain, with heights, with measures).
 POLYGONS = (5, 15, 25)
 VERTICES = "path string, shape int, ring int, seq int, x double, y double"
@@ -84,3 +86,20 @@ def polygon_grid(sides: DataFrame, step: tuple[float, float] = (2.0, 2.0), toler
         if whole == 0 or abs(got / whole - 1) > tolerance:
             raise ValueError(f"the grid's area is {got:g} and the polygons' {whole:g}; take a finer grid or another projection")
     return grid
+
+
+def shapefile_grid(spark: SparkSession, path: str, step: tuple[float, float] = (2.0, 2.0), zone: int | None = None, tolerance: float | None = 0.05) -> tuple[DataFrame, int]:
+    """(grid, zone): Lat, Lon, Area_km2, Include, E_km, N_km of the points inside polygons in degrees, and the zone they are projected to.
+
+    The zone is that of the middle of the polygons' longitudes unless given; the hemisphere that of their mean
+    latitude.  Areas are compared in the projection.
+    """
+    vertices = read_shapefile(spark, path)
+    box = vertices.agg(F.min("x").alias("w"), F.max("x").alias("e"), F.avg("y").alias("y")).first()
+    if box.w is None:
+        raise ValueError(f"no polygons in {path}")
+    zone, south = zone or utm_zone((box.w + box.e) / 2), box.y < 0
+    east, north = utm_forward(F.col("x"), F.col("y"), zone, south)
+    grid = polygon_grid(edges(vertices.withColumns({"x": east, "y": north})), step, tolerance)
+    lon, lat = utm_inverse(F.col("e_km"), F.col("n_km"), zone, south)
+    return grid.select(lat.alias("Lat"), lon.alias("Lon"), F.col("area").alias("Area_km2"), F.lit(1).alias("Include"), F.col("e_km").alias("E_km"), F.col("n_km").alias("N_km")), zone

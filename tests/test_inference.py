@@ -1,5 +1,6 @@
 """Errors and draws from a precision, interactions, density dependence, shapefiles, examples."""
 
+import math
 import re
 import struct
 
@@ -113,6 +114,20 @@ def test_shapefile(spark, tmp_path):
         shapes.read_shapefile(spark, str(tmp_path / "c.shp")).count()
 
 
+def test_shapefile_in_degrees(spark, tmp_path):
+    (tmp_path / "d.shp").write_bytes(_shapefile([[(-124.0, -45.0), (-124.0, -44.0), (-123.0, -44.0), (-123.0, -45.0), (-124.0, -45.0)]]))
+    grid, zone = shapes.shapefile_grid(spark, str(tmp_path / "d.shp"), (0.5, 0.5))
+    one = grid.agg(F.min("Lat").alias("s"), F.max("Lat").alias("n"), F.min("Lon").alias("w"), F.max("Lon").alias("e"), F.sum("Area_km2").alias("a")).first()
+    assert zone == 10 and -45.01 < one.s < one.n < -43.99 and -124.03 < one.w < one.e < -122.97
+    flat, e = 0.0066943799901413165, 0.08181919084262149
+    q = lambda p: math.sin(p) / (2 * (1 - flat * math.sin(p) ** 2)) + math.log((1 + e * math.sin(p)) / (1 - e * math.sin(p))) / (4 * e)
+    square = 6378.137**2 * (1 - flat) * math.radians(1) * (q(math.radians(45)) - q(math.radians(44)))  # on the ellipsoid
+    assert one.a == pytest.approx(square, rel=0.005)
+    with pytest.raises(ValueError, match="no polygons"):
+        (tmp_path / "e.shp").write_bytes(_shapefile([[(0, 0), (1, 1)]], kind=3))
+        shapes.shapefile_grid(spark, str(tmp_path / "e.shp"))
+
+
 def test_example_catalogue(spark, tmp_path):
     assert all(e.region in grids.REGIONS or e.region == "other" for e in examples.EXAMPLES.values())
     rows = spark.createDataFrame([("Cycle 2007", "Ann", 3.0, 150.0, 45.0, -124.0, 1)], "PROJECT_CYCLE string, VESSEL string, HAUL_WT_KG double, AREA_SWEPT_HA double, BEST_LAT_DD double, BEST_LON_DD double, PASS int")
