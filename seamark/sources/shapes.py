@@ -20,7 +20,7 @@ def _rings(data: bytes):
     """(shape, ring, seq, x, y) of a .shp file's polygons."""
     if len(data) < 100 or struct.unpack(">i", data[:4])[0] != 9994:
         raise ValueError("not a shapefile")
-    at, shape = 100, 0
+    at = 100
     while at + 12 <= len(data):
         number, words = struct.unpack(">2i", data[at : at + 8])
         body = data[at + 8 : at + 8 + 2 * words]
@@ -33,7 +33,7 @@ def _rings(data: bytes):
             for ring, (a, b) in enumerate(zip(begin, begin[1:])):
                 for k in range(a, b):
                     yield number, ring, k - a, xy[2 * k], xy[2 * k + 1]
-        at, shape = at + 8 + 2 * words, shape + 1
+        at += 8 + 2 * words
 
 
 def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
