@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 
+def cell_areas(rows: DataFrame, cell_area: DataFrame) -> DataFrame:
+    """rows (g) for every stratum that holds their cell, with l and area.  Areas are as many as cells, so they are merged, not broadcast."""
+    return rows.join(cell_area.select("g", "l", "area").hint("merge"), "g")
+
+
 def cell_index(density: DataFrame, cell_area: DataFrame) -> DataFrame:
     """g, c, t, l, d, area, index_g."""
-    return density.join(cell_area.select("g", "l", "area"), "g").withColumn("index_g", F.col("d") * F.col("area"))
+    return cell_areas(density, cell_area).withColumn("index_g", F.col("d") * F.col("area"))
 
 
 def index(cells: DataFrame) -> DataFrame:
@@ -46,8 +51,10 @@ def expanded_index(cells: DataFrame, expansion: list[tuple[int, int]]) -> DataFr
             raise ValueError(f"mode {mode}")
         wide = wide.withColumn(f"i{c}", value)
         if mode == 2:
-            total = wide.groupBy("t", "l").agg(F.sum(f"i{ref}").alias("_total"))  # a row for each time and stratum
-            wide = wide.join(F.broadcast(total), ["t", "l"]).withColumn(f"i{c}", F.col(f"i{c}") / F.col("_total")).drop("_total")
+            if f"_total{ref}" not in wide.columns:
+                total = wide.groupBy("t", "l").agg(F.sum(f"i{ref}").alias(f"_total{ref}"))  # a row for each time and stratum
+                wide = wide.join(F.broadcast(total), ["t", "l"])
+            wide = wide.withColumn(f"i{c}", F.col(f"i{c}") / F.col(f"_total{ref}"))
     sums = wide.groupBy("t", "l").agg(*(F.sum(f"i{c}").alias(f"i{c}") for c in range(n)))
     return sums.select("t", "l", F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(f"i{c}").alias("index")) for c in range(n)))).alias("x")).select("x.c", "t", "l", "x.index")
 

@@ -1,7 +1,11 @@
 """What grows with the data is not sent to the driver, and dense or large groups give the same as plain pairs."""
 
+import math
+
+import pytest
 from pyspark.sql import functions as F
 
+from seamark.functions import links
 from seamark.operators import diagnostics
 from seamark.plans import QUERIES
 
@@ -17,3 +21,12 @@ def test_pit_bounds_of_arrays_and_rows(spark, sf_dir):
     twice = spark.createDataFrame([(1, 0.0, [0.0, 1.0]), (1, 2.0, [0.0, 1.0])], "i int, b double, sims array<double>")
     assert tuple(diagnostics.pit_bounds(twice, F.col("sims")).first()) == (1, 0.5, 0.75)
     assert broadcasts(QUERIES["a24_pit_bounds"](spark, sf_dir)) == 0
+
+
+#: Queries over cells, and what they broadcast: totals by time and stratum, first years, intercepts and indices of some rows.
+OVER_CELLS = {"a10_composition_neff": 0, "a10_mean_category": 0, "a5_index_area": 0, "a5_index_mode1": 0, "a5_index_mode2": 1, "a5_index_mode3": 0, "a5_index_mode4": 0, "a7_effective_area": 0, "a9_category_share": 0, "a8_biomass_ratio": 1, "k1_index_table": 0, "m8_lagrange_penalty": 1, "w7_running_category": 0}
+
+
+@pytest.mark.parametrize("name", OVER_CELLS)
+def test_areas_of_cells_are_not_broadcast(spark, sf_dir, name):
+    assert broadcasts(QUERIES[name](spark, sf_dir)) <= OVER_CELLS[name]
