@@ -248,12 +248,21 @@ def soft_floor(x: Column, low: float) -> Column:
 
 
 def even_chi2_survival(x: Column, n: Column) -> Column:
-    """P(chi-square with 2n degrees of freedom > x), in closed form."""
-    h = x / 2
-    init = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
-    step = lambda s, j: F.struct((s["term"] * h / j).alias("term"), (s["sum"] + s["term"] * h / j).alias("sum"))
-    terms = F.when(n > 1, F.sequence(F.lit(1), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.exp(-h) * F.aggregate(terms, init, step, lambda s: s["sum"])
+    """P(chi-square with 2n degrees of freedom > x): the sum of the first n Poisson terms with mean h = x / 2.
+
+    Terms are taken relative to their largest, from there downwards and upwards, as exp(-h) alone is 0 beyond h = 745.
+    Farther from it than reach they are under exp(-800) of it each, which no double's sum can hold.
+    """
+    h, n = x / 2, n.cast("bigint")
+    top = F.least(n - 1, F.floor(h))
+    reach = (F.ceil(40 * F.sqrt(h)) + 60).cast("bigint")
+    none, one = F.array().cast("array<bigint>"), F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("sum"))
+    added = lambda s, term: F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
+    below = F.when(top >= 1, F.sequence(top, F.greatest(top - reach, F.lit(1).cast("bigint")), F.lit(-1).cast("bigint"))).otherwise(none)
+    above = F.when(top < n - 1, F.sequence(top + 1, F.least(n - 1, top + reach))).otherwise(none)
+    total = 1 + F.aggregate(below, one, lambda s, j: added(s, s["term"] * j / h), lambda s: s["sum"]) + F.aggregate(above, one, lambda s, j: added(s, s["term"] * h / j), lambda s: s["sum"])
+    largest = -h + top * F.ln(h) - lgamma((top + 1).cast("double"))
+    return F.when(h <= 0, 1.0).otherwise(F.exp(largest + F.ln(total)))
 
 
 #: Acklam's rational approximation of the normal quantile (fixed values).

@@ -2,12 +2,15 @@
 
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from seamark.functions import links
-from seamark.operators import diagnostics
+from seamark.operators import covariates, diagnostics, spatial
 from seamark.plans import QUERIES
+from seamark.plans.spatial import _by_knot
 
 
 def broadcasts(rows):
@@ -30,3 +33,10 @@ OVER_CELLS = {"a10_composition_neff": 0, "a10_mean_category": 0, "a5_index_area"
 @pytest.mark.parametrize("name", OVER_CELLS)
 def test_areas_of_cells_are_not_broadcast(spark, sf_dir, name):
     assert broadcasts(QUERIES[name](spark, sf_dir)) <= OVER_CELLS[name]
+
+
+@pytest.mark.parametrize(("n", "h"), [(1, 0.5), (5, 0.0), (3, 8.0), (400, 380.0), (3000, 2990.0), (3000, 2700.0), (3000, 3300.0), (20000, 20100.0), (100, 1000.0)])
+def test_chi_square_survival_of_many_values(spark, n, h):
+    want = math.fsum(math.exp(-h + (j * math.log(h) if j else 0.0) - math.lgamma(j + 1)) for j in range(n)) if h else 1.0
+    got = spark.range(1).select(links.even_chi2_survival(F.lit(2 * h), F.lit(n)).alias("p")).first().p
+    assert got == pytest.approx(want, rel=1e-7)
