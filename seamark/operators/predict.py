@@ -52,7 +52,7 @@ def catchability(design: DataFrame, coefficients: DataFrame, varying: DataFrame
     """i, zeta: the sum over k of (lambda_k + phi_ik) * Q_ik; design: i, k, q."""
     rows = design.join(F.broadcast(coefficients.select("k", "lam")), "k")
     if varying is not None:
-        rows = rows.join(varying.select("i", "k", "phi"), ["i", "k"], "left")
+        rows = rows.join(varying.select("i", "k", "phi").hint("merge"), ["i", "k"], "left")  # as long as design
     phi = F.coalesce("phi", F.lit(0.0)) if varying is not None else F.lit(0.0)
     return rows.groupBy("i").agg(F.sum((F.col("lam") + phi) * F.col("q")).alias("zeta"))
 
@@ -66,7 +66,7 @@ def covariate_effect(design: DataFrame, coefficients: DataFrame, varying: DataFr
     """
     rows = design.join(F.broadcast(coefficients.select("c", "p", "gamma", "config")), "p")
     if varying is not None:
-        rows = rows.join(varying.select("g", "c", "p", "xi"), ["g", "c", "p"], "left")
+        rows = rows.join(varying.select("g", "c", "p", "xi").hint("merge"), ["g", "c", "p"], "left")  # as long as design
     xi = F.coalesce("xi", F.lit(0.0)) if varying is not None else F.lit(0.0)
     if response is not None:
         rows = rows.join(F.broadcast(response.select("c", "t", F.col("x").alias("_x"))), ["c", "t"], "left")

@@ -40,3 +40,7 @@ def test_chi_square_survival_of_many_values(spark, n, h):
     want = math.fsum(math.exp(-h + (j * math.log(h) if j else 0.0) - math.lgamma(j + 1)) for j in range(n)) if h else 1.0
     got = spark.range(1).select(links.even_chi2_survival(F.lit(2 * h), F.lit(n)).alias("p")).first().p
     assert got == pytest.approx(want, rel=1e-7)
+
+
+def test_covariates_that_vary_are_not_broadcast(spark, sf_dir):
+    assert broadcasts(QUERIES["m7_covariate_effect"](spark, sf_dir)) == 1  # the coefficients
