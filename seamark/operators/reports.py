@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Variables that a map can show: number to name and the SQL of their value over densities (g, c, t, r1, r2, d) and their total over categories.
@@ -19,7 +19,7 @@ def map_table(density: DataFrame, numbers: list[int], effects: dict[str, DataFra
         raise ValueError(f"no variable has the numbers {gone}")
     wanted = [MAPS[n] for n in numbers if n in MAPS]
     if 13 in numbers:
-        density = density.join(density.groupBy("g", "t").agg(F.sum("d").alias("total")), ["g", "t"])
+        density = density.withColumn("total", F.sum("d").over(Window.partitionBy("g", "t")))  # a row for each category
     out = density.select("g", "c", "t", F.explode(F.array(*(F.struct(F.lit(name).alias("variable"), F.expr(sql).cast("double").alias("value")) for name, sql in wanted))).alias("x")).select("x.variable", "g", "c", "t", "x.value") if wanted else None
     for name in (EFFECTS[n] for n in numbers if n in EFFECTS):
         if name not in (effects or {}):

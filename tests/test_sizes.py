@@ -44,3 +44,10 @@ def test_chi_square_survival_of_many_values(spark, n, h):
 
 def test_covariates_that_vary_are_not_broadcast(spark, sf_dir):
     assert broadcasts(QUERIES["m7_covariate_effect"](spark, sf_dir)) == 1  # the coefficients
+
+
+def test_total_density_is_not_broadcast(spark, sf_dir):
+    rows = QUERIES["r215_map_tables"](spark, sf_dir)
+    assert broadcasts(rows) == 0
+    got = rows.where("variable = 'total_density'").groupBy("g", "t").agg(F.count("*").alias("n"), F.countDistinct("value").alias("k")).select("n", "k").distinct().collect()
+    assert [tuple(r) for r in got] == [(3, 1)]
