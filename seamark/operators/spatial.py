@@ -14,14 +14,20 @@ from seamark.functions.geo import barycentric, squared_distance
 BROADCAST_SITES = 10_000
 
 
+def one_for_a_place(sites: DataFrame, site_id: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """The site of smallest id of each place, which is nearest wherever another of the place is; sites without a place or id are none."""
+    placed = sites.where(f"e_km IS NOT NULL AND n_km IS NOT NULL AND `{site_id}` IS NOT NULL")
+    return placed.groupBy(*by, "e_km", "n_km").agg(F.min(site_id).alias(site_id))
+
+
 def nearest(query: DataFrame, sites: DataFrame, site_id: str, limit: int = BROADCAST_SITES) -> DataFrame:
     """query with the nearest site (ties: smallest id) as site_id and its squared distance d2.
 
-    Both have e_km, n_km; sites with site_id, a number.  A small, counted table of sites is
+    Both have e_km, n_km; sites with site_id, a number.  A small, counted table of places is
     broadcast, and distances are taken in Arrow batches, so query is neither shuffled nor multiplied; a larger
     one, or one with other ids, is joined by cells.
     """
-    rows = sites.select("e_km", "n_km", site_id).where(f"e_km IS NOT NULL AND n_km IS NOT NULL AND `{site_id}` IS NOT NULL").limit(limit + 1).collect()  # bounded by limit
+    rows = one_for_a_place(sites, site_id).limit(limit + 1).collect()  # bounded by limit
     kind = sites.schema[site_id].dataType
     if len(rows) > limit or not isinstance(kind, IntegralType):
         return nearest_bucketed(query, sites, site_id)
@@ -58,10 +64,11 @@ def nearest_bucketed(query: DataFrame, sites: DataFrame, site_id: str, width: fl
     keyed = query.withColumn("_q", F.monotonically_increasing_id())
     from seamark.operators.lineage import written
 
-    keyed = written(keyed)
+    keyed, kind = written(keyed), sites.schema[site_id].dataType
+    sites = written(one_for_a_place(sites, site_id, by))
     box = sites.agg(F.min("e_km"), F.max("e_km"), F.min("n_km"), F.max("n_km"), F.count("*")).first()
     if not box[4]:
-        return query.withColumn(site_id, F.lit(None).cast(sites.schema[site_id].dataType)).withColumn("d2", F.lit(None).cast("double"))
+        return query.withColumn(site_id, F.lit(None).cast(kind)).withColumn("d2", F.lit(None).cast("double"))
     span = max(float(box[1] - box[0]), float(box[3] - box[2]), 1e-9)
     width = width or 2 * span / max(1.0, box[4] ** 0.5)
     plain = sites.select(*by, F.col(site_id), F.col("e_km").alias("_e"), F.col("n_km").alias("_n"))

@@ -51,3 +51,13 @@ def test_total_density_is_not_broadcast(spark, sf_dir):
     assert broadcasts(rows) == 0
     got = rows.where("variable = 'total_density'").groupBy("g", "t").agg(F.count("*").alias("n"), F.countDistinct("value").alias("k")).select("n", "k").distinct().collect()
     assert [tuple(r) for r in got] == [(3, 1)]
+
+
+def test_nearest_counts_places(spark, monkeypatch):
+    """Many sites of few places are as cheap as those places, and the smallest id of a place stands for it."""
+    sites = spark.createDataFrame([(i, float(i % 3), 0.0) for i in range(60)] + [(60, None, 0.0)], "x long, e_km double, n_km double")
+    query = spark.createDataFrame([(g, float(g) / 2, 1.0) for g in range(6)], "g long, e_km double, n_km double")
+    by_cells = {r.g: (r.x, r.d2) for r in spatial.nearest_bucketed(query, sites, "x").collect()}
+    monkeypatch.setattr(spatial, "nearest_bucketed", lambda *a, **b: pytest.fail("sites were counted instead of places"))
+    assert {r.g: (r.x, r.d2) for r in spatial.nearest(query, sites, "x", limit=3).collect()} == by_cells
+    assert by_cells == {0: (0, 1.0), 1: (0, 1.25), 2: (1, 1.0), 3: (1, 1.25), 4: (2, 1.0), 5: (2, 1.25)}
