@@ -44,15 +44,17 @@ def replace_rows(old: DataFrame, new: DataFrame, on: tuple[str, ...] = ("lat", "
 def nearest_mean(query: DataFrame, measurements: DataFrame, k: int, key: str = "g", value: str = "val", limit: int = 10_000) -> DataFrame:
     """Mean of the k nearest measurements of a year (ties: smallest id); rows of a year without any drop out.
 
-    Up to limit measurements, counted first, are broadcast and ranked in Arrow batches; more are joined by
-    year and ranked there.
+    A place and year counts with its k smallest ids, as no other of it can be among the nearest.  Up to limit of those,
+    counted first, are broadcast and ranked in Arrow batches; more are joined by year and cell.  Measurements without
+    a place come after all others.
     """
-    rows = measurements.select("t", "id", "e_km", "n_km", F.col(value).cast("double")).limit(limit + 1).collect()  # bounded by limit
+    lost = "e_km IS NULL OR n_km IS NULL OR isnan(e_km) OR isnan(n_km)"
+    place = [F.when(~F.expr(lost), F.col(c)).alias(c) for c in ("e_km", "n_km")]
+    first = F.row_number().over(Window.partitionBy("t", "e_km", "n_km").orderBy("id"))
+    kept = measurements.select("t", "id", *place, F.col(value).cast("double").alias("_v")).withColumn("_r", first).where(F.col("_r") <= k).drop("_r")
+    rows = kept.limit(limit + 1).collect()  # bounded by limit
     if len(rows) > limit:
-        d2 = squared_distance(F.col("e_km"), F.col("n_km"), F.col("_e"), F.col("_n"))
-        near = query.join(measurements.select("t", F.col("id").alias("_id"), F.col("e_km").alias("_e"), F.col("n_km").alias("_n"), F.col(value).alias("_v")), "t")
-        rank = F.row_number().over(Window.partitionBy(key, "t").orderBy("d2", "_id"))
-        return near.withColumn("d2", d2).withColumn("r", rank).where(F.col("r") <= k).groupBy(key, "t").agg(F.avg("_v").alias(value))
+        return _nearest_mean_by_cells(query, kept, k, key, value)
     by: dict = {}
     for r in sorted(rows, key=lambda r: r[1]):  # the first of equal distances is then the smallest id
         by.setdefault(r[0], []).append(tuple(r)[2:])
@@ -66,12 +68,62 @@ def nearest_mean(query: DataFrame, measurements: DataFrame, k: int, key: str = "
             step = max(1, 500_000 // len(e))
             for at in (mine[j : j + step] for j in range(0, len(mine), step)):
                 dx, dy = x.to_numpy(float)[at, None] - e, y.to_numpy(float)[at, None] - n
-                out[at] = val[np.argsort(dx * dx + dy * dy, axis=1, kind="stable")[:, :k]].mean(axis=1)
+                near = val[np.argsort(dx * dx + dy * dy, axis=1, kind="stable")[:, :k]]
+                known = ~np.isnan(near)
+                with np.errstate(invalid="ignore"):
+                    out[at] = np.where(known, near, 0.0).sum(axis=1) / known.sum(axis=1)
         return pd.Series(out).astype("Float64").mask(np.isnan(out))
 
     return query.select(key, "t", mean("t", "e_km", "n_km").alias(value)).where(F.col(value).isNotNull())
 
 
+def _nearest_mean_by_cells(query: DataFrame, kept: DataFrame, k: int, key: str, value: str) -> DataFrame:
+    """Each row looks into the 3 by 3 cells around it, whose width doubles until its k-th measurement is no farther than a cell is wide.
+
+    kept: t, id, e_km, n_km, _v, no place with more than k of a year.  Years with fewer than k places' worth of
+    measurements, and rows without a place, are few to rank or alike; they are joined with at most 2 k of their year.
+    """
+    from seamark.operators.lineage import written
+
+    asked = written(query.select(key, "t", "e_km", "n_km").withColumn("_q", F.monotonically_increasing_id()))
+    kept = written(kept)
+    d2 = squared_distance(F.col("e_km"), F.col("n_km"), F.col("_e"), F.col("_n")).alias("d2")
+    best = lambda rows: rows.withColumn("_r", F.row_number().over(Window.partitionBy("_q").orderBy(F.col("d2").asc_nulls_last(), "id"))).where(F.col("_r") <= k)
+    placed = kept.where("e_km IS NOT NULL").select("t", "id", F.col("e_km").alias("_e"), F.col("n_km").alias("_n"), "_v")
+    full = F.broadcast(placed.groupBy("t").agg(F.count("*").alias("_k")).where(F.col("_k") >= k).select("t"))  # a row for each year
+    nowhere = "e_km IS NULL OR n_km IS NULL OR isnan(e_km) OR isnan(n_km)"
+    plain = lambda rows: rows.select("t", "id", F.col("e_km").alias("_e"), F.col("n_km").alias("_n"), "_v")
+    lowest = F.row_number().over(Window.partitionBy("t").orderBy("id"))
+    parts = [
+        best(asked.where(f"NOT ({nowhere})").join(full, "t", "left_anti").join(F.broadcast(plain(kept.join(full, "t", "left_anti"))), "t").select("_q", d2, "id", "_v")),
+        best(asked.where(nowhere).join(F.broadcast(plain(kept.withColumn("_r", lowest).where(F.col("_r") <= k))), "t").select("_q", F.lit(None).cast("double").alias("d2"), "id", "_v")),
+    ]
+    todo = written(asked.where(f"NOT ({nowhere})").join(full, "t", "left_semi").select("_q", "t", "e_km", "n_km"))
+    ends = [f(c) for c in ("e_km", "n_km") for f in (F.min, F.max)]
+    box = placed.agg(F.min("_e"), F.max("_e"), F.min("_n"), F.max("_n"), F.count("*"), F.countDistinct("t")).first()
+    span = max(float(box[1] - box[0]), float(box[3] - box[2]), 1e-9) if box[4] else 1.0
+    width = 2 * span * min(1.0, (k * max(1, box[5]) / max(1, box[4])) ** 0.5)
+    reach = max(span, *(abs(float(x)) for x in [*todo.agg(*ends).first(), *box[:4]] if x is not None)) if box[4] else span
+    while not todo.isEmpty():
+        cell = lambda c, w=width: F.floor(c / w)
+        around = F.explode(F.array(*(F.struct((cell(F.col("e_km")) + i).alias("i"), (cell(F.col("n_km")) + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("_c")
+        near = todo.select("*", around).select("_q", "t", "e_km", "n_km", "_c.i", "_c.j").join(placed.withColumn("i", cell(F.col("_e"))).withColumn("j", cell(F.col("_n"))), ["t", "i", "j"])
+        found, last = best(near.select("_q", d2, "id", "_v")), width >= 4 * reach
+        if not last:
+            mine = Window.partitionBy("_q")
+            found = found.withColumns({"_k": F.count("*").over(mine), "_far": F.max("d2").over(mine)}).where((F.col("_k") == k) & (F.col("_far") <= width * width))
+        parts.append(written(found.select("_q", "d2", "id", "_v")))
+        if last:
+            break
+        todo = written(todo.join(parts[-1].select("_q").distinct(), "_q", "left_anti"))
+        width *= 2
+    means = None
+    for p in parts:
+        one = p.groupBy("_q").agg(F.avg("_v").alias(value))
+        means = one if means is None else means.unionByName(one)
+    return asked.select("_q", key, "t").join(means.hint("merge"), "_q").select(key, "t", value).where(F.col(value).isNotNull())
+
+
 def knot_covariates(data: DataFrame, value: str = "val", fun: Callable[[Column], Column] = F.avg) -> DataFrame:
     """x, t, mean (or another aggregate) over rows; where a knot has none in a step, that over all steps."""
     dense = data.select("x").distinct().join(F.broadcast(data.select("t").distinct()))

@@ -61,3 +61,21 @@ def test_nearest_counts_places(spark, monkeypatch):
     monkeypatch.setattr(spatial, "nearest_bucketed", lambda *a, **b: pytest.fail("sites were counted instead of places"))
     assert {r.g: (r.x, r.d2) for r in spatial.nearest(query, sites, "x", limit=3).collect()} == by_cells
     assert by_cells == {0: (0, 1.0), 1: (0, 1.25), 2: (1, 1.0), 3: (1, 1.25), 4: (2, 1.0), 5: (2, 1.25)}
+
+
+def test_mean_of_nearest_by_cells_equals_all_pairs(spark):
+    """Crowded places, ties, places that are null, years with few or no measurements; the cells and the broadcast form against plain ranks."""
+    rng = np.random.default_rng(4)
+    meas = [(i, i % 2, float(rng.integers(0, 9)) * (30 if i % 50 == 0 else 1), float(rng.integers(0, 4)), float(i * i % 37)) for i in range(400)]
+    meas += [(400 + i, 0, 1.0, 1.0, float(i)) for i in range(80)] + [(900, 2, 3.0, 1.0, 5.0), (901, 2, None, 1.0, 8.0), (902, 0, None, None, 4.0), (899, 2, None, 2.0, None)]
+    asked = [(g, t, float(g % 7) * (100 if g == 5 else 1), float(g % 4)) for g in range(25) for t in range(4)] + [(99, t, None, 1.0) for t in range(4)]
+    want = {}
+    for g, t, e, n in asked:
+        order = sorted((m for m in meas if m[1] == t), key=lambda m: (math.inf if e is None or m[2] is None or m[3] is None else (e - m[2]) ** 2 + (n - m[3]) ** 2, m[0]))[:3]
+        if any(m[4] is not None for m in order):
+            want[g, t] = np.mean([m[4] for m in order if m[4] is not None])
+    q = spark.createDataFrame(asked, "g int, t int, e_km double, n_km double")
+    m = spark.createDataFrame(meas, "id int, t int, e_km double, n_km double, val double")
+    for limit in (1000, 20):
+        assert {(r.g, r.t): r.val for r in covariates.nearest_mean(q, m, 3, limit=limit).collect()} == pytest.approx(want), limit
+    assert "ArrowEvalPython" in covariates.nearest_mean(q, m.where("id >= 400 AND id < 900"), 3, limit=20)._jdf.queryExecution().executedPlan().toString()
