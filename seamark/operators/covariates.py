@@ -125,17 +125,28 @@ def _nearest_mean_by_cells(query: DataFrame, kept: DataFrame, k: int, key: str,
 
 
 def knot_covariates(data: DataFrame, value: str = "val", fun: Callable[[Column], Column] = F.avg) -> DataFrame:
-    """x, t, mean (or another aggregate) over rows; where a knot has none in a step, that over all steps."""
-    dense = data.select("x").distinct().join(F.broadcast(data.select("t").distinct()))
-    by = data.groupBy("x", "t").agg(fun(value).alias("m"))
-    over = data.groupBy("x").agg(fun(value).alias("all"))
+    """x, t, mean (or another aggregate) over rows; where a knot has none in a step, that over all steps.  Rows are read once."""
+    from seamark.operators.lineage import written
+
+    each = written(data.groupingSets([["x", "t"], ["x"]], "x", "t").agg(fun(value).alias("m"), F.grouping("t").alias("_all")))
+    by, over = each.where("_all = 0").select("x", "t", "m"), each.where("_all = 1").select("x", F.col("m").alias("all"))
+    dense = by.select("x").distinct().join(F.broadcast(by.select("t").distinct()))
     return dense.join(by, ["x", "t"], "left").join(over, "x").select("x", "t", F.coalesce("m", "all").alias(value))
 
 
 def variance_lost(data: DataFrame, value: str = "val") -> DataFrame:
-    """1 - variance of the knot means laid on the rows / variance of the rows."""
-    means = data.groupBy("x", "t").agg(F.avg(value).alias("m"))
-    return data.join(means, ["x", "t"]).agg((1 - F.var_samp("m") / F.var_samp(value)).alias("lost"))
+    """1 - variance of the knot means laid on the rows / variance of the rows.
+
+    Rows are folded once into the counts, means and variances of knots and steps, from which both follow.
+    """
+    from seamark.operators.lineage import written
+
+    each = written(data.where("x IS NOT NULL AND t IS NOT NULL").groupBy("x", "t").agg(F.count("*").alias("n"), F.count(value).alias("k"), F.avg(value).alias("m"), F.var_pop(value).alias("v")).where("k > 0"))
+    whole = each.agg(F.sum("n").alias("_n"), F.sum("k").alias("_k"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("_over_n"), (F.sum(F.col("k") * F.col("m")) / F.sum("k")).alias("_over_k"))
+    gap = lambda c: (F.col("m") - F.col(c)) * (F.col("m") - F.col(c))
+    means = F.try_divide(F.sum(F.col("n") * gap("_over_n")), F.max("_n") - 1)
+    values = F.try_divide(F.sum(F.col("k") * (F.col("v") + gap("_over_k"))), F.max("_k") - 1)
+    return each.join(F.broadcast(whole)).agg((1 - F.try_divide(means, values)).alias("lost"))
 
 
 def design(df: DataFrame, formula: str) -> tuple[DataFrame, list[str]]:

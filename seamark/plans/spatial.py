@@ -251,7 +251,7 @@ def a23_covariate_variance_lost(spark, sf_dir):
 
 def _by_knot(spark, sf_dir):
     near = spatial.nearest(v.grid(spark, sf_dir), v.knots(spark, sf_dir), "x").select("g", "x")
-    return v.obs(spark, sf_dir).where("b IS NOT NULL").join(near, "g").select("x", "t", F.col("b").alias("val"))
+    return v.obs(spark, sf_dir).where("b IS NOT NULL").join(near.hint("merge"), "g").select("x", "t", F.col("b").alias("val"))
 
 
 @query("SELECT count(*) AS n, round(avg(x1), 6) AS x1, round(avg(x2), 6) AS x2, round(avg(x3), 6) AS x3 FROM (SELECT CAST(p_size AS DOUBLE) AS x1, CAST(p_size AS DOUBLE) * p_size AS x2, CASE WHEN p_brand = (SELECT p_brand FROM (SELECT DISTINCT p_brand FROM part ORDER BY 1 LIMIT 2) ORDER BY 1 DESC LIMIT 1) THEN CAST(p_size AS DOUBLE) ELSE 0e0 END AS x3 FROM part)")

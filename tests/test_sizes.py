@@ -79,3 +79,22 @@ def test_mean_of_nearest_by_cells_equals_all_pairs(spark):
     for limit in (1000, 20):
         assert {(r.g, r.t): r.val for r in covariates.nearest_mean(q, m, 3, limit=limit).collect()} == pytest.approx(want), limit
     assert "ArrowEvalPython" in covariates.nearest_mean(q, m.where("id >= 400 AND id < 900"), 3, limit=20)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_observations_by_knot_read_once_and_nothing_broadcast(spark, sf_dir):
+    assert broadcasts(_by_knot(spark, sf_dir)) == 0
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [(x, t, float(x * 7 % 5 + t * t + k)) for x in range(6) for t in range(3) if (x + t) % 4 for k in range(3)] + [(0, 1, None)]
+    data = spark.createDataFrame(rows, "x int, t int, val double").mapInArrow(count, "x int, t int, val double")
+    frame = pd.DataFrame(rows, columns=["x", "t", "val"])
+    by, over = frame.groupby(["x", "t"]).val.mean(), frame.groupby("x").val.mean()
+    got = {(r.x, r.t): r.val for r in covariates.knot_covariates(data).collect()}
+    assert got == pytest.approx({(x, t): by.get((x, t), over[x]) for x in range(6) for t in range(3)}) and seen.value == len(rows)
+    lost = covariates.variance_lost(data).first().lost
+    assert lost == pytest.approx(1 - frame.join(by.rename("m"), on=["x", "t"]).m.var() / frame.val.var()) and seen.value == 2 * len(rows)
