@@ -10,6 +10,8 @@ from seamark.operators.predict import add_effects, densities
 
 #: Matrices are dense on the driver up to this many effects.
 MOST_EFFECTS = 4_000
+#: Entries of a covariance that are broadcast: 24 bytes each; with more, effects are many enough to be dealt by them.
+BROADCAST_ENTRIES = 100_000
 
 
 def dense(precision: DataFrame, n: int) -> np.ndarray:
@@ -60,30 +62,44 @@ def spread(draws: DataFrame, keys: list[str], value: str) -> DataFrame:
     return draws.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("se"))
 
 
-def _cell_variance(design: DataFrame, covariance: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, var: the variance of each row's sum of w times effect k.
+def _weights(design: DataFrame) -> DataFrame:
+    """g and the array _e of (k, w), a weight for each effect.  A row has the weights of some effects, three for a mesh."""
+    return design.groupBy("g", "k").agg(F.sum("w").alias("w")).groupBy("g").agg(F.collect_list(F.struct("k", "w")).alias("_e"))
 
-    A row has the weights of some effects (three for a mesh), and only those meet.
-    """
-    own = design.groupBy(*keys, "k").agg(F.sum("w").alias("w"))
-    held = own.groupBy(*keys).agg(F.collect_list(F.struct("k", "w")).alias("_e"))
-    pairs = held.select(*keys, F.explode("_e").alias("x"), "_e").select(*keys, "x", F.explode("_e").alias("y"))
-    met = pairs.select(*keys, F.col("x.k").alias("a"), F.col("y.k").alias("b"), (F.col("x.w") * F.col("y.w")).alias("_w")).join(covariance, ["a", "b"])
-    return met.groupBy(*keys).agg(F.sum(F.col("_w") * F.col("cov")).alias("var"))
+
+def _cell_variance(held: DataFrame, covariance: DataFrame) -> DataFrame:
+    """g, var: the variance of each row's sum of w times effect k; only effects of one row meet."""
+    pairs = held.select("g", F.explode("_e").alias("x"), "_e").select("g", "x", F.explode("_e").alias("y"))
+    met = pairs.select("g", F.col("x.k").alias("a"), F.col("y.k").alias("b"), (F.col("x.w") * F.col("y.w")).alias("_w")).join(covariance, ["a", "b"])
+    return met.groupBy("g").agg(F.sum(F.col("_w") * F.col("cov")).alias("var"))
 
 
 def delta_method(cells: DataFrame, design: DataFrame, covariance: DataFrame, of: tuple[str, ...] = ("c", "t", "l")) -> DataFrame:
     """of, index, se, unbiased: first-order standard errors of indices, and indices without the bias of the exponential.
 
     cells: of, g, index_g, log-linear in effects; design: g, k, w, the weight of effect k in the cell's log
-    density; covariance: a, b, cov.  The gradient is folded to a row for each index and effect before effects meet.
+    density; covariance: a, b, cov.  Cells are read once and merged with their weights and variance, neither of which
+    is broadcast; the index, its unbiased form and the gradient are folded together, to a row for each index and
+    effect, before effects meet.
     unbiased adds half the trace of covariance times curvature, the derivative by a multiplier of
     the index of a Laplace likelihood whose log density is quadratic.  Cells without design have no variance.
     """
+    from seamark.operators.lineage import written
+
     keys = list(of)
-    var = _cell_variance(design, covariance, ["g"])
-    total = cells.join(var, "g", "left").groupBy(*keys).agg(F.sum("index_g").alias("index"), F.sum(F.col("index_g") * (1 + F.coalesce("var", F.lit(0.0)) / 2)).alias("unbiased"))
-    slope = cells.join(design, "g").groupBy(*keys, "k").agg(F.sum(F.col("index_g") * F.col("w")).alias("_s"))
+    covariance = F.broadcast(covariance) if covariance.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES else covariance.hint("merge")
+    held = written(_weights(design))
+    of_cell = held.join(_cell_variance(held, covariance).hint("merge"), "g", "left")
+    effect = held.schema["_e"].dataType.elementType["k"].dataType
+    part = lambda kind, k, w: F.struct(F.lit(kind).alias("kind"), k.cast(effect).alias("k"), w.alias("w"))
+    parts = F.concat(
+        F.array(part(0, F.lit(None), F.lit(1.0)), part(1, F.lit(None), 1 + F.coalesce("var", F.lit(0.0)) / 2)),
+        F.transform(F.coalesce("_e", F.array().cast(held.schema["_e"].dataType)), lambda e: part(2, e["k"], e["w"].cast("double"))),
+    )
+    whole = cells.select(*keys, "g", "index_g").join(of_cell.hint("merge"), "g", "left").select(*keys, "index_g", F.explode(parts).alias("x"))
+    sums = written(whole.groupBy(*keys, "x.kind", "x.k").agg(F.sum(F.col("index_g") * F.col("x.w")).alias("_s")))
+    total = sums.where("kind < 2").groupBy(*keys).agg(F.max(F.when(F.col("kind") == 0, F.col("_s"))).alias("index"), F.max(F.when(F.col("kind") == 1, F.col("_s"))).alias("unbiased"))
+    slope = sums.where("kind = 2").select(*keys, "k", "_s")
     half = slope.withColumnRenamed("k", "a").join(covariance, "a").groupBy(*keys, "b").agg(F.sum(F.col("_s") * F.col("cov")).alias("_h"))
     square = half.join(slope.withColumnRenamed("k", "b"), [*keys, "b"]).groupBy(*keys).agg(F.sum(F.col("_h") * F.col("_s")).alias("_v"))
     return total.join(square, keys, "left").select(*keys, "index", F.sqrt(F.greatest(F.coalesce("_v", F.lit(0.0)), F.lit(0.0))).alias("se"), "unbiased")

@@ -118,3 +118,25 @@ def test_semivariogram_of_crowded_places_equals_all_pairs(spark):
     assert got._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") >= 4
     assert {(r.lag, r.bin): r.n for r in got.collect()} == {k: len(x) for k, x in pairs.items()}
     assert {(r.lag, r.bin): r.semivar for r in got.collect()} == pytest.approx({k: np.mean([y for y in x if y is not None]) / 2 for k, x in pairs.items()}, rel=1e-7)
+
+
+def test_index_errors_read_cells_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    schema = "c int, t int, l string, g int, index_g double"
+    cells = spark.createDataFrame([(0, g % 2, "a", g, 1.0 + g) for g in range(10)], schema).mapInArrow(count, schema)
+    design = spark.createDataFrame([(g, k, 0.5 + k) for g in range(8) for k in (0, 1)], "g int, k int, w double")
+    cov = [[0.3, 0.1], [0.1, 0.2]]
+    table = spark.createDataFrame([(a, b, cov[a][b]) for a in (0, 1) for b in (0, 1)], "a int, b int, cov double")
+    got = {r.t: (r["index"], r.se, r.unbiased) for r in posterior.delta_method(cells, design, table).collect()}
+    w = np.array([0.5, 1.5])
+    var = w @ np.array(cov) @ w
+    for t in (0, 1):
+        whole, bare = sum(1.0 + g for g in range(t, 8, 2)), 9.0 + t  # the last two cells have no design
+        assert got[t] == pytest.approx((whole + bare, whole * math.sqrt(var), whole * (1 + var / 2) + bare))
+    assert seen.value == 10
