@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seamark.operators.predict import add_effects, densities
 
@@ -105,6 +108,47 @@ def delta_method(cells: DataFrame, design: DataFrame, covariance: DataFrame, of:
     return total.join(square, keys, "left").select(*keys, "index", F.sqrt(F.greatest(F.coalesce("_v", F.lit(0.0)), F.lit(0.0))).alias("se"), "unbiased")
 
 
+def index_draws(cells: DataFrame, design: DataFrame, draws: DataFrame, of: tuple[str, ...] = ("c", "t", "l")) -> DataFrame:
+    """of, r, index: the sum over cells (of, g, index_g) of index_g * exp(eta), with eta the sum of w times an effect's draw.
+
+    draws: k, r, val, a driver's matrix (draw_effects), is sent to the tasks; cells are merged with their weights, and all
+    draws of a batch of cells are made and summed there, so no row is multiplied by the draws.  Cells without design are left out,
+    and effects without a draw count as 0.
+    """
+    given = draws.select("k", "r", "val").collect()  # bounded by MOST_EFFECTS and the draws
+    ks, rs = sorted({x.k for x in given}), sorted({x.r for x in given})
+    row, column = {k: i for i, k in enumerate(ks)}, {r: i for i, r in enumerate(rs)}
+    matrix = np.zeros((len(ks) + 1, len(rs)))  # the last is for effects without a draw
+    for x in given:
+        matrix[row[x.k], column[x.r]] = x.val
+    shared, keys = cells.sparkSession.sparkContext.broadcast((row, matrix)), list(of)
+    met = cells.select(*keys, "g", F.col("index_g").cast("double")).join(_weights(design).hint("merge"), "g").where("index_g IS NOT NULL")
+    met = met.select(*keys, "index_g", F.col("_e.k").alias("_k"), F.transform("_e.w", lambda w: w.cast("double")).alias("_w"))
+    schema = T.StructType([*(met.schema[c] for c in keys), T.StructField("_sums", T.ArrayType(T.DoubleType()))])
+
+    def summed(batches):
+        row, matrix = shared.value
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            lists, x = batch.column("_k"), batch.column("index_g").to_numpy()
+            at = np.array([row.get(k, len(row)) for k in lists.flatten().to_pylist()], np.int64)
+            ends = np.cumsum(np.asarray(pa.compute.list_value_length(lists)))
+            starts = np.concatenate([[0], ends[:-1]])
+            w = batch.column("_w").flatten().to_numpy(zero_copy_only=False)
+            groups = table.select(keys).append_column("_i", pa.array(np.arange(len(x)))).group_by(keys).aggregate([("_i", "list")])
+            out = []
+            step = max(1, 2_000_000 // max(1, matrix.shape[1]))
+            eta = np.concatenate([np.add.reduceat(w[starts[i] : ends[min(i + step, len(x)) - 1], None] * matrix[at[starts[i] : ends[min(i + step, len(x)) - 1]]], starts[i : i + step] - starts[i]) for i in range(0, len(x), step)]) if len(x) else np.zeros((0, matrix.shape[1]))
+            np.exp(eta, out=eta)
+            for i in groups.column("_i_list").to_pylist():
+                out.append(x[i] @ eta[i])
+            yield pa.RecordBatch.from_arrays([*(groups.column(k).combine_chunks() for k in keys), pa.array(out, pa.list_(pa.float64()))], names=[*keys, "_sums"])
+
+    sums = met.mapInArrow(summed, schema)
+    spread_out = sums.select(*keys, F.posexplode("_sums").alias("_j", "_v")).groupBy(*keys, "_j").agg(F.sum("_v").alias("index"))
+    return spread_out.select(*keys, F.element_at(F.array(*map(F.lit, rs)), F.col("_j") + 1).alias("r"), "index")
+
+
 def counterfactual(rows: DataFrame, first: dict[str, tuple[DataFrame, list[str]]], second: dict[str, tuple[DataFrame, list[str]]], off: set[str] = frozenset(), link: int = 0) -> DataFrame:
     """rows with r1, r2 and d as they would be without the effects named in off.
 

@@ -114,8 +114,7 @@ def e10_index_errors(spark, sf_dir):
 def e11_index_draws(spark, sf_dir):
     """Indices of a hundred draws of all effects, and their spread."""
     q = np.linalg.inv(np.full((_N_K, _N_K), 0.01) + 0.05 * np.eye(_N_K))
-    eta = posterior.linear(_design(spark, sf_dir), posterior.draw_effects(spark, np.zeros(_N_K), q), ["g"])
-    drawn = v.cells(spark, sf_dir).groupBy("g", "t", "l").agg(F.sum("index_g").alias("index_g")).join(eta, "g").groupBy("t", "l", "r").agg(F.sum(F.col("index_g") * F.exp("eta")).alias("index"))
+    drawn = posterior.index_draws(v.cells(spark, sf_dir).groupBy("g", "t", "l").agg(F.sum("index_g").alias("index_g")), _design(spark, sf_dir), posterior.draw_effects(spark, np.zeros(_N_K), q), ("t", "l"))
     return posterior.spread(drawn, ["t", "l"], "index")
 
 

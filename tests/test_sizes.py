@@ -140,3 +140,17 @@ def test_index_errors_read_cells_once(spark):
         whole, bare = sum(1.0 + g for g in range(t, 8, 2)), 9.0 + t  # the last two cells have no design
         assert got[t] == pytest.approx((whole + bare, whole * math.sqrt(var), whole * (1 + var / 2) + bare))
     assert seen.value == 10
+
+
+def test_index_draws_are_sums_over_cells(spark, sf_dir):
+    rng = np.random.default_rng(6)
+    cells = [(int(g) % 3, "a" if g % 2 else None, g, float(rng.random())) for g in range(30) for _ in range(2)]
+    design = [(g, k, float(rng.normal())) for g in range(28) for k in ((g % 3, g % 3, 7) if g % 4 else (1,))]  # twice the same effect; 7 has no draw
+    draws = [(k, r, float(rng.normal())) for k in range(3) for r in (1, 2, 5)]
+    val, want = {(k, r): x for k, r, x in draws}, {}
+    for t, l, g, x in cells:
+        for r in (1, 2, 5) if g < 28 else ():
+            want[t, l, r] = want.get((t, l, r), 0.0) + x * math.exp(sum(w * val.get((k, r), 0.0) for h, k, w in design if h == g))
+    made = posterior.index_draws(spark.createDataFrame(cells, "t int, l string, g int, index_g double"), spark.createDataFrame(design, "g int, k int, w double"), spark.createDataFrame(draws, "k int, r int, val double"), ("t", "l"))
+    assert {(r.t, r.l, r.r): r["index"] for r in made.collect()} == pytest.approx(want)
+    assert broadcasts(QUERIES["e11_index_draws"](spark, sf_dir)) == 0
